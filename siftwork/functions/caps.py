@@ -1,20 +1,15 @@
 """Per-company application caps stated in posting text."""
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork.functions import fixed_values as fv
 from siftwork.functions.text import squeeze
 
-_CAP = "struct<cap:int,cap_text:string>"
-
-
-def _offsets(text: Column, rx: str) -> Column:
+def _offsets(text: Column, rx: Column) -> Column:
     """0-based (start, length) of each match, from running sums of piece lengths."""
-    found = F.regexp_extract_all(text, F.lit(rx), F.lit(0))
+    found = F.regexp_extract_all(text, rx, F.lit(0))
     pairs = F.arrays_zip(F.slice(F.split(text, rx, -1), 1, F.size(found)).alias("p"), found.alias("m"))
     none = F.array().cast("array<struct<start:int,size:int>>")
     return F.aggregate(
@@ -44,20 +39,19 @@ def application_cap(text: Column) -> Column:
     """Struct(cap, cap_text) or NULL. Anchors are tried in list order, each at its places in text order;
     the pattern runs only in a small window around an anchor, and only when the text talks of applying."""
     low = F.lower(text)
-
-    def at_anchor(anchor: str) -> Column:
-        def near(o: Column) -> Column:
-            lo = F.greatest(o["start"] - fv.CAP_WINDOW_BEFORE, F.lit(0))
-            win = F.substring(text, lo + 1, o["start"] + fv.CAP_WINDOW_AFTER - lo)
-
-            def judge(m: Column) -> Column:
-                hit = F.substring(win, m["start"] + 1, m["size"])
-                said = _sentence(text, lo + m["start"], m["size"])
-                ok = said.rlike(fv.ABOUT_APPLYING) & (F.length(said) <= fv.CAP_SENTENCE_MAX) & ~hit.rlike(fv.PER_ROLE)
-                return F.when(ok, F.struct(_count(hit).alias("cap"), said.alias("cap_text")))
-            return F.transform(_offsets(win, fv.CAP_PATTERN), judge)
-        caps = F.flatten(F.transform(_offsets(low, re.escape(anchor)), near))
-        first = F.get(F.filter(caps, lambda c: c.isNotNull()), F.lit(0))
-        return F.when(low.contains(anchor), first).otherwise(F.lit(None).cast(_CAP))
-
-    return F.when(low.contains("appl"), F.coalesce(*[at_anchor(a) for a in fv.CAP_ANCHORS]))
+    anchors = F.array(*[F.lit(a) for a in fv.CAP_ANCHORS])
+
+    def near(o: Column) -> Column:
+        lo = F.greatest(o["start"] - fv.CAP_WINDOW_BEFORE, F.lit(0))
+        return F.struct(lo.alias("lo"), F.substring(text, lo + 1, o["start"] + fv.CAP_WINDOW_AFTER - lo).alias("win"))
+
+    def found(w: Column) -> Column:
+        return F.transform(_offsets(w["win"], F.lit(fv.CAP_PATTERN)), lambda m: F.struct(
+            F.substring(w["win"], m["start"] + 1, m["size"]).alias("hit"),
+            _sentence(text, w["lo"] + m["start"], m["size"]).alias("said")))
+
+    windows = F.flatten(F.transform(anchors, lambda a: F.transform(_offsets(low, a), near)))
+    hits = F.filter(F.flatten(F.transform(windows, found)), lambda h: (
+        h["said"].rlike(fv.ABOUT_APPLYING) & (F.length(h["said"]) <= fv.CAP_SENTENCE_MAX) & ~h["hit"].rlike(fv.PER_ROLE)))
+    first = F.get(F.transform(hits, lambda h: F.struct(_count(h["hit"]).alias("cap"), h["said"].alias("cap_text"))), F.lit(0))
+    return F.when(low.contains("appl") & low.rlike("|".join(fv.CAP_ANCHORS)), first)

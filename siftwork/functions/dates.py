@@ -78,3 +78,8 @@ def utc_timestamp(text: Column) -> Column:
     t = F.regexp_replace(F.trim(text), r"^(\d{4}-\d{2}-\d{2}) (?=\d)", "$1T")
     iso = r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
     return F.when(t.rlike(iso), t.try_cast("timestamp"))
+
+
+def at(as_of: str) -> Column:
+    """The moment every relative computation refers to."""
+    return F.lit(as_of).cast("timestamp_ntz")

@@ -2,7 +2,6 @@
 from __future__ import annotations
 
 import html.entities
-import json
 import re
 
 from pyspark.sql import Column
@@ -131,10 +130,8 @@ def normalize_place(location: Column) -> Column:
     city = F.substring_index(city, ",", 1)
     city = F.regexp_replace(city, words_rx(fv.PLACE_NOISE, flags=""), " ")
     city = F.trim(F.regexp_replace(city, "[^a-z0-9]+", " "))
-    out = F.when(F.lit(False), city)
-    for k, v in fv.PLACE_ALIASES.items():
-        out = out.when(city == k, F.lit(v))
-    return out.otherwise(city)
+    known = F.transform(F.array(city), lambda c: F.coalesce(F.try_element_at(_small_map(fv.PLACE_ALIASES), c), c))
+    return F.element_at(known, 1)
 
 
 def dedup_key(company: Column, title: Column, location: Column) -> Column:
@@ -160,29 +157,38 @@ _LEGACY_HEAD = rf"^({'|'.join(_LEGACY)})"
 _C1 = {n: bytes([n]).decode("cp1252") for n in range(0x80, 0xA0) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-def _json_map(m: dict) -> Column:
-    return F.from_json(F.lit(json.dumps({str(k): v for k, v in m.items()})), "map<string,string>")
+_TABLE = "\x01" + "".join(f"{k}\x02{v}\x01" for k, v in html.entities.html5.items())
+
+
+def _small_map(m: dict) -> Column:
+    return F.create_map(*[F.lit(x) for k, v in m.items() for x in (str(k), v)])
+
+
+def _table_lookup(name: Column) -> Column:
+    """Look a name up in the full entity table, kept as one string literal (rare path)."""
+    probe = F.concat(F.lit("\x01"), name, F.lit("\x02"))
+    return F.when(F.contains(F.lit(_TABLE), probe), F.substring_index(
+        F.call_function("substring_index", F.lit(_TABLE), probe, F.lit(-1)), "\x01", 1))
 
 
 def _code_point(n: Column) -> Column:
     ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    return F.when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(_json_map(_C1), n.cast("string")), char)).when(
+    return F.when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(_small_map(_C1), n.cast("string")), char)).when(
         ok, char).otherwise(F.lit("�"))
 
 
 def _entity(m: Column) -> Column:
     name = F.substring(m, 2, 64)
     head = F.regexp_extract(name, _LEGACY_HEAD, 1)
-    full = _json_map(html.entities.html5)
     digits = F.regexp_extract(name, "^#([0-9]+)", 1)
     hexits = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)", 1)
     return F.coalesce(
-        F.try_element_at(_json_map(_COMMON), name),
+        F.try_element_at(_small_map(_COMMON), name),
         F.when(digits != "", _code_point(F.coalesce(digits.try_cast("bigint"), F.lit(0)))),
         F.when(hexits != "", _code_point(F.coalesce(F.conv(F.substring(hexits, 1, 12), 16, 10).try_cast("bigint"), F.lit(0)))),
-        F.try_element_at(full, name),
-        F.when(head != "", F.concat(F.try_element_at(full, head), F.regexp_replace(name, _LEGACY_HEAD, ""))),
+        _table_lookup(name),
+        F.when(head != "", F.concat(_table_lookup(head), F.regexp_replace(name, _LEGACY_HEAD, ""))),
         m)
 
 

@@ -151,7 +151,7 @@ SELECT d.doc_id * 3 + v.v AS eval_seq, d.doc_id AS job_id,
     ELSE 'archive' END AS bucket,
   CASE WHEN {_K} = 0 THEN NULL ELSE '{{"fast":{{"band":"' || CASE (d.doc_id + v.v) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'ambiguous' ELSE 'no' END
     || '","local":' || CAST({_FAST} AS STRING) || ',"triage":'
-    || CASE WHEN {_K} = 3 THEN CAST({_sub(43, 19)} AS STRING) ELSE 'null' END || '},"fit_tags":["'
+    || CASE WHEN {_K} = 3 THEN CAST({_sub(43, 19)} AS STRING) ELSE 'null' END || '}},"fit_tags":["'
     || CASE d.doc_id % 4 WHEN 0 THEN 'cuda' WHEN 1 THEN 'linux' WHEN 2 THEN 'robotics' ELSE 'kafka' END
     || '"],"description_unavailable":' || CASE WHEN d.doc_id % 17 = 0 THEN 'true' ELSE 'false' END || '}}' END AS raw,
   CASE d.doc_id % 3 WHEN 0 THEN '- strong fit' || {NL} || '- ' || CASE d.doc_id % 2 WHEN 0 THEN 'gpu work' ELSE 'spark and kafka' END
