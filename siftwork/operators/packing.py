@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.config import Settings
@@ -67,29 +67,37 @@ def pack_batches(s: Settings, postings: DataFrame) -> DataFrame:
 
 
 def budget_waves(s: Settings, batches: DataFrame, budget: int) -> DataFrame:
-    """Which batches run under a token budget. ``batches`` has (batch, tokens), tokens = what the call will cost.
+    """Which batches start under a token budget. ``batches`` has (batch, tokens), tokens = what the call will cost.
 
-    Waves of ``concurrency`` batches; before each wave the estimate is the largest cost measured so far (a first
-    guess before any), and the wave shrinks to what still fits. Works on the batch table, 40 times smaller than the
-    queue; the two running aggregates are windows over it, first per chunk of batches and then over chunk totals.
+    Batches go in waves of ``concurrency``. Before a wave the cost of a batch is estimated as the largest measured so
+    far (a first guess before any); the wave shrinks to what fits and the run stops when nothing does. Every wave
+    that starts spends at least the cheapest batch, so only the first budget / cheapest waves can matter: those few
+    are folded in order inside one row. Returns (batch, wave, runs).
     """
-    wave = F.floor(F.col("batch") / s.concurrency)
-    per_wave = batches.withColumn("wave", wave).groupBy("wave").agg(
-        F.sum("tokens").alias("t"), F.max("tokens").alias("m"), F.count("*").alias("c")).withColumn("chunk", F.floor(F.col("wave") / 10_000))
-    inside = Window.partitionBy("chunk").orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = per_wave.groupBy("chunk").agg(F.sum("t").alias("ct"), F.max("m").alias("cm"))
-    over = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.select("chunk", F.sum("ct").over(over).alias("ct"), F.max("cm").over(over).alias("cm"))
-    state = per_wave.join(chunks, "chunk").select(
-        "wave", "c", (F.coalesce("ct", F.lit(0)) + F.coalesce(F.sum("t").over(inside), F.lit(0))).alias("spent"),
-        F.coalesce(F.greatest("cm", F.max("m").over(inside)), F.lit(fv.FIRST_BATCH_TOKENS)).alias("estimate"))
-    # a wave that does not fit whole ends the run: the batches after its fitting prefix never start
-    state = state.withColumn("fit", F.floor((F.lit(budget) - F.col("spent")) / F.col("estimate")))
-    stop = state.where(F.col("fit") < F.col("c")).agg(F.min("wave").alias("stop"))
-    out = batches.withColumn("wave", wave).join(state, "wave").crossJoin(F.broadcast(stop))
-    pos = F.col("batch") - F.col("wave") * s.concurrency
-    runs = F.col("stop").isNull() | (F.col("wave") < F.col("stop")) | ((F.col("wave") == F.col("stop")) & (pos < F.col("fit")))
-    return out.select("batch", "wave", "spent", F.col("estimate").cast("bigint").alias("estimate"), runs.alias("runs"))
+    k = s.concurrency
+    rows = batches.withColumn("wave", F.floor(F.col("batch") / k)).withColumn("pos", F.col("batch") % k)
+    cheapest = batches.agg(F.min(F.greatest("tokens", F.lit(1))).alias("low"))
+    reach = rows.crossJoin(F.broadcast(cheapest)).where(F.col("wave") <= F.lit(budget) / F.col("low"))
+    waves = reach.groupBy("wave").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("items"))
+    plan = waves.agg(F.array_sort(F.collect_list(F.struct("wave", "items"))).alias("waves"))
+    zero = F.lit(0).cast("bigint")
+    none = F.array().cast("array<struct<wave:bigint,fit:bigint>>")
+
+    def step(st, w):
+        est = F.when(st["most"] > 0, st["most"]).otherwise(F.lit(fv.FIRST_BATCH_TOKENS))
+        fit = F.when(st["stopped"], zero).otherwise(F.greatest(zero, F.floor((F.lit(budget) - st["spent"]) / est)))
+        started = F.slice(w["items"], F.lit(1), F.least(fit, F.lit(k)).cast("int"))
+        costs = F.transform(started, lambda x: x["tokens"])
+        return F.struct(
+            (st["spent"] + F.aggregate(costs, zero, lambda a, x: a + x)).alias("spent"),
+            F.greatest(st["most"], F.coalesce(F.array_max(costs), zero)).alias("most"),
+            (st["stopped"] | (fit <= 0)).alias("stopped"),
+            F.array_append(st["out"], F.struct(w["wave"].alias("wave"), fit.alias("fit"))).alias("out"))
+
+    start = F.struct(zero.alias("spent"), zero.alias("most"), F.lit(False).alias("stopped"), none.alias("out"))
+    fits = plan.select(F.explode(F.aggregate("waves", start, step)["out"]).alias("f")).select("f.*")
+    return rows.join(fits, "wave", "left").select(
+        "batch", "wave", (F.col("pos") < F.coalesce("fit", zero)).alias("runs"))
 
 
 def batch_inference(batches: DataFrame, scorer: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
