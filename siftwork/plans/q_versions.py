@@ -7,6 +7,7 @@ from siftwork.operators import packing, ranking, reports, versions, windows
 from siftwork.operators.queues import ambiguous_queue
 from siftwork.plans import oracle as o
 from siftwork.plans.registry import query
+from siftwork.session import cut_lineage
 from siftwork.sources.views import raw, view
 
 CUR_SQL = """cur AS (SELECT * FROM evals WHERE profile_hash = 'cur'
@@ -184,9 +185,13 @@ def k01(spark, d):
     rows = reports.bucket_key(decorated(spark, d, ["posted_at"], deadline=True).where("bucket = 'reach'")).select(
         "job_id", "key1", "key2", "likelihood", "desirability", "deadline", F.col("is_new").cast("int").alias("fresh"),
         F.coalesce("posted_at", F.to_date("first_seen_at")).alias("newest"), roles.role_order(S, F.col("role")).alias("role_ord"))
-    rank = ranking.global_rank
-    rows = rank(rows, [("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], {"_a": (F.col("fresh"), "desc"), "_b": (F.col("key1"), "desc")}, name="by_match")
-    rows = rank(rows, [("newest", "desc"), ("job_id", "asc")], {"_a": (F.col("newest"), "desc"), "_b": (ranking.id_bin("job_id"), "asc")}, name="by_newest")
-    rows = rank(rows, [("role_ord", "asc"), ("likelihood", "desc"), ("job_id", "asc")], {"_a": (F.col("role_ord"), "asc"), "_b": (F.col("likelihood"), "desc")}, name="by_role")
-    rows = rank(rows, [("deadline", "asc"), ("desirability", "desc"), ("job_id", "asc")], {"_a": (F.col("deadline"), "asc"), "_b": (F.col("desirability"), "desc")}, name="by_deadline")
-    return rows.select("job_id", "by_match", "by_newest", "by_role", "by_deadline")
+    rows = cut_lineage(rows)          # narrow keys only; every rank below reads them twice
+    specs = {
+        "by_match": ([("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], {"_a": (F.col("fresh"), "desc"), "_b": (F.col("key1"), "desc")}),
+        "by_newest": ([("newest", "desc"), ("job_id", "asc")], {"_a": (F.col("newest"), "desc"), "_b": (ranking.id_bin("job_id"), "asc")}),
+        "by_role": ([("role_ord", "asc"), ("likelihood", "desc"), ("job_id", "asc")], {"_a": (F.col("role_ord"), "asc"), "_b": (F.col("likelihood"), "desc")}),
+        "by_deadline": ([("deadline", "asc"), ("desirability", "desc"), ("job_id", "asc")], {"_a": (F.col("deadline"), "asc"), "_b": (F.col("desirability"), "desc")})}
+    out = rows.select("job_id")
+    for name, (order, coarse) in specs.items():
+        out = out.join(ranking.global_rank(rows, order, coarse, name=name).select("job_id", name), "job_id")
+    return out
