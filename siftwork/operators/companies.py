@@ -55,14 +55,19 @@ def watch_slugs(companies: DataFrame, directory: DataFrame) -> DataFrame:
     return on.select("slug").unionByName(on.join(names, "entry").select(F.col("alias").alias("slug"))).distinct()
 
 
+def board_rows(rows: DataFrame, url: str) -> DataFrame:
+    """Keep rows whose URL names a board and add it as struct ``b`` (a generator, so the URL is matched once)."""
+    found = F.filter(F.array(board_from_url(F.col(url))), lambda x: x.isNotNull())
+    return rows.select("*", F.explode(found).alias("b"))
+
+
 def harvest_boards(postings: DataFrame, companies: DataFrame) -> DataFrame:
     """Boards revealed by posting URLs for companies that have none: first posting per slug, removed companies stay
     removed. ``postings`` needs job_id, company_name, company_id, url, active, description_text."""
     have = companies.where(F.col("ats_token").isNotNull()).select("company_id")
-    hit = board_from_url(canonical_url(F.col("url")))
     rows = (postings.where(F.col("active") & (F.col("description_text").isNull() | (F.col("description_text") != "")))
-            .join(have, "company_id", "left_anti")
-            .select("job_id", F.col("company_name").alias("name"), slug(F.col("company_name")).alias("slug"), hit.alias("b")).where("b IS NOT NULL"))
+            .join(have, "company_id", "left_anti").withColumn("curl", canonical_url(F.col("url"))))
+    rows = board_rows(rows.select("job_id", F.col("company_name").alias("name"), slug(F.col("company_name")).alias("slug"), "curl"), "curl").drop("curl")
     first = first_per_key(rows, ["slug"], [("job_id", "asc")])
     removed = companies.where(F.col("status").isin("rejected", "paused")).select("slug")
     known = companies.select("slug", F.col("source").alias("_s"), F.col("status").alias("_t"))

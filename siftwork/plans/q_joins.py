@@ -184,7 +184,7 @@ FROM company_dim c LEFT JOIN (SELECT job_id, 'greenhouse:sup' || supplier_key AS
 WHERE c.status = 'approved' AND c.ats_token IS NOT NULL GROUP BY 1, 2""")
 def j14(spark, d):
     """Boards with their open postings; a posting's source key comes from the board its URL names."""
-    p = view(spark, d, "postings", ["url", "active"]).where("active").select(tx.board_from_url(F.col("url")).alias("b")).where("b IS NOT NULL")
+    p = co.board_rows(view(spark, d, "postings", ["url", "active"]).where("active"), "url")
     opened = p.groupBy(co.source_key(F.col("b.ats_type"), F.col("b.ats_token")).alias("source_key")).agg(F.count("*").alias("postings"))
     c = view(spark, d, "company_dim").where((F.col("status") == "approved") & F.col("ats_token").isNotNull() & F.col("ats_type").isin(fv.POLLABLE_BOARDS))
     boards = c.select("slug", co.source_key(c.ats_type, c.ats_token).alias("source_key"))
