@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork.functions import fixed_values as fv
-from siftwork.functions.text import windows_after
+from siftwork.functions.text import hints, windows_after
 
 _M = fv.MONTH_PATTERN
 # (pattern, group of year, group of month, group of day), tried in this order
@@ -48,7 +48,7 @@ def deadline(text: Column, as_of: Column) -> Column:
     found = F.filter(
         F.transform(windows_after(text, fv.DEADLINE_CUE, fv.DEADLINE_WINDOW_CHARS), lambda w: parse_date(w, today)),
         lambda d: d >= F.date_sub(today, fv.DROP_AFTER_DAYS))
-    return F.when(text.rlike(fv.DEADLINE_CUE), F.get(found, F.lit(0)))
+    return F.when(hints(text, fv.DEADLINE_HINTS), F.get(found, F.lit(0)))
 
 
 def is_rolling(text: Column) -> Column:

@@ -8,11 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftwork.functions import fixed_values as fv
-from siftwork.functions.text import strip
+from siftwork.functions.text import hints, strip
 
-# a cheap superset test: any text naming a degree contains one of these
-_ANY_DEGREE = (r"(?i)ph\.?[\s-]?d|doctor|phil|master|gradua|m\.?eng|m\.?a|m\.?s|bachelor|baccal|b\.?eng|b\.?a|b\.?s|a\.?a"
-               r"|associate|fresh|sophomore|junior|senior|year")
+_DOTTED_HINT = r"(?i)\b(?:ph|[abmd])\.\s?[adeps]"      # every dotted degree contains this
 _NAMES = sorted(fv.DEGREE_LEVELS, key=fv.DEGREE_LEVELS.get)
 
 
@@ -26,7 +24,7 @@ def undot(text: Column) -> Column:
         letters = form.split(".")
         rx = r"\.\s?".join(f"({x})" for x in letters) if form != "A.A.S" else r"(A)\.\s?(A)\.?\s?(S)"
         out = F.regexp_replace(out, rf"(?i)\b{rx}\.?", "".join(f"${i + 1}" for i in range(len(letters))))
-    return F.when(F.coalesce(text, F.lit("")).contains("."), out).otherwise(F.coalesce(text, F.lit("")))
+    return F.when(text.rlike(_DOTTED_HINT), out).otherwise(F.coalesce(text, F.lit("")))
 
 
 def _named(text: Column) -> dict[str, Column]:
@@ -51,19 +49,24 @@ def mask_names(mask: Column) -> Column:
 
 
 def _clauses(text: Column) -> Column:
-    """Array of struct(text, mask, head, ok): head 1 = "preferred" heading, 2 = "required" heading, 0 = neither."""
+    """Clauses that can matter, as struct(text, mask, head, ok): head 1 = "preferred" heading, 2 = "required" heading,
+    0 = neither. Degree patterns run only on possible headings and on requirement clauses."""
     parts = F.filter(F.transform(F.split(text, fv.CLAUSE_BREAK, -1), strip), lambda p: p != "")
-    named = F.transform(parts, lambda p: F.struct(p.alias("text"), level_mask(p).alias("mask")))
 
-    def judge(x: Column) -> Column:
-        p = x["text"]
-        head = F.when((F.length(p) <= fv.HEADING_MAX_CHARS) & (x["mask"] == 0),
+    def judge(p: Column) -> Column:
+        head = F.when(F.length(p) <= fv.HEADING_MAX_CHARS,
                       F.when(p.rlike(fv.PREFERRED_HEADING), F.lit(1)).when(p.rlike(fv.REQUIRED_HEADING), F.lit(2))
                       .otherwise(F.lit(0))).otherwise(F.lit(0))
-        ok = ((F.length(p) <= fv.CLAUSE_MAX_CHARS) & p.rlike(fv.REQUIREMENT_WORDS)
+        ok = ((F.length(p) <= fv.CLAUSE_MAX_CHARS) & hints(p, fv.REQUIREMENT_HINTS) & p.rlike(fv.REQUIREMENT_WORDS)
               & ~p.rlike(fv.OPTIONAL_WORDS) & ~p.rlike(fv.PAY_WORDS))
-        return F.struct(p.alias("text"), x["mask"].alias("mask"), head.alias("head"), ok.alias("ok"))
-    return F.transform(named, judge)
+        return F.struct(p.alias("text"), head.alias("head"), ok.alias("ok"))
+
+    live = F.filter(F.transform(parts, judge), lambda x: (x["head"] > 0) | x["ok"])
+    named = F.transform(live, lambda x: F.struct(
+        x["text"].alias("text"), x["head"].alias("head"), x["ok"].alias("ok"), level_mask(x["text"]).alias("mask")))
+    return F.transform(named, lambda x: F.struct(
+        x["text"].alias("text"), x["mask"].alias("mask"), x["ok"].alias("ok"),
+        F.when(x["mask"] == 0, x["head"]).otherwise(F.lit(0)).alias("head")))
 
 
 def _off(st: Column, x: Column) -> Column:
@@ -82,7 +85,7 @@ def requirement_clauses(text: Column) -> Column:
         keep = F.when(~_off(st, x) & x["ok"], F.array_append(st["kept"], x["text"])).otherwise(st["kept"])
         return F.struct(_off(st, x).alias("off"), keep.alias("kept"))
     fold = F.aggregate(_clauses(undot(text)), F.struct(F.lit(False).alias("off"), none.alias("kept")), step)["kept"]
-    return F.when(text.rlike(fv.REQUIREMENT_WORDS), fold).otherwise(none)
+    return F.when(hints(text, fv.REQUIREMENT_HINTS), fold).otherwise(none)
 
 
 def description_mask(text: Column) -> Column:
@@ -92,7 +95,7 @@ def description_mask(text: Column) -> Column:
         return F.struct(_off(st, x).alias("off"), st["mask"].bitwiseOR(add).alias("mask"))
     t = undot(text)
     fold = F.aggregate(_clauses(t), F.struct(F.lit(False).alias("off"), F.lit(0).alias("mask")), step)["mask"]
-    return F.when(t.rlike(fv.REQUIREMENT_WORDS) & t.rlike(_ANY_DEGREE), fold).otherwise(F.lit(0))
+    return F.when(hints(text, fv.REQUIREMENT_HINTS), fold).otherwise(F.lit(0))
 
 
 def accepted_mask(title: Column, text: Column) -> Column:

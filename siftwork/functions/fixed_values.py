@@ -126,6 +126,8 @@ REQUIRED_HEADING = (
 )
 HEADING_MAX_CHARS = 60
 CLAUSE_MAX_CHARS = 400
+# every requirement clause contains one of these, lower-cased
+REQUIREMENT_HINTS = ["enrol", "pursuing", "working", "matriculated", "must", "requir", "eligib", "open", "candidat"]
 
 # --- fixed values: deadlines ------------------------------------------------------------------
 DEADLINE_CUE = (
@@ -134,6 +136,8 @@ DEADLINE_CUE = (
     r"|closing\s+date|closes\s+on|last\s+day\s+to\s+apply|posting\s+(?:closes|expires)|expires?\s+on|open\s+until)"
     r"[:\s]*(?:is|of|on)?[:\s]*"
 )
+# every cue contains one of these, lower-cased
+DEADLINE_HINTS = ["deadline", "apply", "application", "closing", "closes", "last", "posting", "expire", "until"]
 MONTH_PATTERN = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?"
     r"|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
@@ -173,6 +177,15 @@ BOILERPLATE = (
     r"|diversity, equity|background check|drug (?:screen|test)|pay (?:range|transparency)"
     r"|compensation range|base (?:pay|salary) range)"
 )
+# the same markers as plain phrases; only "eeo" needs a word end
+BOILERPLATE_PHRASES = [
+    "equal opportunity", "equal employment", "affirmative action", "reasonable accommodation",
+    "without regard to race", "all qualified applicants", "benefits include", "benefits package", "401(k)",
+    "paid time off", "medical, dental", "e-verify", "we are committed to diversity",
+    "we are committed to creating", "we are committed to building", "diversity, equity", "background check",
+    "drug screen", "drug test", "pay range", "pay transparency", "compensation range", "base pay range",
+    "base salary range",
+]
 BOILERPLATE_MIN_START = 400
 SCORER_TEXT_CHARS = 2500
 
@@ -262,4 +275,6 @@ SPLIT_FROM = {
 }
 
 # --- fixed values: whitespace as str.split() sees it (valid in Java and in RE2 syntax) ----------
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

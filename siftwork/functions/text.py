@@ -1,7 +1,9 @@
 """Column builders for URLs, names, titles, places, HTML and text. Everything stays in the JVM."""
 from __future__ import annotations
 
+import functools
 import html.entities
+import operator
 import re
 
 from pyspark.sql import Column
@@ -43,7 +45,7 @@ def squeeze(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{fv.WS}+|{fv.WS}+$", "")
+    return F.btrim(c, F.lit(fv.WS_CHARS))
 
 
 def array_text(c: Column) -> Column:
@@ -250,9 +252,25 @@ def windows_after(text: Column, rx: str, chars: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"{rx}(?=([\s\S]{{0,{chars}}}))"), F.lit(1))
 
 
+def hints(text: Column, words) -> Column:
+    """Cheap superset test: does the lower-cased text contain any of these substrings?"""
+    low = F.lower(text)
+    return functools.reduce(operator.or_, [low.contains(w) for w in words])
+
+
+def _first_marker(text: Column) -> Column:
+    """1-based place of the first boilerplate marker, 0 if none. Plain substring searches; the pattern itself runs
+    only where lower-casing changed the length (places would shift)."""
+    low = F.lower(text)
+    at = [F.when(low.contains(p), F.instr(low, F.lit(p))) for p in fv.BOILERPLATE_PHRASES]
+    at.append(F.when(low.contains("eeo"), F.nullif(F.regexp_instr(low, F.lit(r"eeo\b")), F.lit(0))))
+    place = F.coalesce(F.least(*at), F.lit(0))         # evaluated unconditionally, so the lower-cased text is shared
+    return place + F.when(F.length(low) != F.length(text), F.regexp_instr(text, F.lit(fv.BOILERPLATE)) - place).otherwise(F.lit(0))
+
+
 def trim_boilerplate(text: Column) -> Column:
     """Cut at the first legal/benefit marker unless it sits near the top, then collapse blank lines."""
-    at = F.regexp_instr(text, F.lit(fv.BOILERPLATE))
+    at = _first_marker(text)
     cut = F.when(at > fv.BOILERPLATE_MIN_START, F.substring(text, F.lit(1), at - 1)).otherwise(text)
     return strip(F.regexp_replace(cut, "\n{3,}", "\n\n"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import Settings
 from siftwork.functions import caps, fixed_values as fv, roles
+from siftwork.functions.plan import once
 from siftwork.functions.text import board_from_url, canonical_url, company_key, slug
 from siftwork.operators.ranking import first_per_key
 from siftwork.session import cut_lineage
@@ -100,7 +101,7 @@ def derive_tags(s: Settings, postings: DataFrame, directory: DataFrame) -> DataF
     window; general postings carry no signal; at most three tags above the minimum count and share, or the single
     strongest; trading firms get theirs; earlier tags stay."""
     role = roles.classify(s, F.col("title"), F.col("company_name"))
-    counts = postings.select("source", slug(F.col("company_name")).alias("name_slug"), role.alias("role")).where("role <> 'general'")
+    counts = once(postings, role=role, name_slug=slug(F.col("company_name"))).where("role <> 'general'").select("source", "name_slug", "role")
     by_name = counts.groupBy("name_slug", "role").agg(F.count("*").alias("n"))
     by_source = counts.groupBy("source", "role").agg(F.count("*").alias("n"))
     e = parse_directory(directory)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import Settings
 from siftwork.functions import dates, fixed_values as fv, roles, terms
+from siftwork.functions.plan import once
 from siftwork.functions.text import slug
 
 
@@ -31,10 +32,10 @@ def decorate(s: Settings, rows: DataFrame) -> DataFrame:
         "src": scorer_class(F.col("model")), "fit_tags": F.coalesce(F.array_join(tags, "|"), F.lit("")),
         "unread": F.coalesce(F.get_json_object("raw", "$.description_unavailable") == "true", F.lit(False)),
         "is_new": F.coalesce(is_new(F.col("created_at"), s), F.lit(False)),
-        "track": terms.term_track(s, F.col("title"), terms.split_terms(F.col("terms_txt"))),
         "bullets": F.array_join(bullets(F.col("summary")), "|"),
     })
-    rows = rows.withColumn("role", F.coalesce(
+    rows = once(rows, track=terms.term_track(s, F.col("title"), terms.split_terms(F.col("terms_txt"))))
+    rows = once(rows, role=F.coalesce(
         F.get_json_object("raw", "$.fast.role"),
         roles.classify(s, F.col("title"), F.col("company_name"), F.replace("fit_tags", F.lit("|"), F.lit(" | ")), F.col("summary"))))
     return rows.withColumn("role_label", roles.role_label(s, F.col("role")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import Settings
 from siftwork.functions import rules, scoring, terms
+from siftwork.functions.plan import once
 from siftwork.operators.lookup import reputation_by_slug
 
 
@@ -14,7 +15,7 @@ def scored_postings(s: Settings, postings: DataFrame, companies: DataFrame) -> D
 
 
 def with_reason(s: Settings, rows: DataFrame) -> DataFrame:
-    return rows.withColumn("reason", rules.first_reason(
+    return once(rows, reason=rules.first_reason(
         s, title=F.col("title"), location=F.col("location"), terms=terms.split_terms(F.col("terms_txt")),
         text=F.col("description_text"), sponsorship=F.col("sponsorship")))
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import DEFAULT as S
 from siftwork.functions import dates, fixed_values as fv, roles, text as tx
+from siftwork.functions.plan import once
 from siftwork.operators import companies as co, dashboard as db, lookup, merge, queues, ranking, reports, scores, versions, windows
 from siftwork.plans import oracle as o
 from siftwork.plans.q_rules import RULE_COLUMNS, _READ
@@ -197,7 +198,7 @@ SELECT c.grp, string_agg(c.key, '|' ORDER BY c.ord) AS keys, CAST(sum(coalesce(r
 def a23(spark, d):
     """Picker groups with their types and how many postings land in each group (the fallback type has no group)."""
     p = view(spark, d, "postings", ["title", "company_name"])
-    n = p.groupBy(roles.classify(S, p.title, p.company_name).alias("key")).agg(F.count("*").alias("n"))
+    n = once(p, key=roles.classify(S, p.title, p.company_name)).groupBy("key").agg(F.count("*").alias("n"))
     c = view(spark, d, "catalog").join(n, "key", "left")
     g = c.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("ord", "key"))).alias("k"), F.sum(F.coalesce("n", F.lit(0))).alias("postings"))
     return g.select("grp", F.array_join(F.transform("k", lambda x: x["key"]), "|").alias("keys"), "postings")

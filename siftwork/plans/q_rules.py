@@ -147,7 +147,7 @@ _HITS = """SELECT o_orderkey AS hit, 'owner/list-' || CAST(o_custkey % 200 AS ST
 
 def feed_hits(spark, d):
     from siftwork.sources.views import bind_spark
-    return spark.sql(bind_spark(_HITS, d))
+    return spark.sql(bind_spark(spark, _HITS, d))
 
 
 HITS_SQL = _HITS.replace("{orders}", "orders")
@@ -220,7 +220,7 @@ SELECT f.owner, f.key, f.weight, f.weight <= coalesce(n.neutral, 36) AS excluded
 def p05(spark, d):
     """Old role weights carried onto split-out types: own weight, else the parent's; at or below neutral = excluded."""
     from siftwork.sources.views import bind_spark
-    w = spark.sql(bind_spark(_WEIGHTS, d))
+    w = spark.sql(bind_spark(spark, _WEIGHTS, d))
     kids = F.create_map(*[F.lit(x) for p in sorted(set(fv.SPLIT_FROM.values())) for x in (
         p, "|".join(k for k, v in fv.SPLIT_FROM.items() if v == p))])
     inherited = w.select("owner", F.explode(F.split(F.try_element_at(kids, F.col("key")), "\\|")).alias("key"), "weight")

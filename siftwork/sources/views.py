@@ -191,8 +191,25 @@ def view_sql(name: str, columns: Iterable[str] | None = None) -> str:
     return postings_sql(columns) if name == "postings" else VIEWS[name]
 
 
-def bind_spark(sql: str, sf_dir: str) -> str:
-    return _TABLE.sub(lambda m: f"parquet.`{os.path.join(sf_dir, m.group(1) + '.parquet')}`", sql)
+# Tables whose rows cost real CPU time (whole texts go through many patterns) and the key that spreads them.
+_HEAVY = {"documents": "doc_id", "pages": "page_id"}
+
+
+def _spread_to(spark: SparkSession, path: str) -> int | None:
+    """Number of partitions to spread a heavy table to, or None. A table in fewer splits than there are cores (one
+    file, say) would leave cores idle; a large table arrives in more splits than cores and is never shuffled for this."""
+    cores = spark.sparkContext.defaultParallelism
+    return cores if spark.read.parquet(path).rdd.getNumPartitions() < cores else None
+
+
+def _source(spark: SparkSession, sf_dir: str, table: str) -> str:
+    path = os.path.join(sf_dir, f"{table}.parquet")
+    n = _spread_to(spark, path) if table in _HEAVY else None
+    return f"(SELECT /*+ REPARTITION({n}, {_HEAVY[table]}) */ * FROM parquet.`{path}`)" if n else f"parquet.`{path}`"
+
+
+def bind_spark(spark: SparkSession, sql: str, sf_dir: str) -> str:
+    return _TABLE.sub(lambda m: _source(spark, sf_dir, m.group(1)), sql)
 
 
 def bind_plain(sql: str) -> str:
@@ -200,8 +217,8 @@ def bind_plain(sql: str) -> str:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-    return spark.sql(bind_spark(view_sql(name, columns), sf_dir))
+    return spark.sql(bind_spark(spark, view_sql(name, columns), sf_dir))
 
 
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{table}.parquet"))
+    return spark.sql(f"SELECT * FROM {_source(spark, sf_dir, table)}")
