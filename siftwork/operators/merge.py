@@ -41,3 +41,188 @@ def attach_scores(s: Settings, queue: DataFrame, external: DataFrame) -> DataFra
         F.when(F.col("score").isNull(), F.lit("deferred")).when(low, F.lit("rejected")).otherwise(F.lit("scored")).alias("outcome"),
         F.when(low, F.concat(F.lit("triage: scored low ("), F.col("score").cast("string"), F.lit(")"))).alias("hard_reject_reason"),
         F.when(~low, scoring.blend(s, F.col("likelihood"), F.col("score"))).alias("final"))
+
+
+# ---- postings ------------------------------------------------------------------------------------
+
+def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
+    """Merge an ordered batch of postings into a snapshot and return the new snapshot.
+
+    The batch applies in job_id order: a posting that matches nothing becomes a new row, later ones with its key
+    update it. Folding updates in order reduces to min_by/max_by per field (first non-empty fill, last state, first
+    or last text), so a posting reported by a third of all rows costs one partial row per task, never a sorted group.
+    Matching looks one hop far: by key, else by stored URL.
+    """
+    inc = match_existing(incoming, stored).withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
+    carried = ["dedup_key", "curl", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
+    fresh = inc.where("match_id IS NULL")
+    base_new = fresh.groupBy("dedup_key").agg(F.min_by(F.struct("job_id", *[c for c in carried if c != "dedup_key"]), "job_id").alias("r")).select(
+        "dedup_key", "r.*", F.lit(True).alias("is_new"))
+    base_old = stored.withColumn("deadline", dates.deadline(F.col("description_text"), as_of)).select("job_id", *carried, F.lit(False).alias("is_new"))
+    base = base_old.unionByName(base_new.select("job_id", *carried, "is_new"))
+
+    owner = base_new.select("dedup_key", F.col("job_id").alias("new_id"))
+    upd = inc.join(owner, "dedup_key", "left").withColumn("target", F.coalesce("match_id", "new_id")).where(
+        F.col("match_id").isNotNull() | (F.col("job_id") != F.col("new_id")))
+    upd = upd.join(base.select(F.col("job_id").alias("target"), F.col("source").alias("base_source")), "target")
+    at = F.col("job_id")
+    has_text = F.coalesce(F.col("description_text") != "", F.lit(False))
+    same = has_text & (F.col("source") == F.col("base_source"))
+    text = F.struct("description_text", "description_hash", "deadline")
+    agg = upd.groupBy("target").agg(
+        F.min_by("company_id", F.when(F.col("company_id").isNotNull(), at)).alias("company_fill"),
+        F.min_by("terms_txt", F.when(F.col("terms_txt") != "", at)).alias("terms_fill"),
+        F.min_by("sponsorship", F.when(F.col("sponsorship") != "", at)).alias("sponsor_fill"),
+        F.max_by("active", at).alias("active_last"),
+        F.min_by(text, F.when(has_text, at)).alias("first_text"), F.max_by(text, F.when(same, at)).alias("last_same"),
+        F.min(F.when(same, F.col("description_hash"))).alias("low_hash"), F.max(F.when(same, F.col("description_hash"))).alias("high_hash"),
+        F.min_by("deadline", F.when(same & F.col("deadline").isNotNull(), at)).alias("same_deadline"))
+    b, a = base.alias("b"), agg.alias("a")
+    j = b.join(a, F.col("b.job_id") == F.col("a.target"), "left")
+    open_text = F.col("b.description_hash").isNull()
+    new_text = F.coalesce(F.col("a.last_same"), F.when(open_text, F.col("a.first_text")))
+    start_hash = F.coalesce(F.col("b.description_hash"), F.col("a.first_text.description_hash"))
+    touched = F.col("a.target").isNotNull()
+    return j.select(
+        F.col("b.job_id"), F.col("b.is_new"), F.col("b.dedup_key"), F.col("b.curl"), F.col("b.source"),
+        F.coalesce("b.company_id", "a.company_fill").alias("company_id"),
+        F.when(F.coalesce(F.col("b.terms_txt"), F.lit("")) != "", F.col("b.terms_txt")).otherwise(F.coalesce("a.terms_fill", "b.terms_txt")).alias("terms_txt"),
+        F.coalesce("b.sponsorship", "a.sponsor_fill").alias("sponsorship"), F.coalesce("a.active_last", "b.active").alias("active"),
+        F.coalesce(new_text["description_text"], F.col("b.description_text")).alias("description_text"),
+        F.coalesce(new_text["description_hash"], F.col("b.description_hash")).alias("description_hash"),
+        F.coalesce(F.col("b.deadline"), F.when(open_text, F.col("a.first_text.deadline")), F.col("a.same_deadline")).alias("deadline"),
+        F.coalesce((F.col("a.low_hash") != start_hash) | (F.col("a.high_hash") != start_hash), F.lit(False)).alias("needs_reeval"),
+        touched.alias("touched"))
+
+
+def ingest_stats(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Per source: postings seen, postings new to the snapshot (first of their key), postings deactivated."""
+    m = match_existing(incoming, stored)
+    seen = m.groupBy("source").agg(F.count("*").alias("seen"))
+    new = m.where("match_id IS NULL").groupBy("dedup_key").agg(F.min_by("source", "job_id").alias("source")).groupBy("source").agg(F.count("*").alias("new"))
+    hit = m.where("match_id IS NOT NULL").select(F.col("match_id").alias("job_id"), "source")
+    gone = deactivate_missing(stored, incoming.select("job_id", "source").unionByName(hit)).groupBy("source").agg(F.count("*").alias("deactivated"))
+    zero = F.lit(0)
+    return seen.join(new, "source", "left").join(gone, "source", "left").select(
+        "source", "seen", F.coalesce("new", zero).alias("new"), F.coalesce("deactivated", zero).alias("deactivated"))
+
+
+def mark_fetch_failures(postings: DataFrame) -> DataFrame:
+    """Raise the failure counter kept in the row's JSON map; other keys stay."""
+    raw = F.coalesce(F.from_json("raw", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    n = F.coalesce(F.try_element_at(raw, F.lit("fetch_failures")).try_cast("int"), F.lit(0)) + 1
+    kept = F.map_filter(raw, lambda k, v: k != "fetch_failures")
+    return postings.select("job_id", F.to_json(F.map_concat(kept, F.create_map(F.lit("fetch_failures"), n.cast("string")))).alias("raw"),
+                           n.alias("failures"), (n >= fv.FETCH_GIVE_UP).alias("given_up"))
+
+
+# ---- companies, feeds, applications -----------------------------------------------------------------
+
+def upsert_companies(stored: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Non-null fields win; a proposal never demotes an approved or rejected company."""
+    a, b = stored.alias("a"), proposed.alias("b")
+    j = a.join(b, F.col("a.slug") == F.col("b.slug"), "full")
+    known, touched = F.col("a.slug").isNotNull(), F.col("b.slug").isNotNull()
+    may = (F.col("b.status") == "approved") | ~F.col("a.status").isin("approved", "rejected")
+    status = F.when(~known, F.col("b.status")).when(touched & may, F.col("b.status")).otherwise(F.col("a.status"))
+    return j.select(
+        F.coalesce("a.slug", "b.slug").alias("slug"), F.coalesce("a.name", "b.name").alias("name"), F.coalesce("a.source", "b.source").alias("source"),
+        status.alias("status"), *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("tier", "reputation", "ats_type", "ats_token")])
+
+
+def feed_health(polls: DataFrame) -> DataFrame:
+    """Feed state after an ordered log of polls (feed, at, seq, outcome, rows, code).
+
+    Disabled is final; a success with enough rows means active, a gone/unparsable feed means broken, and neither a
+    network error nor a thin success changes anything. So the final state is that of the last deciding event: a plain
+    aggregate instead of a fold over a feed's whole history.
+    """
+    when = F.struct("at", "seq")
+    good = (F.col("outcome") == "ok") & (F.col("rows") >= fv.FEED_MIN_ROWS)
+    gone = ((F.col("outcome") == "http") & F.col("code").isin(fv.FEED_GONE_STATUS)) | (F.col("outcome") == "unparsable")
+    verdict = F.when(good, F.lit("active")).when(gone, F.lit("broken"))
+    return polls.groupBy("feed").agg(
+        F.when(F.bool_or(F.col("outcome") == "disabled"), F.lit("disabled")).otherwise(
+            F.coalesce(F.max_by(verdict, F.when(verdict.isNotNull(), when)), F.lit("active"))).alias("status"),
+        F.max_by("rows", F.when(F.col("outcome") == "ok", when)).alias("last_rows"), F.max("at").alias("last_checked"))
+
+
+def probe_feeds(candidates: DataFrame, known: DataFrame, days_since_search: int | None) -> DataFrame:
+    """Classify probed candidates: listing feed, table feed, or broken with a reason. Known feeds are skipped, and the
+    whole search is skipped within a week of the last one."""
+    if days_since_search is not None and days_since_search < fv.FEED_SEARCH_EVERY_DAYS:
+        candidates = candidates.limit(0)
+    c = candidates.join(known, "repo", "left_anti")
+    kind = F.when(F.coalesce("listing_rows", F.lit(0)) > 0, F.lit("simplify")).when(F.coalesce("table_rows", F.lit(0)) >= fv.FEED_MIN_ROWS, F.lit("readme"))
+    n = F.when(F.coalesce("listing_rows", F.lit(0)) > 0, F.col("listing_rows")).otherwise(F.coalesce("table_rows", F.lit(0)))
+    return c.select("repo", kind.alias("kind"), F.when(kind.isNotNull(), F.lit("active")).otherwise(F.lit("broken")).alias("status"), n.alias("rows"),
+                    F.when(kind.isNull(), F.coalesce("error", F.concat(F.lit("only "), n.cast("string"), F.lit(" parsable postings")))).alias("error"))
+
+
+# ---- evaluations ---------------------------------------------------------------------------------
+
+def fresh_reasons(s: Settings, postings: DataFrame) -> DataFrame:
+    """(job_id, reason): the rules re-run once per active posting."""
+    from siftwork.operators.scores import with_reason
+    return with_reason(s, postings.where("active")).select("job_id", "reason")
+
+
+def reprefilter(s: Settings, evals: DataFrame, reasons: DataFrame, deep: bool = False) -> DataFrame:
+    """Scored rows the rules now reject. Full-rubric rows only on request."""
+    rows = evals.where((F.col("profile_hash") == s.profile) & F.col("hard_reject_reason").isNull())
+    if not deep:
+        rows = rows.where(F.col("model").isin("local", "triage"))
+    return rows.join(reasons.where("reason IS NOT NULL"), "job_id").select("job_id", "eval_seq", "model", "reason")
+
+
+def unreject_stale(s: Settings, evals: DataFrame, reasons: DataFrame) -> DataFrame:
+    """Rule rejects whose reason no longer holds: ``freed`` rows are deleted (pending again), others re-labelled."""
+    rows = evals.where((F.col("profile_hash") == s.profile) & (F.col("model") == "prefilter")).join(reasons, "job_id")
+    rows = rows.where(~F.col("reason").eqNullSafe(F.col("hard_reject_reason")))
+    return rows.select("job_id", "eval_seq", F.col("hard_reject_reason").alias("old_reason"), "reason",
+                       F.when(F.col("reason").isNull(), F.lit("freed")).otherwise(F.lit("updated")).alias("action"))
+
+
+def apply_unreject(evals: DataFrame, changes: DataFrame) -> DataFrame:
+    """The evaluation table after ``unreject_stale``."""
+    c = changes.select("eval_seq", F.col("reason").alias("_r"), F.col("action").alias("_a"))
+    out = evals.join(c, "eval_seq", "left").where("_a IS NULL OR _a <> 'freed'")
+    return out.withColumn("hard_reject_reason", F.when(F.col("_a") == "updated", F.col("_r")).otherwise(F.col("hard_reject_reason"))).drop("_r", "_a")
+
+
+def reconcile_counts(rejects: DataFrame, changes: DataFrame) -> DataFrame:
+    label = F.when(F.col("reason").isNull(), F.concat(F.lit("freed: "), F.col("old_reason"))).otherwise(F.concat_ws(" -> ", "old_reason", "reason"))
+    return rejects.select(F.col("reason").alias("change")).unionByName(changes.select(label.alias("change"))).groupBy("change").agg(F.count("*").alias("n"))
+
+
+def propose_companies(rows: DataFrame, companies: DataFrame) -> DataFrame:
+    """Companies to propose from good postings nobody is linked to yet, one per slug."""
+    from siftwork.operators.ranking import first_per_key
+    good = rows.where(F.col("bucket").isin("likely", "reach") & F.col("company_id").isNull()).select(
+        slug(F.col("company_name")).alias("slug"), F.col("company_name").alias("name"), "job_id",
+        F.concat(F.lit("Posted a "), F.col("bucket"), F.lit(" job: "), F.col("title")).alias("rationale"))
+    first = first_per_key(good, ["slug"], [("job_id", "asc")])
+    return first.join(companies.select("slug"), "slug", "left_anti").select("slug", "name", "rationale", F.lit("proposed").alias("status"))
+
+
+def watchlist_changes(changes: DataFrame, companies: DataFrame, directory: DataFrame, postings: DataFrame) -> DataFrame:
+    """Apply add / add_known / remove requests (request, action, value): outcome, company slug and new status."""
+    from siftwork.operators.companies import parse_directory, slug_index
+    idx = slug_index(directory)
+    key = F.when(F.col("action") == "add_known", slug(F.col("value"))).otherwise(F.col("value"))
+    c = changes.withColumn("k", key).join(idx.select(F.col("alias").alias("k"), "entry"), "k", "left")
+    names = parse_directory(directory).select(F.col("slug").alias("entry"), F.explode("slugs").alias("alias"))
+    by_slug = names.join(companies.select(F.col("slug").alias("alias")), "alias").groupBy("entry").agg(
+        F.min_by("alias", F.struct((F.col("alias") != F.col("entry")).alias("a"), F.col("alias").alias("b"))).alias("row_slug"))
+    boards = directory.where("ats_token <> ''").select(F.col("slug").alias("entry"), "ats_type", F.lower("ats_token").alias("_t"))
+    by_board = boards.join(companies.select("ats_type", F.lower("ats_token").alias("_t"), F.col("slug").alias("board_slug")), ["ats_type", "_t"]).groupBy(
+        "entry").agg(F.min("board_slug").alias("board_slug"))
+    spelled = postings.select(F.col("company_name").alias("value")).distinct().withColumn("spelled", F.lit(True))
+    own = companies.select(F.col("slug").alias("k"), F.lit(True).alias("exists"))
+    c = c.join(by_slug, "entry", "left").join(by_board, "entry", "left").join(spelled, "value", "left").join(own, "k", "left")
+    in_directory = F.col("entry").isNotNull()
+    target = F.coalesce("row_slug", "board_slug", "entry")
+    adding = F.col("action").isin("add", "add_known")
+    outcome = (F.when(adding & in_directory, F.lit("approved")).when((F.col("action") == "add_known") & F.coalesce("spelled", F.lit(False)), F.lit("approved"))
+               .when(adding, F.lit("not_found")).when(F.coalesce("exists", F.lit(False)), F.lit("paused")).otherwise(F.lit("missing")))
+    return c.select("request", "action", outcome.alias("outcome"), F.when(outcome.isin("approved", "paused"), F.when(adding & in_directory, target).otherwise(F.col("k"))).alias("slug"))
