@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.config import Settings
 from siftwork.functions import dates, fixed_values as fv, scoring
 from siftwork.functions.text import canonical_url, dedup_key, slug, text_hash
+from siftwork.session import cut_lineage
 
 
 def keyed_rows(postings: DataFrame) -> DataFrame:
@@ -54,6 +55,7 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> Da
     Matching looks one hop far: by key, else by stored URL.
     """
     inc = match_existing(incoming, stored).withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
+    inc = cut_lineage(inc)                  # the staged batch: keys, match and deadline are worked out once
     carried = ["dedup_key", "curl", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
     fresh = inc.where("match_id IS NULL")
     base_new = fresh.groupBy("dedup_key").agg(F.min_by(F.struct("job_id", *[c for c in carried if c != "dedup_key"]), "job_id").alias("r")).select(
@@ -97,11 +99,11 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> Da
 
 def ingest_stats(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per source: postings seen, postings new to the snapshot (first of their key), postings deactivated."""
-    m = match_existing(incoming, stored)
+    m = cut_lineage(match_existing(incoming, stored).select("job_id", "source", "dedup_key", "match_id"))
     seen = m.groupBy("source").agg(F.count("*").alias("seen"))
     new = m.where("match_id IS NULL").groupBy("dedup_key").agg(F.min_by("source", "job_id").alias("source")).groupBy("source").agg(F.count("*").alias("new"))
     hit = m.where("match_id IS NOT NULL").select(F.col("match_id").alias("job_id"), "source")
-    gone = deactivate_missing(stored, incoming.select("job_id", "source").unionByName(hit)).groupBy("source").agg(F.count("*").alias("deactivated"))
+    gone = deactivate_missing(stored, m.select("job_id", "source").unionByName(hit)).groupBy("source").agg(F.count("*").alias("deactivated"))
     zero = F.lit(0)
     return seen.join(new, "source", "left").join(gone, "source", "left").select(
         "source", "seen", F.coalesce("new", zero).alias("new"), F.coalesce("deactivated", zero).alias("deactivated"))

@@ -8,6 +8,7 @@ from siftwork.operators.queues import ambiguous_queue
 from siftwork.plans import oracle as o
 from siftwork.plans.q_versions import CUR_SQL, ROWS_SQL, STATUS_SQL, current, keyed
 from siftwork.plans.registry import query
+from siftwork.session import cut_lineage
 from siftwork.sources.views import raw, view
 
 DEFAULT_REP = "coalesce(c.reputation, CASE c.tier WHEN 1 THEN 90 WHEN 2 THEN 70 WHEN 3 THEN 55 END, 50)"
@@ -31,7 +32,7 @@ POSTING_FIELDS = ["company_name", "title", "location", "url", "source", "active"
 def stored(spark, d):
     p = view(spark, d, "postings", POSTING_FIELDS).where("job_id % 3 <> 2")
     rows = merge.keyed_rows(p)
-    return ranking.first_per_key(rows, ["dedup_key"], [("job_id", "asc")])
+    return cut_lineage(ranking.first_per_key(rows, ["dedup_key"], [("job_id", "asc")]))     # stands for a stored snapshot
 
 
 def incoming(spark, d):
