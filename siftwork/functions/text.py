@@ -194,30 +194,39 @@ def _entity(m: Column) -> Column:
         m)
 
 
+def let(value: Column, use) -> Column:
+    """Bind an expression to a variable, so that a formula using it several times computes it once."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def unescape(c: Column) -> Column:
     """Decode HTML character references (full HTML5 table) without leaving the JVM.
 
     The text is cut at each reference; references are looked up and the pieces are glued back together.
     Rows without ``&`` skip all of it.
     """
-    pieces = F.split(c, _ENTITY, -1)
-    refs = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), F.lit(0)), _entity)
-    glued = F.concat(F.element_at(pieces, 1), F.array_join(
-        F.zip_with(refs, F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-                   lambda r, p: F.concat(F.coalesce(r, F.lit("")), F.coalesce(p, F.lit("")))), ""))
-    return F.when(c.contains("&"), glued).otherwise(c)
+    def decode(v: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(v, F.lit(_ENTITY), F.lit(0)), lambda m: _entity(m))
+        glued = let(F.split(v, _ENTITY, -1), lambda pieces: F.concat(F.element_at(pieces, 1), F.array_join(
+            F.zip_with(refs, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))),
+                       lambda r, p: F.concat(F.coalesce(r, F.lit("")), F.coalesce(p, F.lit("")))), "")))
+        return F.when(v.contains("&"), glued).otherwise(v)
+    return let(c, decode)
 
 
 def html_to_text(c: Column) -> Column:
     """Markup to text: block tags break lines, other tags become a space, blank runs shrink to one line."""
-    s = unescape(c)
-    s = F.when(s.contains("&lt;") & ~s.contains("<"), unescape(s)).otherwise(s)
-    s = F.regexp_replace(s, rf"(?i)</?(?:{'|'.join(fv.BLOCK_TAGS)})[^>]*>", "\n")
-    s = unescape(F.regexp_replace(s, "<[^>]+>", " "))
-    s = F.regexp_replace(s, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n")   # other line ends
-    s = F.regexp_replace(s, r"[\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+", " ")
-    s = F.regexp_replace(F.regexp_replace(s, " *\n *", "\n"), "\n{3,}", "\n\n")
-    return F.coalesce(strip(s), F.lit(""))
+    def tidy(s: Column) -> Column:
+        s = F.regexp_replace(s, r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]", "\n")   # other line ends
+        s = F.regexp_replace(s, r"[\t\x1f\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+", " ")
+        return strip(F.regexp_replace(F.regexp_replace(s, " *\n *", "\n"), "\n{3,}", "\n\n"))
+
+    def untag(s: Column) -> Column:
+        s = F.regexp_replace(s, rf"(?i)</?(?:{'|'.join(fv.BLOCK_TAGS)})[^>]*>", "\n")
+        return tidy(unescape(F.regexp_replace(s, "<[^>]+>", " ")))
+
+    once = let(unescape(c), lambda s: F.when(s.contains("&lt;") & ~s.contains("<"), unescape(s)).otherwise(s))
+    return F.coalesce(untag(once), F.lit(""))
 
 
 # ---- matches and their surroundings -------------------------------------------------------------

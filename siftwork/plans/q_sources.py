@@ -112,7 +112,7 @@ def s03(spark, d):
 
 @query("s04_read_board_lever", """SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, location, url, posted_at, 'lever:sup' || supplier_key AS source,
  concat_ws(chr(10) || chr(10), nullif(description_text, ''), CASE WHEN job_id % 2 = 0 THEN 'Perks' || chr(10) || 'Lunch' || chr(10) || chr(10) || 'Gym & pool' END, CASE WHEN job_id % 3 = 0 THEN 'Bye' END) AS description_text
-FROM (SELECT * FROM postings WHERE NOT (description_text IS NULL AND job_id % 2 <> 0 AND job_id % 3 <> 0))""")
+FROM (SELECT * FROM postings WHERE NOT (coalesce(description_text, '') = '' AND job_id % 2 <> 0 AND job_id % 3 <> 0))""")
 def s04(spark, d):
     p = board_source(spark, d)
     lists = F.when(p.job_id % 2 == 0, F.array(F.struct(F.lit("Perks").alias("text"), F.lit("<ul><li>Lunch</li><li>Gym &amp; pool</li></ul>").alias("content"))))

@@ -45,7 +45,7 @@ def read_listing_feed(payloads: DataFrame) -> DataFrame:
     r = _items(payloads, LISTING).where(F.coalesce(F.col("i.is_visible"), F.lit(True)))
     year = F.regexp_extract("feed", r"(20\d\d)", 1)
     season = F.when((F.col("i.season") != "null") & (year != ""), F.transform(F.filter(
-        F.transform(F.split("i.season", "/"), F.trim), lambda s: s != ""), lambda s: F.concat_ws(" ", s, year)))
+        F.transform(F.split("i.season", "/"), lambda t: F.trim(t)), lambda s: s != ""), lambda s: F.concat_ws(" ", s, year)))
     terms = F.when(F.size(F.coalesce("i.terms", F.array())) > 0, F.col("i.terms")).otherwise(season)
     epoch = F.coalesce(F.nullif(F.col("i.date_posted"), F.lit(0)), F.nullif(F.col("i.date_updated"), F.lit(0)))
     company = _blank(F.trim(F.coalesce("i.company_name", F.lit(""))))
@@ -198,7 +198,7 @@ def read_markdown_tables(lines: DataFrame, default_term: str | None = None) -> D
         F.when(is_head | blank, F.col("line_no")).alias("block"))
     rows = forward_fill(rows, "feed", "line_no", ["heading", "block"]).where("in_table")
     bare = F.btrim(F.trim("line"), F.lit("|"))
-    rows = rows.withColumn("cells", F.transform(F.split(bare, r"\|", -1), F.trim)).withColumn("block", F.coalesce("block", F.lit(-1)))
+    rows = rows.withColumn("cells", F.transform(F.split(bare, r"\|", -1), lambda t: F.trim(t))).withColumn("block", F.coalesce("block", F.lit(-1)))
     header = rows.groupBy("feed", "block").agg(F.min("line_no").alias("header_no"), F.min_by("cells", "line_no").alias("header"))
     rows = rows.join(header, ["feed", "block"]).where("line_no > header_no").withColumn("header", F.transform("header", F.lower))
     rows = rows.where(~F.forall("cells", lambda c: c.rlike("^[-: ]*$")))
