@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.functions import dates, fixed_values as fv
+from siftwork.functions.plan import once
 from siftwork.functions.text import html_to_text, looks_like_internship, squeeze, strip
 from siftwork.operators.windows import forward_fill
 
@@ -74,18 +75,29 @@ def read_greenhouse(payloads: DataFrame) -> DataFrame:
     return _board(r, "greenhouse", F.col("i.location.name"), F.col("i.absolute_url"), posted, html_to_text(F.col("i.content")))
 
 
-def lever_text(i: str, additional_html: bool = True) -> Column:
-    """Description, each list block and the closing text, blank parts dropped."""
-    blocks = F.transform(F.coalesce(f"{i}.lists", F.array()), lambda b: F.concat(F.coalesce(b["text"], F.lit("")), F.lit("\n"), html_to_text(b["content"])))
-    tail = F.coalesce(_blank(F.col(f"{i}.additionalPlain")), html_to_text(F.col(f"{i}.additional")) if additional_html else F.lit(""))
-    parts = F.concat(F.array(F.coalesce(_blank(F.col(f"{i}.descriptionPlain")), html_to_text(F.col(f"{i}.description")))), blocks, F.array(tail))
-    return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
+def part(prefix: Column, html: Column, plain: Column | None = None) -> Column:
+    """A piece of description text: a fixed prefix and plain text, else HTML."""
+    return F.struct(F.coalesce(prefix, F.lit("")).alias("prefix"), html.cast("string").alias("html"),
+                    (plain if plain is not None else F.lit(None)).cast("string").alias("plain"))
+
+
+def render(parts: Column, keep=lambda t: t != "") -> Column:
+    """Pieces to text, one HTML conversion per piece and one in the plan; empty pieces are dropped."""
+    texts = F.transform(parts, lambda p: F.concat(p["prefix"], F.coalesce(_blank(p["plain"]), html_to_text(p["html"]))))
+    return F.array_join(F.filter(texts, keep), "\n\n")
+
+
+def lever_parts(i: str, additional_html: bool = True) -> Column:
+    """Description, each list block and the closing text."""
+    blocks = F.transform(F.coalesce(f"{i}.lists", F.array()), lambda b: part(F.concat(F.coalesce(b["text"], F.lit("")), F.lit("\n")), b["content"]))
+    tail = part(F.lit(""), F.col(f"{i}.additional") if additional_html else F.lit(None), F.col(f"{i}.additionalPlain"))
+    return F.concat(F.array(part(F.lit(""), F.col(f"{i}.description"), F.col(f"{i}.descriptionPlain"))), blocks, F.array(tail))
 
 
 def read_lever(payloads: DataFrame) -> DataFrame:
     r = _items(payloads, LEVER)
     posted = F.to_date(F.timestamp_millis(F.nullif(F.col("i.createdAt"), F.lit(0))))
-    return _board(r, "lever", F.col("i.categories.location"), F.coalesce(_blank(F.col("i.hostedUrl")), F.col("i.applyUrl")), posted, lever_text("i"), "i.text")
+    return _board(r, "lever", F.col("i.categories.location"), F.coalesce(_blank(F.col("i.hostedUrl")), F.col("i.applyUrl")), posted, render(lever_parts("i")), "i.text")
 
 
 def read_ashby(payloads: DataFrame) -> DataFrame:
@@ -138,27 +150,24 @@ def detail_kind(url: Column) -> Column:
 def detail_text(rows: DataFrame) -> DataFrame:
     """(job_id, url, payload) -> (job_id, kind, description_text): the URL picks the payload format. NULL when empty."""
     j = functools.partial(F.from_json, "payload")
-    def joined(*parts, sep="\n\n"):
-        return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), sep)
-    rows = rows.withColumn("kind", detail_kind(F.col("url")))
-    gh = html_to_text(F.get_json_object("payload", "$.content"))
-    lever = rows.withColumn("i", j(LEVER[len("array<"):-1]))
-    wd_head = joined(F.concat(F.lit("Location: "), _blank(F.get_json_object("payload", "$.jobPostingInfo.location"))),
-                     F.concat(F.lit("Time type: "), _blank(F.get_json_object("payload", "$.jobPostingInfo.timeType"))), sep="\n")
-    wd_body = html_to_text(F.get_json_object("payload", "$.jobPostingInfo.jobDescription"))
+    rows = rows.withColumns({"kind": detail_kind(F.col("url")), "i": j(LEVER[len("array<"):-1])})
+    empty = F.lit("")
+    path = functools.partial(F.get_json_object, "payload")
     sections = F.map_values(j("struct<jobAd:struct<sections:map<string,struct<title:string,text:string>>>>")["jobAd"]["sections"])
-    smart = F.array_join(F.filter(F.transform(sections, lambda v: F.concat(F.coalesce(v["title"], F.lit("")), F.lit("\n"), html_to_text(v["text"]))),
-                                  lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(""))) != ""), "\n\n")
-    item = j("struct<items:array<struct<ExternalDescriptionStr:string,ExternalQualificationsStr:string,ExternalResponsibilitiesStr:string,PrimaryLocation:string>>>")["items"]
-    first = F.get(item, F.lit(0))
-    oracle = joined(html_to_text(first["ExternalDescriptionStr"]), html_to_text(first["ExternalQualificationsStr"]), html_to_text(first["ExternalResponsibilitiesStr"]))
-    oracle = F.when(oracle != "", F.concat(F.coalesce(F.concat(F.lit("Location: "), _blank(first["PrimaryLocation"]), F.lit("\n\n")), F.lit("")), oracle))
-    ashby_jobs = F.filter(j(ASHBY)["jobs"], lambda x: F.instr(F.col("url"), x["id"]) > 0)
-    ashby = F.coalesce(_blank(F.get(ashby_jobs, F.lit(0))["descriptionPlain"]), html_to_text(F.get(ashby_jobs, F.lit(0))["descriptionHtml"]))
-    text = (F.when(F.col("kind") == "greenhouse", gh).when(F.col("kind") == "lever", lever_text("i", False)).when(F.col("kind") == "ashby", ashby)
-            .when((F.col("kind") == "workday") & (wd_body != ""), F.concat(wd_head, F.lit("\n\n"), wd_body))
-            .when(F.col("kind") == "smartrecruiters", smart).when(F.col("kind") == "oracle", oracle))
-    return lever.select("job_id", "kind", _blank(text).alias("description_text"))
+    smart = F.transform(sections, lambda v: part(F.concat(F.coalesce(v["title"], empty), F.lit("\n")), v["text"]))
+    ashby = F.transform(F.slice(F.filter(j(ASHBY)["jobs"], lambda x: F.instr(F.col("url"), x["id"]) > 0), 1, 1),
+                        lambda x: part(empty, x["descriptionHtml"], x["descriptionPlain"]))
+    names = ("ExternalDescriptionStr", "ExternalQualificationsStr", "ExternalResponsibilitiesStr")
+    kind = F.col("kind")
+    parts = (F.when(kind == "greenhouse", F.array(part(empty, path("$.content")))).when(kind == "lever", lever_parts("i", False)).when(kind == "ashby", ashby)
+             .when(kind == "workday", F.array(part(empty, path("$.jobPostingInfo.jobDescription")))).when(kind == "smartrecruiters", smart)
+             .when(kind == "oracle", F.array(*[part(empty, path(f"$.items[0].{n}")) for n in names])))
+    place = F.when(kind == "workday", path("$.jobPostingInfo.location")).when(kind == "oracle", path("$.items[0].PrimaryLocation"))
+    when = F.when(kind == "workday", path("$.jobPostingInfo.timeType"))
+    head = F.concat_ws("\n", F.concat(F.lit("Location: "), _blank(place)), F.concat(F.lit("Time type: "), _blank(when)))
+    head = F.when((kind == "workday") | (head != ""), F.concat(head, F.lit("\n\n"))).otherwise(empty)
+    rows = once(rows, body=render(parts, lambda t: F.btrim(t, F.lit(fv.WS_CHARS)) != ""))
+    return rows.select("job_id", "kind", F.when(F.col("body") != "", F.concat(head, "body")).alias("description_text"))
 
 
 # ---- Markdown tables ------------------------------------------------------------------------------
