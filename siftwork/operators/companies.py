@@ -78,8 +78,8 @@ def harvest_boards(postings: DataFrame, companies: DataFrame) -> DataFrame:
 
 def company_limits(postings: DataFrame) -> DataFrame:
     """(company, cap, cap_text): the cap most of a company's postings carry, first seen winning ties."""
-    found = postings.where(F.col("description_text") != "").select(
-        "job_id", company_key(F.col("company_name")).alias("company"), caps.application_cap(F.col("description_text")).alias("c")).where("c IS NOT NULL")
+    found = once(postings.where(F.col("description_text") != ""), c=caps.application_cap(F.col("description_text"))).where("c IS NOT NULL")
+    found = once(found.select("job_id", "company_name", "c"), company=company_key(F.col("company_name")))
     votes = found.groupBy("company", "c.cap", "c.cap_text").agg(F.count("*").alias("n"), F.min("job_id").alias("first"))
     best = votes.groupBy("company").agg(F.max_by(F.struct("cap", "cap_text"), F.struct(F.col("n"), -F.col("first"))).alias("b"))
     return best.select("company", "b.*")

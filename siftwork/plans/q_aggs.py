@@ -222,7 +222,7 @@ def k02(spark, d):
 SELECT row_number() OVER (ORDER BY days, job_id) AS rank, job_id, days, days <= 5 AS urgent, count(*) OVER () AS total FROM u WHERE days BETWEEN 0 AND 14 ORDER BY rank LIMIT 4""")
 def k03(spark, d):
     rows = current(spark, d, ["description_text"]).where("hard_reject_reason IS NULL AND bucket IN ('likely', 'reach', 'wildcard')")
-    rows = rows.select("job_id", dates.deadline(F.col("description_text"), dates.at(S.as_of)).alias("deadline"))
+    rows = once(rows, deadline=dates.deadline(F.col("description_text"), dates.at(S.as_of))).select("job_id", "deadline")
     due = reports.with_due_days(S, rows).where((F.col("due_days") >= 0) & (F.col("due_days") <= fv.DEADLINE_CARD_DAYS)).select("job_id", F.col("due_days").alias("days"))
     top = ranking.top_rank(due, [("days", "asc"), ("job_id", "asc")], 4)
     return top.crossJoin(due.agg(F.count("*").alias("total"))).select("rank", "job_id", "days", (F.col("days") <= fv.URGENT_DAYS).alias("urgent"), "total")

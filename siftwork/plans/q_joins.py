@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import DEFAULT as S
 from siftwork.functions import fixed_values as fv, roles, scoring, text as tx
+from siftwork.functions.plan import once
 from siftwork.operators import companies as co, lookup, merge, ranking, versions
 from siftwork.operators.queues import ambiguous_queue
 from siftwork.plans import oracle as o
@@ -50,11 +51,11 @@ def j02(spark, d):
     return merge.match_existing(incoming(spark, d), stored(spark, d)).select("job_id", "match_id", "how")
 
 
-@query("j03_deactivate_missing", f"""WITH seen AS (SELECT source, count(*) AS n FROM postings WHERE job_id % 3 <> 0 GROUP BY 1)
-SELECT p.job_id, p.source FROM postings p JOIN seen s ON s.source = p.source WHERE p.active AND s.n >= 5 AND p.job_id % 3 = 0""")
+@query("j03_deactivate_missing", f"""WITH seen AS (SELECT source, count(*) AS n FROM postings WHERE job_id // 60 % 2 = 1 GROUP BY 1)
+SELECT p.job_id, p.source FROM postings p JOIN seen s ON s.source = p.source WHERE p.active AND s.n >= 5 AND p.job_id // 60 % 2 = 0""")
 def j03(spark, d):
     p = view(spark, d, "postings", ["source", "active"])
-    return merge.deactivate_missing(p, p.where("job_id % 3 <> 0"))
+    return merge.deactivate_missing(p, p.where("job_id div 60 % 2 = 1"))
 
 
 @query("j04_harvest_boards", f"""WITH h AS (SELECT p.job_id, p.company_name AS name, {o.slug('p.company_name')} AS slug, CASE p.job_id % 6 WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'lever' WHEN 3 THEN 'ashby' ELSE 'workday' END AS ats_type,
@@ -250,7 +251,8 @@ def e02(spark, d):
 SELECT job_id, array_to_string(list_sort(list_filter(dh, lambda x: NOT list_contains(th, x))), '|') AS extra FROM h""")
 def e03(spark, d):
     p = view(spark, d, "postings", ["title", "description_text"])
-    h = p.select("job_id", scoring.keyword_hits(p.title, S.picked_keywords).alias("th"), scoring.keyword_hits(scoring.description_head(S, p.description_text), S.picked_keywords).alias("dh"))
+    p = once(p, head=scoring.description_head(S, p.description_text))
+    h = once(p, th=scoring.keyword_hits(F.col("title"), S.picked_keywords), dh=scoring.keyword_hits(F.col("head"), S.picked_keywords))
     return h.select("job_id", F.array_join(F.array_sort(F.array_except("dh", "th")), "|").alias("extra"))
 
 

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from siftwork.config import DEFAULT as S
 from siftwork.functions import caps, dates, degree, fixed_values as fv, roles, text as tx
+from siftwork.functions.plan import once
+from siftwork.operators.companies import board_rows
 from siftwork.operators.packing import batch_prompts, posting_block, triage_block
 from siftwork.operators.queues import ambiguous_queue
 from siftwork.plans import oracle as o
@@ -81,7 +83,7 @@ FROM (SELECT *, job_id % 13 AS doc13 FROM postings) WHERE doc13 IN (3, 10) AND d
 @query("t08_application_caps", f"SELECT job_id, cap, cap_text FROM ({_CAP_SQL})")
 def t08(spark, d):
     p = view(spark, d, "postings", ["description_text"])
-    return p.select("job_id", caps.application_cap(p.description_text).alias("c")).where("c IS NOT NULL").select("job_id", "c.cap", "c.cap_text")
+    return once(p, c=caps.application_cap(p.description_text)).where("c IS NOT NULL").select("job_id", "c.cap", "c.cap_text")
 
 
 @query("t09_degree_levels", f"SELECT job_id, {o.level_names('title')} AS levels FROM postings")
@@ -105,7 +107,7 @@ SELECT job_id, CASE job_id % 6 WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'lever' WHEN
 FROM postings WHERE job_id % 6 IN (1, 2, 3, 4)""")
 def t11(spark, d):
     p = view(spark, d, "postings", ["url"])
-    return p.select("job_id", tx.board_from_url(p.url).alias("b")).where("b IS NOT NULL").select("job_id", "b.ats_type", "b.ats_token")
+    return board_rows(p, "url").select("job_id", "b.ats_type", "b.ats_token")
 
 
 @query("t12_deadlines", """
@@ -113,7 +115,7 @@ SELECT job_id, CASE job_id % 13 WHEN 1 THEN DATE '2024-10-15' ELSE DATE '2024-02
 FROM postings WHERE job_id % 13 IN (1, 2) AND description_text <> ''""")
 def t12(spark, d):
     p = view(spark, d, "postings", ["description_text"])
-    return p.select("job_id", dates.deadline(p.description_text, dates.at(S.as_of)).alias("deadline")).where("deadline IS NOT NULL")
+    return once(p, deadline=dates.deadline(p.description_text, dates.at(S.as_of))).where("deadline IS NOT NULL").select("job_id", "deadline")
 
 
 @query("t13_rolling_flag", "SELECT job_id, coalesce(job_id % 13 = 12 AND description_text <> '', false) AS rolling FROM postings")

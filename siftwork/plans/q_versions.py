@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftwork.config import DEFAULT as S
 from siftwork.functions import dates, fixed_values as fv, text as tx
+from siftwork.functions.plan import once
 from siftwork.operators import packing, ranking, reports, versions, windows
 from siftwork.operators.queues import ambiguous_queue
 from siftwork.plans import oracle as o
@@ -34,7 +35,7 @@ def current(spark, d, extra=()):
 def decorated(spark, d, extra=(), deadline=False):
     rows = reports.decorate(S, current(spark, d, [*extra, *(["description_text"] if deadline else [])]))
     if deadline:
-        rows = rows.withColumn("deadline", dates.deadline(F.col("description_text"), dates.at(S.as_of))).drop("description_text")
+        rows = once(rows, deadline=dates.deadline(F.col("description_text"), dates.at(S.as_of))).drop("description_text")
     return rows
 
 
