@@ -29,7 +29,7 @@ def test_slug_and_keys(values):
 def test_titles_and_places(values):
     titles = one(values, tx.normalize_title, "Software Engineering Intern - Summer 2027", "Software Engineer Intern (Summer 2027)",
                  "Machine Learning Intern &amp; Co-op", "Systems Testers")
-    assert titles == ["software engine", "software engine", "machine learn", "system test"]
+    assert titles == ["software engine", "software engine", "machine learn", "system tester"]
     assert one(values, tx.normalize_place, "New York, NY", "NYC", "Austin, TX; Seattle, WA", None, "Remote - US", "SF or LA",
                "Greater Oslo Area") == ["new york", "new york", "austin", "remote", "remote", "san francisco", "greater oslo"]
 
