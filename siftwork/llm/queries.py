@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import decontam, neardup, quality
+from siftwork.llm import decontam, neardup, pieces, quality, secrets
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -51,3 +51,17 @@ FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)"""
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("is_representative"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *[count(r.kind) for r in secrets.BASE_RULES], F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
+@query
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_column(read(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
