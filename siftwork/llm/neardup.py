@@ -6,13 +6,13 @@ hash buckets, the hashing form of TF-IDF: exact counts per shingle would move ev
 
 1. Every document draws ``BANDS * ROWS`` samples by improved consistent weighted sampling; a band's samples hash to a key. Equal texts
    (word for word) are one node from here on. Nodes that share no band key with another are done.
-2. The remaining nodes are candidates. Their shingles are put in one global order, rare buckets first; two documents of similarity
-   ``threshold`` must share a shingle among those that come before ``1 - threshold`` of the weight, and the weights before a shared
-   shingle bound the similarity (prefix and positional filters, exact). So groups of independently edited copies below the threshold
-   do not turn into pairs.
-3. In each prefix group a few pivots are compared with all members that are not yet of the same class, by exact weighted Jaccard;
-   classes are merged, and further pivots follow until no group holds two classes with an untested pair. Pairs already in one class
-   are never compared, so a group of a third of all rows costs one comparison a member, and no link between classes is missed.
+2. The remaining nodes are candidates. Their shingles are put in one global order, rarest among the candidates first; two documents of
+   similarity ``threshold`` must share a shingle among those that come before ``1 - threshold`` of the weight, and the weights before a
+   shared shingle bound the similarity (prefix and positional filters, exact). Copies edited apart and documents that only share a
+   passage thus do not turn into pairs.
+3. In each prefix group a few pivots are compared with all members by exact weighted Jaccard, and classes are merged: a group of a third
+   of all rows costs a few comparisons a member. Last, members of different classes that the filters still admit are compared.
+   Pairs already in one class are never compared, and no link between classes is missed.
 
 Class ids are the smallest doc_id of the class. Nothing is capped. Broadcast: the bucket weights, ``2**BUCKETS`` floats.
 
@@ -112,8 +112,8 @@ def bucket_weights(docs: DataFrame, size: int = SHINGLE, bits: int = BUCKETS) ->
     return np.append(1 + np.log((1 + df[-1]) / (1 + df[:-1])), 0.0).astype(np.float32)[:-1]
 
 
-def _weighted(batch, idf: np.ndarray, size: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, content key, sorted distinct shingles, weights, idf rank key) of each text with words."""
+def _weighted(batch, idf: np.ndarray, size: int) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+    """(row, content key, sorted distinct shingles, weights) of each text with words."""
     w = hash_words(column_bytes(batch, "text"), LETTERS)
     text, h = shingles(w, size)
     ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
@@ -121,8 +121,7 @@ def _weighted(batch, idf: np.ndarray, size: int) -> Iterator[tuple[int, bytes, n
     for i in range(batch.num_rows):
         if ends[i] < ends[i + 1]:
             x, n = np.unique(h[ends[i]:ends[i + 1]], return_counts=True)
-            one = idf[(x >> shift).astype(np.intp)]
-            yield i, hashlib.md5(w.hash[w.offsets[i]:w.offsets[i + 1]].tobytes()).digest(), x, n * one.astype(float), one
+            yield i, hashlib.md5(w.hash[w.offsets[i]:w.offsets[i + 1]].tobytes()).digest(), x, n * idf[(x >> shift).astype(np.intp)].astype(float)
 
 
 def signatures(docs: DataFrame, idf, size: int, bands: int, rows: int) -> DataFrame:
@@ -131,7 +130,7 @@ def signatures(docs: DataFrame, idf, size: int, bands: int, rows: int) -> DataFr
         node: list = [None] * batch.num_rows
         keys: list = [None] * batch.num_rows
         number = np.arange(bands, dtype=np.uint64)
-        for i, content, x, weight, _ in _weighted(batch, idf.value, size):
+        for i, content, x, weight in _weighted(batch, idf.value, size):
             s = weighted_samples(x, weight, bands * rows).reshape(bands, rows)
             key = number
             for j in range(rows):
@@ -142,18 +141,27 @@ def signatures(docs: DataFrame, idf, size: int, bands: int, rows: int) -> DataFr
     return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("tk"), "text"), step, f"doc_id {kind}, tk bigint, node binary, bands array<bigint>")
 
 
-def vectors(docs: DataFrame, idf, size: int, threshold: float) -> DataFrame:
-    """(node, total, shingles, weights, prefix, before): the sparse vector, and its prefix in the global order with the weight before each."""
+def vectors(docs: DataFrame, idf, size: int) -> DataFrame:
+    """(node, total, shingles, weights): the sparse vector of each text with words."""
     def step(batch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("node", "total", "shingles", "weights", "prefix", "before")}
-        for _, content, x, weight, one in _weighted(batch, idf.value, size):
-            order = np.lexsort((x, -one))  # rare buckets first
-            before = np.concatenate([[0.0], np.cumsum(weight[order])])[:-1]
-            n = int(np.searchsorted(before, (1 - threshold) * weight.sum() * (1 + 1e-6), "right"))
-            for k, v in zip(out, (content, weight.sum(), signed(x), weight.astype(np.float32), signed(x[order[:n]]), before[:n])):
+        out: dict[str, list] = {k: [] for k in ("node", "total", "shingles", "weights")}
+        for _, content, x, weight in _weighted(batch, idf.value, size):
+            small = weight.astype(np.float32)
+            for k, v in zip(out, (content, small.sum(dtype=float), signed(x), small)):
                 out[k].append(v)
         return out
-    return arrow_map(docs.select("text"), step, "node binary, total double, shingles array<bigint>, weights array<float>, prefix array<bigint>, before array<double>")
+    return arrow_map(docs.select("text"), step, "node binary, total double, shingles array<bigint>, weights array<float>")
+
+
+def prefix_groups(vecs: DataFrame, threshold: float) -> DataFrame:
+    """(k, node, total, before, degree): the shingles of a node's prefix that other candidates hold too, and the weight before each."""
+    rows = vecs.select("node", "total", F.inline(F.arrays_zip(F.col("shingles").alias("k"), F.col("weights").cast("array<double>").alias("w"))))
+    frequency = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("node")
+    upto = own.orderBy("n", "k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("total") - F.sum("w").over(own) + F.sum("w").over(upto) - F.col("w")  # shingles of no other candidate come first
+    placed = rows.join(frequency, "k").select("k", "node", "total", "n", before.alias("before")).where(F.col("before") <= (1 - threshold) * F.col("total") * (1 + 1e-6))
+    return placed.select("k", "node", "total", "before", F.sum("n").over(own).alias("degree"))
 
 
 def _similar(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
@@ -166,36 +174,31 @@ def _similar(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
         yield f.loc[j >= threshold - 1e-7, ["u", "v"]]
 
 
-def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame | None:
-    """(node, label) of the nodes that similarity links, from groups ``members`` (k, node, total, before)."""
-    spark = members.sparkSession
-    degree = members.groupBy("node").agg(F.count("*").alias("degree"))
-    members = kept(members.join(degree, "node"), "near-members")
+def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
+    """(node, label) of the nodes that similarity links, from groups ``members`` (k, node, total, before, degree)."""
+    members = kept(members, "near-members")
     vec = vecs.select("node", "shingles", "weights")
-    labels, links, low, high = None, None, 0, 1
-    while True:
-        if labels is None:
-            now = members.withColumn("label", F.col("node"))
-        else:
-            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        active = now.groupBy("k").agg((F.min("label") != F.max("label")).alias("mixed"), F.count("*").alias("size")).where(F.col("mixed") & (F.col("size") > low)).select("k")
-        now = kept(now.join(active, "k"), "near-active")
-        if now.isEmpty():
-            return labels
-        place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("degree"), "node"))
-        pivots = now.select("*", place.alias("place")).where(F.col("place") <= high).where(F.col("place") > low)
-        p, x = pivots.alias("p"), now.alias("x")
-        # what can still be shared from this shingle on
+    labels = members.select("node", F.col("node").alias("label")).limit(0)
+    links = None
+    for pivots in (1, PIVOTS, None):
+        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = now.groupBy("k").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("k")
+        now = kept(now.join(mixed, "k"), "near-mixed")
+        p, x = now.alias("p"), now.alias("x")
+        if pivots is not None:
+            place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("degree"), "node"))
+            p = now.select("*", place.alias("place")).where(F.col("place") <= pivots).alias("p")
+        # what can still be shared from this shingle on bounds the similarity
         most = F.least(F.col("p.total") - F.col("p.before"), F.col("x.total") - F.col("x.before"))
-        pairs = (p.join(x, "k").where((F.col("p.label") != F.col("x.label")) & (most * (1 + 1e-6) >= threshold * (F.col("p.total") + F.col("x.total") - most)))
+        apart = F.col("p.label") != F.col("x.label") if pivots is not None else F.col("p.label") < F.col("x.label")
+        pairs = (p.join(x, "k").where(apart & (most * (1 + 1e-6) >= threshold * (F.col("p.total") + F.col("x.total") - most)))
                  .select(F.least("p.node", "x.node").alias("u"), F.greatest("p.node", "x.node").alias("v")).distinct())
         with_u = pairs.join(vec.select(F.col("node").alias("u"), F.col("shingles").alias("xs"), F.col("weights").alias("xw")), "u")
         with_both = with_u.join(vec.select(F.col("node").alias("v"), F.col("shingles").alias("ys"), F.col("weights").alias("yw")), "v")
         found = kept(with_both.mapInPandas(lambda fs: _similar(fs, threshold), "u binary, v binary"), "near-links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links)
-        low, high = high, high + PIVOTS
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    return labels
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -209,12 +212,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     candidates = keyed.join(shared, "key").groupBy("node").agg(F.first("one").alias("one")).select("node", "one.*")
     texts = docs.select(did, F.xxhash64("text").alias("tk"), "text").join(candidates.select("did", "tk"), ["did", "tk"])
-    vecs = kept(vectors(texts, idf, size, threshold).dropDuplicates(["node"]), "near-vectors")
-    prefix = vecs.select("node", "total", F.inline(F.arrays_zip(F.col("prefix").alias("k"), F.col("before").alias("before"))))
-    groups = prefix.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
-    labels = linked_nodes(prefix.join(groups, "k"), vecs, threshold)
-    if labels is None:
-        labels = vecs.select("node", F.col("node").alias("label")).limit(0)
+    vecs = kept(vectors(texts, idf, size).dropDuplicates(["node"]), "near-vectors")
+    labels = linked_nodes(prefix_groups(vecs, threshold), vecs, threshold)
     named = signed_docs.select("doc_id", "tk", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ids = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     alone = F.col("label").isNull()

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import decontam, neardup, pieces, quality, secrets
+from siftwork.llm import classlm, decontam, neardup, pieces, quality, secrets, toxicity
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -65,3 +65,17 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode_column(read(spark, sf_dir, "documents").select("doc_id", "text"), check="round_trip")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = classlm.score(docs, fold_of("doc_id", 10) != 0)
+    return scored.withColumn("held_out", fold_of("doc_id", 10) == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    index = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1)
+    return toxicity.score(docs, index).select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("evidence").alias("voters"))

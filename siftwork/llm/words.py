@@ -54,6 +54,7 @@ class Words:
     upper: np.ndarray    # A-Z in the word
     lower: np.ndarray    # a-z in the word
     offsets: np.ndarray  # word range of text i: offsets[i]..offsets[i+1]
+    prefix: tuple[np.ndarray, ...] = ()  # hashes of the first bytes, for each length asked for; 0 if the word isn't longer
 
     @property
     def text(self) -> np.ndarray:
@@ -77,7 +78,7 @@ def _pieces(data: bytes, table: np.ndarray) -> Iterator[bytes]:
     yield data[at:]
 
 
-def _hash_piece(data: bytes, table: np.ndarray) -> tuple[np.ndarray, ...]:
+def _hash_piece(data: bytes, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     raw = np.frombuffer(data, np.uint8)
     kind = table[raw]
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
@@ -94,10 +95,11 @@ def _hash_piece(data: bytes, table: np.ndarray) -> tuple[np.ndarray, ...]:
     np.cumsum((raw > 64) & (raw < 91), out=count[0, 1:])
     np.cumsum((raw > 96) & (raw < 123), out=count[1, 1:])
     tall = count[:, end] - count[:, start]
-    return mix((total[end] - total[start]) * back[start]), (end - start).astype(np.int32), folded[end - 1], kind[start], tall[0], tall[1], start
+    heads = [np.where(end - start > n, mix((total[np.minimum(start + n, end)] - total[start]) * back[start] + np.uint64(n)), np.uint64(0)) for n in prefixes]
+    return mix((total[end] - total[start]) * back[start]), (end - start).astype(np.int32), folded[end - 1], kind[start], tall[0], tall[1], *heads, start
 
 
-def hash_words(texts: list[bytes | None], table: np.ndarray) -> Words:
+def hash_words(texts: list[bytes | None], table: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """All words of each text. None has no words. The line feed must be of class 0."""
     parts: list[tuple[np.ndarray, ...]] = []
     counts = np.zeros(len(texts), np.int64)
@@ -108,7 +110,7 @@ def hash_words(texts: list[bytes | None], table: np.ndarray) -> Words:
         nonlocal held
         if not group:
             return
-        found = _hash_piece(b"\n".join(x for _, x in group), table)
+        found = _hash_piece(b"\n".join(x for _, x in group), table, prefixes)
         ends = np.cumsum([len(x) + 1 for _, x in group])
         upto = np.searchsorted(found[-1], ends)
         np.add.at(counts, [i for i, _ in group], np.diff(upto, prepend=0))
@@ -123,8 +125,8 @@ def hash_words(texts: list[bytes | None], table: np.ndarray) -> Words:
             group.append((i, piece))
             held += len(piece) + 1
     flush()
-    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, t) for t in (np.uint64, np.int32, np.uint8, np.uint8, np.int32, np.int32)]
-    return Words(*columns, np.concatenate([[0], np.cumsum(counts)]))
+    columns = [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, t) for t in (np.uint64, np.int32, np.uint8, np.uint8, np.int32, np.int32, *[np.uint64] * len(prefixes))]
+    return Words(*columns[:6], np.concatenate([[0], np.cumsum(counts)]), tuple(columns[6:]))
 
 
 def column_bytes(batch, name: str) -> list[bytes | None]:
