@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import classlm, decontam, neardup, pieces, quality, secrets, toxicity
+from siftwork.llm import ann, chat, classlm, decontam, neardup, pieces, quality, secrets, toxicity
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -79,3 +79,29 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     index = toxicity.fit(docs, read(spark, sf_dir, "labels"), "toxic", fold_of("doc_id", 3) != 1)
     return toxicity.score(docs, index).select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("evidence").alias("voters"))
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chat.perspectives(read(spark, sf_dir, "conversations"))
+    mask = F.concat_ws(",", F.transform("mask", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))))
+    return found.select("conv_id", "speaker", "part", "text", mask.alias("mask"), "n_messages", "n_learned")
+
+
+ORACLES["op9_chat_formatting"] = r"""
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '<\|') AS text FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+h AS (SELECT m.conv_id, speaker, CAST(floor(turn / 64) AS BIGINT) AS part, turn, role, text, role = speaker AS own,
+  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || regexp_replace(role, '[^\p{L}\p{N}_-]+', '_', 'g') END || chr(10) AS head
+  FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+r AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS shown FROM h),
+p AS (SELECT *, sum(length(shown)) OVER (PARTITION BY conv_id, speaker, part ORDER BY turn NULLS LAST, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM r)
+SELECT conv_id, speaker, part, string_agg(shown, '' ORDER BY turn NULLS LAST, role, text) AS text,
+  coalesce(string_agg(CAST(CAST(upto - length(shown) + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY upto) FILTER (WHERE own), '') AS mask,
+  count(*) AS n_messages, count(*) FILTER (WHERE own) AS n_learned
+FROM p GROUP BY conv_id, speaker, part"""
