@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import ann, chat, classlm, decontam, neardup, pieces, quality, secrets, toxicity
+from siftwork.llm import ann, chat, classlm, decontam, mainblocks, neardup, pieces, quality, secrets, toxicity
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -105,3 +105,10 @@ SELECT conv_id, speaker, part, string_agg(shown, '' ORDER BY turn NULLS LAST, ro
   coalesce(string_agg(CAST(CAST(upto - length(shown) + length(head) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(upto - 1 AS BIGINT) AS VARCHAR), ',' ORDER BY upto) FILTER (WHERE own), '') AS mask,
   count(*) AS n_messages, count(*) FILTER (WHERE own) AS n_learned
 FROM p GROUP BY conv_id, speaker, part"""
+
+
+@query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    found = mainblocks.extract(pages.select("page_id", "url", "html"), mainblocks.fit(pages))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
