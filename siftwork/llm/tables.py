@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from siftwork.session import scratch_dir
 
 
+ROWS = 512
+
+
 def fold_of(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
@@ -36,9 +39,9 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict] | d
         def out(columns: dict | None) -> Iterator[pa.RecordBatch]:
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in kinds], schema=kinds)
-        for batch in batches:
-            if batch.num_rows:
-                got = step(batch)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # a step's arrays are many times its texts
+                got = step(whole.slice(at, ROWS))
                 for part in ([got] if got is None or isinstance(got, dict) else got):
                     yield from out(part)
         if finish is not None:
