@@ -24,7 +24,7 @@ PART = 64
 def perspectives(messages: DataFrame, part: int = PART) -> DataFrame:
     """(conv_id, speaker, part, text, mask, n_messages, n_learned): one row per participant and part of a dialogue."""
     role = F.coalesce(F.col("role"), F.lit("unknown"))
-    clean = F.regexp_replace(F.coalesce("text", F.lit("")), r"<\|", r"<\\\\|")
+    clean = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|"))
     rows = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), role.alias("role"), clean.alias("text")).distinct()
     speakers = rows.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
     joined = rows.join(speakers, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
