@@ -57,9 +57,12 @@ def array_text(c: Column) -> Column:
 _URL = r"^[^:/?#]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#[\s\S]*)?$"
 
 
-def _recode(c: Column) -> Column:
-    """Percent-decode, then encode again, so equal values compare equal. Bad escapes are kept as text."""
-    plain = F.coalesce(F.try_url_decode(c), F.regexp_replace(c, r"\+", " "))
+def _plain(c: Column) -> Column:
+    """Percent-decoded; bad escapes are kept as text."""
+    return F.coalesce(F.try_url_decode(c), F.regexp_replace(c, r"\+", " "))
+
+
+def _encode(plain: Column) -> Column:
     enc = F.url_encode(plain)
     return F.replace(F.replace(enc, F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
@@ -79,8 +82,8 @@ def canonical_url(url: Column) -> Column:
         F.split(query, "&"),
         lambda p: p.rlike("(?s)^[^=]*=.") & ~_param_key(p).isin(fv.TRACKING_PARAMS) & ~_param_key(p).startswith("utm_"))
     pairs = F.array_sort(F.transform(kept, lambda p: F.struct(
-        F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=", "").alias("v"))))
-    encoded = F.array_join(F.transform(pairs, lambda s: F.concat(_recode(s["k"]), F.lit("="), _recode(s["v"]))), "&")
+        _plain(F.substring_index(p, "=", 1)).alias("k"), _plain(F.regexp_replace(p, "^[^=]*=", "")).alias("v"))))   # decoded first: spellings of one URL sort alike
+    encoded = F.array_join(F.transform(pairs, lambda s: F.concat(_encode(s["k"]), F.lit("="), _encode(s["v"]))), "&")
     tail = F.when(query == "", F.lit("")).otherwise(F.when(encoded == "", F.lit("")).otherwise(F.concat(F.lit("?"), encoded)))
     return F.when(url.isNull(), None).when(strip(url) == "", F.lit("")).otherwise(
         F.concat(F.lit("https://"), host, path, tail))
@@ -176,19 +179,21 @@ def _table_lookup(name: Column) -> Column:
 def _code_point(n: Column) -> Column:
     ok = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    dropped = n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
     return F.when(n.between(0x80, 0x9F), F.coalesce(F.try_element_at(_small_map(_C1), n.cast("string")), char)).when(
-        ok, char).otherwise(F.lit("�"))
+        ok & dropped, F.lit("")).when(ok, char).otherwise(F.lit("�"))
 
 
 def _entity(m: Column) -> Column:
-    name = F.substring(m, 2, 64)
+    name = F.regexp_replace(m, "^&", "")
     head = F.regexp_extract(name, _LEGACY_HEAD, 1)
     digits = F.regexp_extract(name, "^#([0-9]+)", 1)
     hexits = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]+)", 1)
+    short = F.regexp_replace(hexits, "^0+(?=.)", "")
     return F.coalesce(
         F.try_element_at(_small_map(_COMMON), name),
         F.when(digits != "", _code_point(F.coalesce(digits.try_cast("bigint"), F.lit(0)))),
-        F.when(hexits != "", _code_point(F.coalesce(F.conv(F.substring(hexits, 1, 12), 16, 10).try_cast("bigint"), F.lit(0)))),
+        F.when(hexits != "", _code_point(F.when(F.length(short) <= 8, F.conv(short, 16, 10).try_cast("bigint")).otherwise(F.lit(0)))),
         _table_lookup(name),
         F.when(head != "", F.concat(_table_lookup(head), F.regexp_replace(name, _LEGACY_HEAD, ""))),
         m)
@@ -270,17 +275,16 @@ def hints(text: Column, words) -> Column:
 def _first_marker(text: Column) -> Column:
     """1-based place of the first boilerplate marker, 0 if none. Plain substring searches; the pattern itself runs
     only where lower-casing changed the length (places would shift)."""
-    low = F.lower(text)
-    at = [F.when(low.contains(p), F.instr(low, F.lit(p))) for p in fv.BOILERPLATE_PHRASES]
-    at.append(F.when(low.contains("eeo"), F.nullif(F.regexp_instr(low, F.lit(r"eeo\b")), F.lit(0))))
-    place = F.coalesce(F.least(*at), F.lit(0))         # evaluated unconditionally, so the lower-cased text is shared
-    return place + F.when(F.length(low) != F.length(text), F.regexp_instr(text, F.lit(fv.BOILERPLATE)) - place).otherwise(F.lit(0))
+    def search(low: Column) -> Column:
+        at = [F.when(low.contains(p), F.instr(low, F.lit(p))) for p in fv.BOILERPLATE_PHRASES]
+        at.append(F.when(low.contains("eeo"), F.nullif(F.regexp_instr(low, F.lit(r"eeo\b")), F.lit(0))))
+        return F.when(F.length(low) != F.length(text), F.regexp_instr(text, F.lit(fv.BOILERPLATE))).otherwise(F.coalesce(F.least(*at), F.lit(0)))
+    return let(F.lower(text), search)
 
 
 def trim_boilerplate(text: Column) -> Column:
     """Cut at the first legal/benefit marker unless it sits near the top, then collapse blank lines."""
-    at = _first_marker(text)
-    cut = F.when(at > fv.BOILERPLATE_MIN_START, F.substring(text, F.lit(1), at - 1)).otherwise(text)
+    cut = let(_first_marker(text), lambda at: F.when(at > fv.BOILERPLATE_MIN_START, F.substring(text, F.lit(1), at - 1)).otherwise(text))
     return strip(F.regexp_replace(cut, "\n{3,}", "\n\n"))
 
 

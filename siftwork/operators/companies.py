@@ -9,7 +9,7 @@ from siftwork.functions import caps, fixed_values as fv, roles
 from siftwork.functions.plan import once
 from siftwork.functions.text import board_from_url, canonical_url, company_key, slug
 from siftwork.operators.ranking import first_per_key
-from siftwork.session import cut_lineage
+from siftwork.operators.components import components
 
 
 def list_of(c: Column) -> Column:
@@ -121,26 +121,18 @@ def derive_tags(s: Settings, postings: DataFrame, directory: DataFrame) -> DataF
     return e.join(picked, "slug", "left").select("slug", F.array_sort(F.array_distinct(F.concat(tags, firm, "tag_list"))).alias("tags"))
 
 
-def merge_entities(records: DataFrame, max_rounds: int = 50) -> DataFrame:
+def merge_entities(records: DataFrame) -> DataFrame:
     """One row per company: records with one board, or one normalised name, belong together.
 
-    Connected components over a bipartite graph of records and their keys: every round a record takes the smallest
-    label among its keys, a key the smallest among its records - two aggregates, no pairs, so a key shared by a
-    third of all records costs one partial row per task. Labels are checkpointed each round; rounds stop when
-    nothing changes.
+    Connected components of the graph of records and their keys, however long a chain of records is: the rounds grow with
+    its logarithm, each is a few aggregates and joins, and no pairs are made. The label is the smallest record id.
     """
     rec = records.withColumn("name_key", F.concat(F.lit("n:"), slug(F.col("name")))).withColumn("board_key", F.concat(F.lit("b:"), F.lower("board")))
-    links = rec.select("rec_id", F.explode(F.array_compact(F.array("name_key", "board_key"))).alias("key"))
-    labels = links.select("rec_id").distinct().withColumn("label", F.col("rec_id"))
-    for _ in range(max_rounds):
-        key_label = links.join(labels, "rec_id").groupBy("key").agg(F.min("label").alias("label"))
-        new = cut_lineage(links.join(key_label, "key").groupBy("rec_id").agg(F.min("label").alias("new"))
-                          .join(labels, "rec_id").select("rec_id", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")))
-        labels = new.select("rec_id", "label")
-        if new.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError("entity labels did not settle")
+    links = rec.select(F.concat(F.lit("r:"), F.col("rec_id").cast("string")).alias("u"), F.explode(F.array_compact(F.array("name_key", "board_key"))).alias("v"))
+    part = components(links)
+    named = rec.select("rec_id", F.concat(F.lit("r:"), F.col("rec_id").cast("string")).alias("node")).join(part, "node")
+    first = named.groupBy("label").agg(F.min("rec_id").alias("first"))
+    labels = named.join(first, "label").select("rec_id", F.col("first").alias("label"))
     rows = rec.join(labels, "rec_id")
     rank = F.struct((F.col("source") != "yaml").alias("a"), (F.col("source") != "manual").alias("b"), F.col("board").isNull().alias("c"),
                     F.length("name").alias("d"), F.col("rec_id").alias("e"))

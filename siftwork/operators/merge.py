@@ -52,16 +52,20 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> Da
     The batch applies in job_id order: a posting that matches nothing becomes a new row, later ones with its key
     update it. Folding updates in order reduces to min_by/max_by per field (first non-empty fill, last state, first
     or last text), so a posting reported by a third of all rows costs one partial row per task, never a sorted group.
-    Matching looks one hop far: by key, else by stored URL.
+    Matching looks one hop far: by key, else by stored URL. A stored deadline and a pending re-evaluation stay until
+    something else clears them; both are columns of a snapshot this function made, and are worked out for one that lacks them.
     """
     inc = match_existing(incoming, stored).withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
     inc = cut_lineage(inc)                  # the staged batch: keys, match and deadline are worked out once
-    carried = ["dedup_key", "curl", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
+    carried = ["dedup_key", "curl", "company_name", "title", "location", "url", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
     fresh = inc.where("match_id IS NULL")
     base_new = fresh.groupBy("dedup_key").agg(F.min_by(F.struct("job_id", *[c for c in carried if c != "dedup_key"]), "job_id").alias("r")).select(
-        "dedup_key", "r.*", F.lit(True).alias("is_new"))
-    base_old = stored.withColumn("deadline", dates.deadline(F.col("description_text"), as_of)).select("job_id", *carried, F.lit(False).alias("is_new"))
-    base = base_old.unionByName(base_new.select("job_id", *carried, "is_new"))
+        "dedup_key", "r.*", F.lit(True).alias("is_new"), F.lit(False).alias("pending"))
+    if "deadline" not in stored.columns:
+        stored = stored.withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
+    pending = F.coalesce(F.col("needs_reeval"), F.lit(False)) if "needs_reeval" in stored.columns else F.lit(False)
+    base_old = stored.select("job_id", *carried, F.lit(False).alias("is_new"), pending.alias("pending"))
+    base = base_old.unionByName(base_new.select("job_id", *carried, "is_new", "pending"))
 
     owner = base_new.select("dedup_key", F.col("job_id").alias("new_id"))
     upd = inc.join(owner, "dedup_key", "left").withColumn("target", F.coalesce("match_id", "new_id")).where(
@@ -86,14 +90,14 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> Da
     start_hash = F.coalesce(F.col("b.description_hash"), F.col("a.first_text.description_hash"))
     touched = F.col("a.target").isNotNull()
     return j.select(
-        F.col("b.job_id"), F.col("b.is_new"), F.col("b.dedup_key"), F.col("b.curl"), F.col("b.source"),
+        F.col("b.job_id"), F.col("b.is_new"), F.col("b.dedup_key"), F.col("b.curl"), F.col("b.company_name"), F.col("b.title"), F.col("b.location"), F.col("b.url"), F.col("b.source"),
         F.coalesce("b.company_id", "a.company_fill").alias("company_id"),
         F.when(F.coalesce(F.col("b.terms_txt"), F.lit("")) != "", F.col("b.terms_txt")).otherwise(F.coalesce("a.terms_fill", "b.terms_txt")).alias("terms_txt"),
         F.coalesce("b.sponsorship", "a.sponsor_fill").alias("sponsorship"), F.coalesce("a.active_last", "b.active").alias("active"),
         F.coalesce(new_text["description_text"], F.col("b.description_text")).alias("description_text"),
         F.coalesce(new_text["description_hash"], F.col("b.description_hash")).alias("description_hash"),
         F.coalesce(F.col("b.deadline"), F.when(open_text, F.col("a.first_text.deadline")), F.col("a.same_deadline")).alias("deadline"),
-        F.coalesce((F.col("a.low_hash") != start_hash) | (F.col("a.high_hash") != start_hash), F.lit(False)).alias("needs_reeval"),
+        (F.col("b.pending") | F.coalesce((F.col("a.low_hash") != start_hash) | (F.col("a.high_hash") != start_hash), F.lit(False))).alias("needs_reeval"),
         touched.alias("touched"))
 
 

@@ -10,7 +10,7 @@ from siftwork.config import Settings
 from siftwork.functions import fixed_values as fv
 from siftwork.functions.terms import split_terms
 from siftwork.functions.text import canonical_url, trim_boilerplate
-from siftwork.operators.ranking import global_rank, id_bin
+from siftwork.operators.ranking import global_rank
 
 UNREAD_NOTE = "[DESCRIPTION UNAVAILABLE: judge from company, title and location; keep confidence at 40 or below.]"
 
@@ -43,7 +43,7 @@ QUEUE_ORDER = [("likelihood", "desc"), ("first_seen_at", "desc"), ("eval_seq", "
 
 def queue_rank(queue: DataFrame, name: str = "n") -> DataFrame:
     """Position in the ambiguous queue: best local score, then newest, then oldest evaluation id."""
-    return global_rank(queue, QUEUE_ORDER, {"_lik": (F.col("likelihood"), "desc"), "_day": (F.to_date("first_seen_at"), "desc")}, name=name)
+    return global_rank(queue, QUEUE_ORDER, name=name)
 
 
 def batch_prompts(queue: DataFrame, block: Column, size: int) -> DataFrame:
@@ -61,7 +61,7 @@ def pack_batches(s: Settings, postings: DataFrame) -> DataFrame:
     """(job_id, class, batch): readable rows in batches of ``batch_size``, unread ones denser but capped."""
     unread = F.col("description_text").isNull()
     rows = postings.select("job_id", F.when(unread, F.lit("unread")).otherwise(F.lit("read")).alias("class"))
-    ranked = global_rank(rows, [("job_id", "asc")], {"_b": (id_bin("job_id"), "asc")}, keys=["class"], name="n")
+    ranked = global_rank(rows, [("job_id", "asc")], keys=["class"], name="n")
     size = F.when(F.col("class") == "unread", F.lit(min(3 * s.batch_size, fv.UNREAD_BATCH_MAX))).otherwise(F.lit(s.batch_size))
     return ranked.select("job_id", "class", F.floor((F.col("n") - 1) / size).alias("batch"))
 

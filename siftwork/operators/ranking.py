@@ -1,34 +1,30 @@
 """Exact ranks without one task holding a whole group.
 
-A plain ``row_number`` over a hot group sorts that group in one task. Here rows first fall into coarse bins that
-respect the sort order; bin sizes are counted (small, map-side combined), running offsets are computed on the bin
-table, and only rows inside one bin are sorted together. Bin edges are values, never samples, so a recomputed task
-gets the same answer.
+A plain ``row_number`` over a hot group sorts that group in one task. Here rows are dealt into ranges of the whole sort
+order, so ranges stay even however the values are spread; the dealt rows are written to the shared folder, so a lost
+task reads the same ranges again and the input is computed once. Range sizes are counted, offsets come from that small
+table, and only rows inside one range are sorted together.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 65_536        # ids per bin
-
+from siftwork.session import cut_lineage
 
 def _order(spec: list[tuple[str, str]]) -> list[Column]:
     make = {"asc": "asc_nulls_last", "desc": "desc_nulls_last"}
     return [getattr(F.col(c), make[way])() for c, way in spec]
 
 
-def global_rank(df: DataFrame, order: list[tuple[str, str]], coarse: dict[str, tuple[Column, str]],
-                keys: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Add a 1-based rank per ``keys`` (or over all rows) by ``order``.
-
-    ``coarse`` maps a new column name to (order-preserving binning expression, direction): sorting by the coarse
-    columns must never contradict sorting by ``order``.
-    """
+def global_rank(df: DataFrame, order: list[tuple[str, str]], keys: list[str] | None = None, name: str = "rank") -> DataFrame:
+    """Add a 1-based rank per ``keys`` (or over all rows) by ``order``. The sort columns must tell rows apart as far as
+    a caller cares: equal rows meet in one range and are numbered in any order."""
     keys = keys or []
-    bins = list(coarse)
-    df = df.withColumns({c: e for c, (e, _) in coarse.items()})
-    bin_order = _order([(c, way) for c, (_, way) in coarse.items()])
+    bins = ["_range"]
+    dealt = df.repartitionByRange(*_order([(k, "asc") for k in keys]), *_order(order))
+    df = cut_lineage(dealt.withColumn("_range", F.spark_partition_id()))
+    bin_order = _order([("_range", "asc")])
     sizes = df.groupBy(*keys, *bins).agg(F.count("*").alias("_size"))
     before = Window.partitionBy(*keys).orderBy(*bin_order).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, *bins, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
@@ -42,14 +38,6 @@ def global_rank(df: DataFrame, order: list[tuple[str, str]], coarse: dict[str, t
     return out.drop("_inner", *bins)
 
 
-def id_bin(col: str, size: int = BIN) -> Column:
-    return F.floor(F.col(col) / size)
-
-
-def day_bin(col: str) -> Column:
-    return F.to_date(F.col(col))
-
-
 def top_rank(df: DataFrame, order: list[tuple[str, str]], k: int, name: str = "rank") -> DataFrame:
     """Global top k with its rank: per-task top k first, then a window over at most k rows."""
     best = df.orderBy(*_order(order)).limit(k)

@@ -14,7 +14,7 @@ def bullets(summary: Column) -> Column:
     """Bullet texts when every non-blank line is a bullet, else an empty array."""
     lines = F.filter(F.transform(F.split(F.coalesce(summary, F.lit("")), "\n"), lambda t: F.trim(t)), lambda x: x != "")
     ok = (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike("^[-•*] "))
-    return F.when(ok, F.transform(lines, lambda x: F.trim(F.substring(x, 3, 100_000)))).otherwise(F.array().cast("array<string>"))
+    return F.when(ok, F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "(?s)^..", "")))).otherwise(F.array().cast("array<string>"))
 
 
 def scorer_class(model: Column) -> Column:

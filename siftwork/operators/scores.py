@@ -23,9 +23,11 @@ def with_reason(s: Settings, rows: DataFrame) -> DataFrame:
 def score_pending(s: Settings, queue: DataFrame, companies: DataFrame) -> DataFrame:
     """Evaluation rows for a pending queue: rule rejects and local scores, in one pass without a second scan.
 
-    Text is dropped from the row before anything else happens to it; a rejected row costs no score lookup result.
+    A rejected row loses its title and text before scoring, so the patterns of the score run on passing rows only.
     """
-    rows = scored_postings(s, with_reason(s, queue), companies)
+    judged = with_reason(s, queue)
+    judged = judged.withColumns({c: F.when(F.col("reason").isNull(), F.col(c)) for c in ("title", "description_text")})
+    rows = scored_postings(s, judged, companies)
     rejected = F.col("reason").isNotNull()
     return rows.select(
         "job_id", F.when(rejected, F.lit("prefilter")).otherwise(F.lit("local")).alias("model"),

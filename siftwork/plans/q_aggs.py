@@ -233,8 +233,7 @@ def k03(spark, d):
 def k04(spark, d):
     rows = current(spark, d, ["description_text"]).where("app_status <> 'new'").select(
         "app_status", "job_id", "likelihood", dates.deadline(F.col("description_text"), dates.at(S.as_of)).alias("deadline"))
-    ranked = ranking.global_rank(rows, [("deadline", "asc"), ("likelihood", "desc"), ("job_id", "asc")],
-                                 {"_a": (F.col("deadline"), "asc"), "_b": (F.col("likelihood"), "desc")}, keys=["app_status"])
+    ranked = ranking.global_rank(rows, [("deadline", "asc"), ("likelihood", "desc"), ("job_id", "asc")], keys=["app_status"])
     ordinal = roles.literal_map(F.col("app_status"), {s: i for i, s in enumerate(fv.BOARD_STAGES)}, F.lit(len(fv.BOARD_STAGES)))
     return ranked.select("app_status", ordinal.alias("stage_ord"), "job_id", "rank")
 
@@ -272,5 +271,4 @@ def k07(spark, d):
 @query("k08_listings_order", "SELECT slug, status, row_number() OVER (ORDER BY status, tier NULLS FIRST, name) AS rank FROM company_dim")
 def k08(spark, d):
     c = view(spark, d, "company_dim").select("slug", "status", "name", F.coalesce("tier", F.lit(-1)).alias("tier"))
-    return ranking.global_rank(c, [("status", "asc"), ("tier", "asc"), ("name", "asc")],
-                               {"_a": (F.col("status"), "asc"), "_b": (F.col("tier"), "asc"), "_c": (F.substring("name", 1, 14), "asc")}).select("slug", "status", "rank")
+    return ranking.global_rank(c, [("status", "asc"), ("tier", "asc"), ("name", "asc")]).select("slug", "status", "rank")

@@ -111,8 +111,8 @@ def s03(spark, d):
 
 
 @query("s04_read_board_lever", """SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, location, url, posted_at, 'lever:sup' || supplier_key AS source,
- concat_ws(chr(10) || chr(10), nullif(description_text, ''), CASE WHEN job_id % 2 = 0 THEN 'Perks' || chr(10) || 'Lunch' || chr(10) || chr(10) || 'Gym & pool' END, CASE WHEN job_id % 3 = 0 THEN 'Bye' END) AS description_text
-FROM (SELECT * FROM postings WHERE NOT (coalesce(description_text, '') = '' AND job_id % 2 <> 0 AND job_id % 3 <> 0))""")
+ nullif(concat_ws(chr(10) || chr(10), nullif(description_text, ''), CASE WHEN job_id % 2 = 0 THEN 'Perks' || chr(10) || 'Lunch' || chr(10) || chr(10) || 'Gym & pool' END, CASE WHEN job_id % 3 = 0 THEN 'Bye' END), '') AS description_text
+FROM postings""")
 def s04(spark, d):
     p = board_source(spark, d)
     lists = F.when(p.job_id % 2 == 0, F.array(F.struct(F.lit("Perks").alias("text"), F.lit("<ul><li>Lunch</li><li>Gym &amp; pool</li></ul>").alias("content"))))
@@ -120,8 +120,7 @@ def s04(spark, d):
                     F.when(p.job_id % 3 == 0, F.lit("Bye")).alias("additionalPlain"), _ms(p.posted_at, 1000).alias("createdAt"), F.when(p.job_id % 5 != 0, p.url).alias("hostedUrl"), p.url.alias("applyUrl"))
     pay = p.select(_token(p).alias("feed"), p.company_name.alias("company"), F.to_json(F.array(item)).alias("payload"))
     r = feeds.read_lever(pay)
-    return r.where("description_text IS NOT NULL OR external_id % 2 = 0 OR external_id % 3 = 0").select(
-        "external_id", "company_name", "title", "location", "url", "posted_at", "source", F.coalesce("description_text", F.lit("")).alias("description_text"))
+    return r.select("external_id", "company_name", "title", "location", "url", "posted_at", "source", "description_text")
 
 
 @query("s05_read_board_ashby", """SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, CASE WHEN job_id % 4 = 0 THEN CASE WHEN location = '' THEN 'Remote' ELSE location || '; Remote' END ELSE location END AS location,
@@ -204,7 +203,7 @@ def s15(spark, d):
     path = scratch_dir(spark, "directory")
     sinks.write_directory_csv(e, path)
     back = spark.read.schema("slug string, aliases string, tags string").option("header", True).csv(path).na.fill("")
-    return ranking.global_rank(back, [("slug", "asc")], {"_b": (F.substring("slug", 1, 14), "asc")}, name="line")
+    return ranking.global_rank(back, [("slug", "asc")], name="line")
 
 
 @query("s10_seed_companies", """SELECT s.s_name AS name, lower(replace(s.s_name, '#', '-')) AS slug, coalesce(c.status, 'approved') AS status, coalesce(CASE WHEN s.s_suppkey % 2 = 0 THEN 'greenhouse' END, c.ats_type) AS ats_type,
@@ -277,7 +276,7 @@ def s14(spark, d):
     rows = rows.withColumn("line", reports.table_line(rows)).select(*cols)
     main = reports.section_rank(rows.where("track IN ('primary', 'unknown')"), SECTION_CAPS).select(F.col("bucket").alias("section"), F.col("rank").cast("bigint").alias("rank"), "line")
     alt = reports.bucket_key(rows.where("track IN ('alt', 'unknown') AND bucket IN ('likely', 'reach')")).withColumn("fresh", F.col("is_new").cast("int"))
-    alt = ranking.global_rank(alt, [("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], {"_a": (F.col("fresh"), "desc"), "_b": (F.col("key1"), "desc")}, keys=["bucket"])
+    alt = ranking.global_rank(alt, [("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], keys=["bucket"])
     alt = alt.select(F.concat(F.lit("alt "), "bucket").alias("section"), "rank", "line")
     c = view(spark, d, "company_dim").where("status = 'proposed'").withColumn("t", F.coalesce("tier", F.lit(-1)))
     prop = ranking.top_rank(c, [("t", "asc"), ("name", "asc")], 30)
@@ -286,7 +285,7 @@ def s14(spark, d):
         F.lit("- `"), "slug", F.lit("` **"), "name", F.lit("** (tier "), q("tier"), F.lit(", rep "), q("reputation"), F.lit("; via "), "source", F.lit(")")).alias("line"))
     e = view(spark, d, "evals").where((F.col("rubric_version") == S.rubric) & F.col("hard_reject_reason").isNotNull())
     n = e.groupBy(F.when(e.hard_reject_reason.startswith("model:"), F.lit("model")).when(e.hard_reject_reason.startswith("triage:"), e.hard_reject_reason).otherwise(e.hard_reject_reason).alias("r")).agg(F.count("*").alias("n"))
-    rej = ranking.global_rank(n, [("n", "desc"), ("r", "asc")], {"_a": (F.col("n"), "desc")}).select(F.lit("rejects").alias("section"), "rank", F.concat(F.lit("- "), "r", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    rej = ranking.global_rank(n, [("n", "desc"), ("r", "asc")]).select(F.lit("rejects").alias("section"), "rank", F.concat(F.lit("- "), "r", F.lit(": "), F.col("n").cast("string")).alias("line"))
     lines = main.unionByName(alt).unionByName(prop).unionByName(rej)
     path = scratch_dir(spark, "digest")
     sinks.write_snapshot(lines, path, 1)

@@ -95,7 +95,7 @@ SELECT s_suppkey, base || CASE WHEN k > 1 THEN '-' || k ELSE '' END AS slug FROM
 def w08(spark, d):
     """Repeated slugs get -2, -3, ... in order; exact numbering even when one slug is very common."""
     b = raw(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("group-"), (F.col("s_suppkey") % 7).cast("string")).alias("base"))
-    n = ranking.global_rank(b, [("s_suppkey", "asc")], {"_b": (ranking.id_bin("s_suppkey"), "asc")}, keys=["base"], name="k")
+    n = ranking.global_rank(b, [("s_suppkey", "asc")], keys=["base"], name="k")
     return n.select("s_suppkey", F.when(F.col("k") > 1, F.concat_ws("-", "base", F.col("k").cast("string"))).otherwise(F.col("base")).alias("slug"))
 
 
@@ -116,7 +116,7 @@ SELECT slug, idx FROM n WHERE (idx - 7 % c + c) % c < 3""")
 def w10(spark, d):
     """The next 3 entries of the directory from a stored cursor (7), wrapping around."""
     e = view(spark, d, "directory").select("slug")
-    n = ranking.global_rank(e, [("slug", "asc")], {"_b": (F.substring("slug", 1, 14), "asc")}).withColumn("idx", F.col("rank") - 1)
+    n = ranking.global_rank(e, [("slug", "asc")]).withColumn("idx", F.col("rank") - 1)
     total = e.agg(F.count("*").alias("c"))
     return n.crossJoin(F.broadcast(total)).where(F.pmod(F.col("idx") - 7 % F.col("c"), F.col("c")) < 3).select("slug", "idx")
 
@@ -175,24 +175,22 @@ def a12(spark, d):
 
 
 @query("k01_browse_sort", f"""WITH {ROWS_SQL}, k AS (SELECT *, CASE bucket WHEN 'likely' THEN likelihood * desirability WHEN 'wildcard' THEN interest ELSE desirability END AS key1,
- CASE WHEN bucket IN ('likely', 'wildcard') THEN 0 ELSE likelihood END AS key2 FROM deco WHERE bucket = 'reach')
-SELECT job_id, row_number() OVER (ORDER BY is_new DESC, key1 DESC, key2 DESC, job_id) AS by_match,
- row_number() OVER (ORDER BY coalesce(posted_at, CAST(first_seen_at AS DATE)) DESC, job_id) AS by_newest,
- row_number() OVER (ORDER BY list_position([{', '.join(o.q(t.key) for t in S.types)}, 'general'], role), likelihood DESC, job_id) AS by_role,
- row_number() OVER (ORDER BY deadline NULLS LAST, desirability DESC, job_id) AS by_deadline FROM k""")
+ CASE WHEN bucket IN ('likely', 'wildcard') THEN 0 ELSE likelihood END AS key2 FROM deco)
+SELECT job_id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY is_new DESC, key1 DESC, key2 DESC, job_id) AS by_match,
+ row_number() OVER (PARTITION BY bucket ORDER BY coalesce(posted_at, CAST(first_seen_at AS DATE)) DESC, job_id) AS by_newest,
+ row_number() OVER (PARTITION BY bucket ORDER BY list_position([{', '.join(o.q(t.key) for t in S.types)}, 'general'], role), likelihood DESC, job_id) AS by_role,
+ row_number() OVER (PARTITION BY bucket ORDER BY deadline NULLS LAST, desirability DESC, job_id) AS by_deadline FROM k""")
 def k01(spark, d):
-    """The four browse orders as exact ranks (bins follow the leading sort keys)."""
+    """The four browse orders as exact ranks within each bucket."""
     from siftwork.functions import roles
-    rows = reports.bucket_key(decorated(spark, d, ["posted_at"], deadline=True).where("bucket = 'reach'")).select(
-        "job_id", "key1", "key2", "likelihood", "desirability", "deadline", F.col("is_new").cast("int").alias("fresh"),
+    rows = reports.bucket_key(decorated(spark, d, ["posted_at"], deadline=True)).select(
+        "job_id", "bucket", "key1", "key2", "likelihood", "desirability", "deadline", F.col("is_new").cast("int").alias("fresh"),
         F.coalesce("posted_at", F.to_date("first_seen_at")).alias("newest"), roles.role_order(S, F.col("role")).alias("role_ord"))
     rows = cut_lineage(rows)          # narrow keys only; every rank below reads them twice
     specs = {
-        "by_match": ([("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], {"_a": (F.col("fresh"), "desc"), "_b": (F.col("key1"), "desc")}),
-        "by_newest": ([("newest", "desc"), ("job_id", "asc")], {"_a": (F.col("newest"), "desc"), "_b": (ranking.id_bin("job_id"), "asc")}),
-        "by_role": ([("role_ord", "asc"), ("likelihood", "desc"), ("job_id", "asc")], {"_a": (F.col("role_ord"), "asc"), "_b": (F.col("likelihood"), "desc")}),
-        "by_deadline": ([("deadline", "asc"), ("desirability", "desc"), ("job_id", "asc")], {"_a": (F.col("deadline"), "asc"), "_b": (F.col("desirability"), "desc")})}
-    out = rows.select("job_id")
-    for name, (order, coarse) in specs.items():
-        out = out.join(ranking.global_rank(rows, order, coarse, name=name).select("job_id", name), "job_id")
+        "by_match": [("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], "by_newest": [("newest", "desc"), ("job_id", "asc")],
+        "by_role": [("role_ord", "asc"), ("likelihood", "desc"), ("job_id", "asc")], "by_deadline": [("deadline", "asc"), ("desirability", "desc"), ("job_id", "asc")]}
+    out = rows.select("job_id", "bucket")
+    for name, order in specs.items():
+        out = out.join(ranking.global_rank(rows, order, keys=["bucket"], name=name).select("job_id", name), "job_id")
     return out

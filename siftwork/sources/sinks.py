@@ -13,6 +13,15 @@ def write_snapshot(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
+def newest_version(spark: SparkSession, path: str) -> int | None:
+    """The newest finished version of a snapshot, from the folder itself, so that a restarted job finds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    found = [int(p.getName()[2:]) for p in names if p.getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(found) if found else None
+
+
 def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{path}/v={version}")
 

@@ -1,5 +1,6 @@
-"""Structured Streaming forms of the incremental jobs. Every stream runs ``availableNow`` over landed files, keeps its
-checkpoint in scratch space shared by the executors and writes to files, never to driver memory."""
+"""Structured Streaming forms of the incremental jobs. Every stream runs ``availableNow`` over landed files and writes to
+files, never to driver memory. ``root`` is the job's folder for its checkpoint and output: a later call with the same folder
+resumes where the last one ended. Without one the job is a single run in a new folder of the session's shared space."""
 from __future__ import annotations
 
 from collections.abc import Callable
@@ -17,49 +18,45 @@ def file_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
     return spark.readStream.schema(schema).options(**options).parquet(path)
 
 
-def run_to_files(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_to_files(stream: DataFrame, mode: str = "append", root: str | None = None) -> DataFrame:
     """Run an append stream to the end into parquet files and read them back."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, "stream")
+    out = root or scratch_dir(spark, "stream")
     q = (stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/cp")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    spark = stream.sparkSession
-    q = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{scratch_dir(spark, 'stream')}/cp")
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+    q = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/cp")
          .trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def keep_latest_result(stream: DataFrame) -> DataFrame:
+def keep_latest_result(stream: DataFrame, root: str | None = None) -> DataFrame:
     """Run a complete-mode aggregate; each trigger replaces the stored result under its own version."""
     spark = stream.sparkSession
-    out = scratch_dir(spark, "result")
-    seen = []
-
-    def each(df: DataFrame, epoch: int) -> None:
-        sinks.write_snapshot(df, out, epoch)
-        seen.append(epoch)
-    run_batches(stream, each, "complete")
-    return sinks.read_snapshot(spark, out, max(seen))
+    root = root or scratch_dir(spark, "result")
+    out = f"{root}/data"
+    run_batches(stream, lambda df, epoch: sinks.write_snapshot(df, out, epoch), root, "complete")
+    return sinks.read_snapshot(spark, out, sinks.newest_version(spark, out))
 
 
-def upsert_stream(landed: DataFrame, stored: DataFrame, as_of: Column) -> DataFrame:
-    """Merge each micro-batch of keyed postings into the newest snapshot version; a replayed batch rewrites its own version."""
+def upsert_stream(landed: DataFrame, stored: DataFrame, as_of: Column, root: str | None = None) -> DataFrame:
+    """Merge each micro-batch of keyed postings into the newest snapshot version; a replayed batch rewrites its own version.
+    ``stored`` is the snapshot to begin with; a resumed job goes on from its own newest version."""
     spark = landed.sparkSession
-    out = scratch_dir(spark, "postings")
-    sinks.write_snapshot(stored, out, -1)
-    done = [-1]
+    root = root or scratch_dir(spark, "postings")
+    out = f"{root}/data"
+    if sinks.newest_version(spark, out) is None:
+        sinks.write_snapshot(stored, out, -1)
 
     def each(df: DataFrame, epoch: int) -> None:
         base = sinks.read_snapshot(spark, out, epoch - 1)
         sinks.write_snapshot(merge.upsert_postings(base, df, as_of), out, epoch)
-        done.append(epoch)
-    run_batches(landed, each)
-    return sinks.read_snapshot(spark, out, max(done))
+    run_batches(landed, each, root)
+    return sinks.read_snapshot(spark, out, sinks.newest_version(spark, out))
 
 
 def dedupe_stream(events: DataFrame, keys: list[str], delay: str) -> DataFrame:

@@ -11,7 +11,7 @@ from siftwork.operators import companies, merge, packing, ranking, windows
 def test_global_rank_equals_a_plain_sort(spark):
     rows = [(i, (i * 37) % 10) for i in range(500)]
     df = spark.createDataFrame(rows, "id int, score int")
-    got = {r.id: r.rank for r in ranking.global_rank(df, [("score", "desc"), ("id", "asc")], {"_a": (F.col("score"), "desc"), "_b": (F.floor(F.col("id") / 7), "asc")}).collect()}
+    got = {r.id: r.rank for r in ranking.global_rank(df, [("score", "desc"), ("id", "asc")]).collect()}
     want = {i: n + 1 for n, (i, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
     assert got == want
 
@@ -88,3 +88,44 @@ def test_entities_bridge_through_a_shared_board(spark):
     df = spark.createDataFrame(rows, "rec_id int, name string, board string, source string, tier int, reputation int, domain string")
     got = {r.label: (r.name, r.tier, r.reputation, r.records) for r in companies.merge_entities(df).collect()}
     assert got == {1: ("Vega Systems", 1, 70, 3), 4: ("Lyra", 3, 10, 1)}
+
+
+def test_a_second_batch_keeps_deadline_and_pending_evaluation(spark):
+    now = dates.at("2024-01-31 00:00:00")
+    make = lambda rows: merge.keyed_rows(spark.createDataFrame([tuple(r[c.split()[0]] for c in _SCHEMA.split(", ")) for r in rows], _SCHEMA))
+    stored = make([_posting(1, "Vega", "SWE Intern", "https://x.org/1", "Apply by 2024-03-01")])
+    first = merge.upsert_postings(stored, make([_posting(11, "Vega", "SWE Intern", "https://x.org/1", "changed text")]), now)
+    for batch in ([_posting(12, "Nova", "GPU Intern", "https://x.org/4", "unrelated")], []):
+        out = {r.job_id: r for r in merge.upsert_postings(first, make(batch) if batch else make([_posting(9, "x", "y", "", "")]).limit(0), now).collect()}
+        assert out[1].deadline == dt.date(2024, 3, 1) and out[1].needs_reeval and out[1].description_text == "changed text"
+        assert out[1].title == "SWE Intern" and out[1].url == "https://x.org/1"
+
+
+def test_a_long_chain_of_records_is_one_company(spark):
+    rows = [(i, f"Name {i // 2}", f"board{(i + 1) // 2}", "yaml", None, None, "") for i in range(140)]
+    df = spark.createDataFrame(rows, "rec_id bigint, name string, board string, source string, tier int, reputation int, domain string")
+    out = companies.merge_entities(df).collect()
+    assert len(out) == 1 and out[0].label == 0 and out[0].records == 140
+
+
+def test_ranks_over_one_hot_value(spark):
+    df = spark.range(500).select(F.col("id"), F.when(F.col("id") < 450, F.lit("same")).otherwise(F.col("id").cast("string")).alias("day"))
+    got = {r.id: r.rank for r in ranking.global_rank(df, [("day", "desc"), ("id", "asc")]).collect()}
+    assert [i for i, _ in sorted(got.items(), key=lambda t: t[1])] == [*range(450), *range(499, 449, -1)]
+
+
+def test_a_resumed_upsert_stream_equals_batches(spark, tmp_path):
+    from siftwork.streaming import jobs
+    now = dates.at("2024-01-31 00:00:00")
+    make = lambda rows: merge.keyed_rows(spark.createDataFrame([tuple(r[c.split()[0]] for c in _SCHEMA.split(", ")) for r in rows], _SCHEMA))
+    state = make([_posting(1, "Vega", "SWE Intern", "https://x.org/1", "Apply by 2024-03-01")])
+    stored = state
+    batches = [make([_posting(11, "Vega", "SWE Intern", "https://x.org/1", "changed")]), make([_posting(12, "Nova", "GPU Intern", "https://x.org/4", None)]), make([_posting(13, "Nova", "GPU Intern", "https://x.org/4", "text")])]
+    for i, b in enumerate(batches):
+        b.coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+        stream = jobs.file_stream(spark, f"{tmp_path}/landed", b.schema, maxFilesPerTrigger=1)
+        if i:  # two calls over one folder: the second takes up the first's state
+            out = jobs.upsert_stream(stream, stored, now, root=f"{tmp_path}/job")
+        state = merge.upsert_postings(state, b, now)
+    columns = ["job_id", "deadline", "needs_reeval", "description_text", "active", "title"]
+    assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, state.select(*columns).collect()))

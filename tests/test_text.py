@@ -14,10 +14,10 @@ def test_canonical_url(values):
     got = one(values, tx.canonical_url,
               "https://www.Boards.greenhouse.io/acme/jobs/7?gh_src=abc&utm_source=Q&ref=Z", "http://boards.greenhouse.io/acme/jobs/7/",
               "https://x.org/jobs?lang=en&id=9", "x.org", "https://x.org/a//?b=&c=%20d~*&UTM_x=1#frag", "", None,
-              "https://x.org/p?q=a+b&q=A&bad=%zz")
+              "https://x.org/p?q=a+b&q=A&bad=%zz", "https://x.org/p?%62=1&a=2", "https://x.org/p?a=%7A&a=b")
     assert got == ["https://boards.greenhouse.io/acme/jobs/7"] * 2 + [
         "https://x.org/jobs?id=9&lang=en", "https://x.org/", "https://x.org/a?c=+d~%2A", "", None,
-        "https://x.org/p?bad=%25zz&q=A&q=a+b"]
+        "https://x.org/p?bad=%25zz&q=A&q=a+b", "https://x.org/p?a=2&b=1", "https://x.org/p?a=b&a=z"]
 
 
 def test_slug_and_keys(values):
@@ -41,7 +41,8 @@ def test_text_hash_ignores_spacing(values):
 
 def test_unescape_matches_the_standard_library(values):
     cases = ["a &amp; b", "&lt;p&gt;", "&notit; &not", "&#8364;&#x20AC;", "&#150;", "&bogus; & &;", "&eacute&Eacute;",
-             "&amp;amp;", "plain", "&CounterClockwiseContourIntegral;", "x&copy2024", "&#0;"]
+             "&amp;amp;", "plain", "&CounterClockwiseContourIntegral;", "x&copy2024", "&#0;",
+             "&amp" + "a" * 100 + ";", "&#x0000000000000041;", "&#1;x", "&#xFFFE;", "&#xFFFFFFFFFF;", "&#00065;"]
     assert one(values, tx.unescape, *cases) == [html.unescape(c) for c in cases]
 
 
