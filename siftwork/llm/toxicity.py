@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.llm.neardup import LETTERS
-from siftwork.llm.tables import arrow_map, signed
+from siftwork.llm.tables import ROWS, arrow_map, signed
 from siftwork.llm.words import column_bytes, hash_words, in_sorted
 
 MAX_EXAMPLES, MAX_TERMS = 12_000, 2_000
@@ -196,7 +196,7 @@ def score(docs: DataFrame, index: Index, out: str = "score", evidence: str = "ev
 
     def run(batches):
         ix = shared.value
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             text, term, times = term_counts(column_bytes(b, "text"), ix.keys)
             ends = np.searchsorted(text, np.arange(b.num_rows + 1))
             scores, proofs = np.full(b.num_rows, ix.without), [[] for _ in range(b.num_rows)]
