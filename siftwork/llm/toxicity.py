@@ -31,7 +31,7 @@ from siftwork.llm.words import column_bytes, hash_words, in_sorted
 
 MAX_EXAMPLES, MAX_TERMS = 12_000, 2_000
 NEIGHBOURS, SHARPNESS, BLOCK = 15, 2.0, 64
-LEAST_GAIN, LEAST_LIFT = 30.0, 4.0
+LEAST_GAIN, LEAST_LIFT, GAIN_SHARE = 20.0, 20.0, 0.05
 STEMS = (4, 5, 6)
 
 
@@ -49,6 +49,12 @@ def term_counts(texts: list[bytes | None], keys: np.ndarray | None = None) -> tu
     return text[first], term[first], np.diff(np.append(first, len(text)))
 
 
+def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The numbers first[0]..last[0], first[1]..last[1], ... (ends exclusive) in one array."""
+    n = last - first
+    return np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 @dataclass
 class Index:
     keys: np.ndarray            # sorted hashes of the terms
@@ -71,29 +77,30 @@ class Index:
     def nearest(self, term: np.ndarray, x: np.ndarray, k: int, leave: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the k most similar examples that share a term, best first. ``leave``: one not to count."""
         n_blocks = -(-len(self.labels) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for t, v in zip(term, x):
-            a, b = self.block_starts[t], self.block_starts[t + 1]
-            bound[self.block[a:b]] += v * self.block_max[a:b]
+        a, b = self.block_starts[term], self.block_starts[term + 1]
+        parts, value = ranges(a, b), np.repeat(x, b - a)           # the block entries of the query's terms
+        bound = np.bincount(self.block[parts], value * self.block_max[parts], minlength=n_blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        found, scores, floor, at = np.empty(0, np.int64), np.empty(0), 0.0, 0
+        place = np.full(n_blocks, n_blocks)
+        place[order] = np.arange(len(order))
+        turn = place[self.block[parts]]
+        by = np.argsort(turn, kind="stable")
+        parts, value, turn = parts[by], value[by], turn[by]
+        found, scores, floor, at, wave = np.empty(0, np.int64), np.empty(0), 0.0, 0, 16
         while at < len(order) and (len(found) < k or bound[order[at]] >= floor - 1e-12):
-            wave = order[at:at + 8]
-            at += 8
-            total = np.zeros((len(wave), BLOCK))
-            for row, b in enumerate(wave):
-                for t, v in zip(term, x):
-                    i = self.block_starts[t] + np.searchsorted(self.block[self.block_starts[t]:self.block_starts[t + 1]], b)
-                    if i < self.block_starts[t + 1] and self.block[i] == b:
-                        p, q = self.block_from[i], self.block_from[i + 1]
-                        total[row, self.example[p:q] - b * BLOCK] += v * self.weight[p:q]
-            row, place = np.nonzero(total)
-            number = wave[row] * BLOCK + place
-            found, scores = np.append(found, number[number != leave]), np.append(scores, total[row, place][number != leave])
+            lo, hi = np.searchsorted(turn, [at, at + wave])
+            first, last = self.block_from[parts[lo:hi]], self.block_from[parts[lo:hi] + 1]
+            entry = ranges(first, last)
+            spot = np.repeat(turn[lo:hi] - at, last - first) * BLOCK + self.example[entry] % BLOCK
+            total = np.bincount(spot, self.weight[entry] * np.repeat(value[lo:hi], last - first), minlength=wave * BLOCK)
+            spot = np.flatnonzero(total)
+            number = order[at + spot // BLOCK] * BLOCK + spot % BLOCK
+            found, scores = np.append(found, number[number != leave]), np.append(scores, total[spot][number != leave])
             best = np.lexsort((found, -np.round(scores, 12)))[:k]
             found, scores = found[best], scores[best]
             floor = scores[-1] if len(found) == k else 0.0
+            at, wave = at + wave, wave * 2
         return found, scores
 
     def share(self, found: np.ndarray, scores: np.ndarray) -> float:
@@ -161,7 +168,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_examp
     n = n1 + n0
     cells = [(a, n1, a + b), (b, n0, a + b), (n1 - a, n1, n - a - b), (n0 - b, n0, n - a - b)]
     gain = sum((F.when(x > 0, x * F.ln(x * n / (side * both))).otherwise(0.0) for x, side, both in cells), F.lit(0.0)) * 2
-    terms = counted.select("term", gain.alias("gain"), ((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))).alias("lift")).where((F.col("gain") >= LEAST_GAIN) & (F.col("lift") >= LEAST_LIFT)).orderBy(F.desc("gain"), "term").limit(max_terms).toPandas() if n1 and n0 else None
+    judged = counted.select("term", gain.alias("gain"), ((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))).alias("lift")).where((F.col("gain") >= LEAST_GAIN) & (F.col("lift") >= LEAST_LIFT)) if n1 and n0 else None
+    terms = judged.orderBy(F.desc("gain"), "term").limit(max_terms).toPandas() if judged is not None else None
+    if terms is not None and len(terms):
+        terms = terms[terms.gain >= GAIN_SHARE * terms.gain.max()]  # words that only a few copies of one text share say little
     keys = np.sort(terms.term.to_numpy(np.int64)) if terms is not None else np.empty(0, np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(keys)
     seen: list[np.ndarray] = []
