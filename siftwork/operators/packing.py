@@ -47,13 +47,13 @@ def queue_rank(queue: DataFrame, name: str = "n") -> DataFrame:
 
 
 def batch_prompts(queue: DataFrame, block: Column, size: int) -> DataFrame:
-    """One prompt per batch of ``size`` queued postings; a group is at most ``size`` rows."""
+    """(batch, jobs, job_ids, prompt): one prompt per batch of ``size`` queued postings; a group is at most ``size`` rows."""
     rows = queue_rank(queue.withColumn("block", block).select("job_id", "likelihood", "first_seen_at", "eval_seq", "block"))
     rows = rows.withColumn("batch", F.floor((F.col("n") - 1) / size))
     packed = rows.groupBy("batch").agg(F.count("*").alias("jobs"), F.array_sort(F.collect_list(F.struct("n", "job_id", "block"))).alias("r"))
     ids = F.array_join(F.transform("r", lambda x: x["job_id"].cast("string")), ", ")
     text = F.array_join(F.transform("r", lambda x: x["block"]), "\n\n---\n\n")
-    return packed.select("batch", "jobs", F.concat(
+    return packed.select("batch", "jobs", F.transform("r", lambda x: x["job_id"]).alias("job_ids"), F.concat(
         F.lit("Triage these "), F.col("jobs").cast("string"), F.lit(" postings. Return one entry per job_id: "), ids, F.lit(".\n\n"), text).alias("prompt"))
 
 
@@ -100,30 +100,43 @@ def budget_waves(s: Settings, batches: DataFrame, budget: int) -> DataFrame:
         "batch", "wave", (F.col("pos") < F.coalesce("fit", zero)).alias("runs"))
 
 
-def batch_inference(batches: DataFrame, scorer: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
-    """Apply a pluggable scorer to Arrow batches of prompts. A scorer that fails on a batch yields NULL scores for it,
-    so the postings pass through untouched."""
-    return batches.mapInPandas(scorer, schema)
-
-
 SCORER_SCHEMA = "batch bigint, job_id bigint, score int, error string"
 
 
-def word_count_scorer(frames: Iterator) -> Iterator:
-    """Deterministic stand-in for an external scorer: a function of each posting block in the prompt."""
-    import re
-
-    import pandas as pd
-
-    for pdf in frames:
-        out = []
-        for batch, prompt in zip(pdf["batch"], pdf["prompt"]):
-            head, _, body = prompt.partition("\n\n")
-            ids = [int(x) for x in re.findall(r"\d+", head.split("job_id:")[1])]
-            try:
-                blocks = body.split("\n\n---\n\n")
-                scores = {int(b.split(" ", 2)[1]): len(b.split()) % 101 for b in blocks if b.startswith("job_id: ")}
-                out += [(batch, i, scores.get(i), None) for i in ids]
-            except Exception as e:  # noqa: BLE001 - a failed batch passes through unscored
-                out += [(batch, i, None, str(e)[:300]) for i in ids]
-        yield pd.DataFrame(out, columns=["batch", "job_id", "score", "error"]).astype({"score": "Int32"})
+def batch_inference(batches: DataFrame, scorer: Callable[[int, str], dict[int, int]], retries: int = 1) -> DataFrame:
+    """(batch, job_id, score, error) for every posting of every batch (batch, job_ids, prompt).
+
+    ``scorer`` takes a batch number and its prompt and returns a score from 0 to 100 per job id. An answer that is not of that
+    form, or an error, is tried again ``retries`` times; a batch that still fails passes through with NULL scores and the error,
+    and a posting that a valid answer omits gets a NULL score and no error.
+    """
+    def run(frames: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in frames:
+            out = []
+            for batch, ids, prompt in zip(pdf["batch"], pdf["job_ids"], pdf["prompt"]):
+                scores, error = {}, None
+                for _ in range(1 + retries):
+                    try:
+                        scores, error = _valid_scores(scorer(int(batch), prompt), {int(i) for i in ids}), None
+                        break
+                    except Exception as e:  # noqa: BLE001 - whatever a scorer raises concerns its batch only
+                        scores, error = {}, str(e)[:300]
+                out += [(batch, int(i), scores.get(int(i)), error) for i in ids]
+            yield pd.DataFrame(out, columns=["batch", "job_id", "score", "error"]).astype({"score": "Int32"})
+    return batches.select("batch", "job_ids", "prompt").mapInPandas(run, SCORER_SCHEMA)
+
+
+def _valid_scores(answer: object, ids: set[int]) -> dict[int, int]:
+    if not isinstance(answer, dict) or not all(isinstance(v, int) and 0 <= v <= 100 and k in ids for k, v in answer.items()):
+        raise ValueError("invalid scorer output")
+    return answer
+
+
+def word_count_scorer(batch: int, prompt: str) -> dict[int, int]:
+    """Deterministic stand-in for an external scorer: words of each posting block modulo 101; refuses every third batch."""
+    if batch % 3 == 1:
+        raise RuntimeError("scorer refused the batch")
+    blocks = prompt.partition("\n\n")[2].split("\n\n---\n\n")
+    return {int(b.split(" ", 2)[1]): len(b.split()) % 101 for b in blocks}

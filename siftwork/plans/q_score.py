@@ -9,6 +9,7 @@ from siftwork.operators.ranking import top_rank
 from siftwork.operators.scores import score_pending, scored_postings
 from siftwork.plans import oracle as o
 from siftwork.plans.q_rules import RULE_COLUMNS, _READ, reason
+from siftwork.plans.q_text import TRIAGE_SQL
 from siftwork.plans.registry import query
 from siftwork.sources.views import view
 
@@ -101,10 +102,11 @@ def x08(spark, d):
     return fast_rows(spark, d)
 
 
-@query("x09_batch_inference")
+@query("x09_batch_inference", f"""WITH {TRIAGE_SQL} SELECT batch, job_id, CASE WHEN batch % 3 <> 1 THEN CAST(len(string_split({o.squeeze('block')}, ' ')) % 101 AS INT) END AS score,
+ CASE WHEN batch % 3 = 1 THEN 'scorer refused the batch' END AS error FROM blocks""")
 def x09(spark, d):
-    """Ambiguous queue packed into prompts and scored by a pluggable function; the default one counts words."""
+    """Ambiguous queue packed into prompts and scored by a pluggable function; the default one counts words and refuses every third batch."""
     p = view(spark, d, "postings", ["company_name", "title", "location", "first_seen_at", "active", "description_text"])
     queue = ambiguous_queue(view(spark, d, "evals"), p, S.profile)
     prompts = packing.batch_prompts(queue, packing.triage_block(S, queue), S.triage_batch)
-    return packing.batch_inference(prompts, packing.word_count_scorer, packing.SCORER_SCHEMA)
+    return packing.batch_inference(prompts, packing.word_count_scorer)

@@ -201,18 +201,21 @@ def t19(spark, d):
     return p.select("job_id", posting_block(p).alias("block"))
 
 
-@query("t19b_batch_prompts", f"""
-WITH a AS (SELECT e.job_id, e.eval_seq, p.*, row_number() OVER (ORDER BY e.likelihood DESC, p.first_seen_at DESC NULLS LAST, e.eval_seq) AS n
+TRIAGE_SQL = f"""a AS (SELECT e.job_id, e.eval_seq, p.*, row_number() OVER (ORDER BY e.likelihood DESC, p.first_seen_at DESC NULLS LAST, e.eval_seq) AS n
   FROM evals e JOIN postings p ON p.job_id = e.job_id WHERE e.profile_hash = 'cur' AND e.model = 'local' AND p.active
    AND json_extract_string(e.raw, '$.fast.band') = 'ambiguous'),
-t AS (SELECT *, CAST((n - 1) // 40 AS BIGINT) AS batch, replace(substr({o.trim_boilerplate("coalesce(description_text, '')")}, 1, 500), chr(10) || chr(10), chr(10)) AS head FROM a)
+t AS (SELECT *, CAST((n - 1) // 40 AS BIGINT) AS batch, replace(substr({o.trim_boilerplate("coalesce(description_text, '')")}, 1, 500), chr(10) || chr(10), chr(10)) AS head FROM a),
+blocks AS (SELECT *, 'job_id: ' || job_id || ' | ' || company_name || ' | ' || title || ' | ' || coalesce(nullif(location, ''), 'unspecified') || chr(10)
+  || CASE WHEN head = '' THEN '[no description available]' ELSE head END AS block FROM t)"""
+
+
+@query("t19b_batch_prompts", f"""WITH {TRIAGE_SQL}
 SELECT batch, count(*) AS jobs, 'Triage these ' || count(*) || ' postings. Return one entry per job_id: ' || string_agg(CAST(job_id AS VARCHAR), ', ' ORDER BY n)
-  || '.' || chr(10) || chr(10) || string_agg('job_id: ' || job_id || ' | ' || company_name || ' | ' || title || ' | ' || coalesce(nullif(location, ''), 'unspecified') || chr(10)
-  || CASE WHEN head = '' THEN '[no description available]' ELSE head END, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS prompt FROM t GROUP BY batch""")
+  || '.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS prompt FROM blocks GROUP BY batch""")
 def t19b(spark, d):
     p = view(spark, d, "postings", ["company_name", "title", "location", "first_seen_at", "active", "description_text"])
     queue = ambiguous_queue(view(spark, d, "evals"), p, S.profile)
-    return batch_prompts(queue, triage_block(S, queue), S.triage_batch)
+    return batch_prompts(queue, triage_block(S, queue), S.triage_batch).drop("job_ids")
 
 
 @query("t20_compact_numbers", """

@@ -129,3 +129,17 @@ def test_a_resumed_upsert_stream_equals_batches(spark, tmp_path):
         state = merge.upsert_postings(state, b, now)
     columns = ["job_id", "deadline", "needs_reeval", "description_text", "active", "title"]
     assert sorted(map(tuple, out.select(*columns).collect())) == sorted(map(tuple, state.select(*columns).collect()))
+
+
+def test_batch_inference_retries_and_passes_failures_through(spark):
+    rows = [(0, [1, 2], "p"), (1, [3], "p"), (2, [4], "p"), (3, [5], "p")]
+    df = spark.createDataFrame(rows, "batch bigint, job_ids array<bigint>, prompt string").coalesce(1)
+    calls = []
+
+    def scorer(batch, prompt):
+        calls.append(batch)
+        if batch == 1 or (batch == 3 and calls.count(3) == 1):
+            raise RuntimeError("down")
+        return {4: 200} if batch == 2 else {1: 7} if batch == 0 else {5: 9}
+    got = sorted(map(tuple, packing.batch_inference(df, scorer).collect()))
+    assert got == [(0, 1, 7, None), (0, 2, None, None), (1, 3, None, "down"), (2, 4, None, "invalid scorer output"), (3, 5, 9, None)]
