@@ -30,10 +30,10 @@ from siftwork.llm.words import Words, byte_classes, column_bytes, hash_words, in
 
 SPACES = byte_classes(c0=" \t\n\x0b\x0c\r")
 ALPHA = 0.1
-TOP, CLASSES, SHAPES = 1500, 48, 16
+TOP, CLASSES, SHAPES = 1000, 48, 16
 HEAD = 100_000
 END = np.int64(0x5EED0E0D)  # the end token's key
-FLUSH = 2_000_000
+FLUSH = 500_000
 
 
 def tokens(batch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
