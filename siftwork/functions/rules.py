@@ -11,7 +11,7 @@ from siftwork.config import Settings
 from siftwork.functions import fixed_values as fv
 from siftwork.functions.degree import degree_mismatch
 from siftwork.functions.terms import term_mismatch
-from siftwork.functions.text import contains_any, literal_rx, match_windows, words_rx
+from siftwork.functions.text import contains_any, holds_any, let, literal_rx, match_windows, words_rx
 
 
 def sponsorship_blocked(s: Settings, sponsorship: Column) -> Column:
@@ -71,9 +71,13 @@ def first_reason(s: Settings, *, title: Column, location: Column, terms: Column,
            .when(title_excluded(s, title), F.lit("out_of_scope"))
            .when(firmware_heavy(title, text), F.lit("firmware_heavy"))
            .when(place_not_allowed(s, location), F.lit("location_not_allowed"))
-           .when(place_excluded(s, title, location), F.lit("location_excluded"))
-           .when(unpaid(s, body), F.lit("unpaid")))
-    for code, needles in (("clearance", s.clearance), ("citizenship", s.citizenship), ("level", s.level), ("other", s.other)):
-        if needles:
-            out = out.when(contains_any(body, needles), F.lit(code))
-    return out.otherwise(degree_mismatch(s.degree_ceiling, title, text))
+           .when(place_excluded(s, title, location), F.lit("location_excluded")))
+
+    def text_rules(low: Column) -> Column:
+        """The rules that read the whole text share one lower-cased copy of it."""
+        last = F.when(unpaid_in_context(body) | holds_any(low, [n for n in s.unpaid if n.lower() != "unpaid"]), F.lit("unpaid"))
+        for code, needles in (("clearance", s.clearance), ("citizenship", s.citizenship), ("level", s.level), ("other", s.other)):
+            if needles:
+                last = last.when(holds_any(low, needles), F.lit(code))
+        return last.otherwise(degree_mismatch(s.degree_ceiling, title, text))
+    return out.otherwise(let(F.lower(body), text_rules))

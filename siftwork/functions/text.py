@@ -30,8 +30,8 @@ def bounded_rx(words, flags="(?i)") -> str:
     return flags + "|".join(one(w) for w in words)
 
 
-def contains_any(c: Column, needles) -> Column:
-    low = F.lower(c)
+def holds_any(low: Column, needles) -> Column:
+    """Does a lower-cased text hold any of the needles?"""
     out = F.lit(False)
     for n in needles:
         if n:
@@ -39,6 +39,10 @@ def contains_any(c: Column, needles) -> Column:
     return out
 
 
+def contains_any(c: Column, needles) -> Column:
+    return holds_any(F.lower(c), needles)
+
+
 def squeeze(c: Column) -> Column:
     """Collapse every whitespace run to one space and trim, as ``' '.join(s.split())``."""
     return F.trim(F.regexp_replace(c, fv.WS + "+", " "))
