@@ -6,6 +6,7 @@ from siftwork.functions import dates, fixed_values as fv, text as tx
 from siftwork.operators import companies as co, merge, ranking, reports, windows
 from siftwork.plans import oracle as o
 from siftwork.plans.q_merge import _PROPOSED  # noqa: F401
+from siftwork.plans.q_text import _SPACES, _unescape_sql
 from siftwork.plans.q_versions import ROWS_SQL, SECTION_CAPS, SECTION_SQL, decorated
 from siftwork.plans.registry import query
 from siftwork.session import scratch_dir
@@ -98,16 +99,15 @@ def _tidy(x):
     return f"nullif({o.strip(o.sub(o.sub(s, ' *\\n *', chr(10)), '\\n{3,}', chr(10) * 2))}, '')"
 
 
-_NO_MARKUP = "(description_text IS NULL OR NOT regexp_matches(description_text, '[<&]'))"
+_CONTENT = _unescape_sql(o.sub(o.sub("('<p>' || description_text || '</p>')", f"(?i)</?(?:{'|'.join(fv.BLOCK_TAGS)})[^>]*>", chr(10)), "<[^>]+>"))
 
 
-@query("s03_read_board_greenhouse", f"""SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, location, url, posted_at, 'greenhouse:sup' || supplier_key AS source, {_tidy('description_text')} AS description_text
-FROM postings WHERE {_NO_MARKUP}""")
+@query("s03_read_board_greenhouse", f"""SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, location, url, posted_at, 'greenhouse:sup' || supplier_key AS source, {_tidy(_CONTENT)} AS description_text
+FROM postings""")
 def s03(spark, d):
-    """Texts with stray markup characters are compared elsewhere (T04); here every row's text is its own expectation."""
-    keep = view(spark, d, "postings", ["description_text"]).where("description_text IS NULL OR NOT description_text RLIKE '[<&]'").select(F.col("job_id").cast("string").alias("external_id"))
+    """Content arrives escaped inside a paragraph; stray markup characters of the texts go through the HTML reader like any other."""
     r = feeds.read_greenhouse(greenhouse_payloads(spark, d))
-    return r.join(keep, "external_id", "left_semi").select("external_id", "company_name", "title", "location", "url", "posted_at", "source", "description_text")
+    return r.select("external_id", "company_name", "title", "location", "url", "posted_at", "source", "description_text")
 
 
 @query("s04_read_board_lever", """SELECT CAST(job_id AS VARCHAR) AS external_id, company_name, title, location, url, posted_at, 'lever:sup' || supplier_key AS source,
@@ -153,7 +153,6 @@ def s06(spark, d):
     return feeds.read_workday(pay, dates.at(S.as_of)).select("url", "company_name", "title", "location", "source", "external_id", "posted_at")
 
 
-from siftwork.plans.q_text import _SPACES, _unescape_sql  # noqa: E402
 
 _PAGE_SQL = f"""a AS (SELECT page_id, url, {_unescape_sql('html')} AS s FROM pages), b AS (SELECT page_id, url, {o.sub('s', f"(?i)</?(?:{'|'.join(fv.BLOCK_TAGS)})[^>]*>", chr(10))} AS s FROM a),
 c AS (SELECT page_id, url, {_unescape_sql(o.sub('s', '<[^>]+>'))} AS s FROM b), e AS (SELECT page_id, url, {o.sub('s', _SPACES)} AS s FROM c),
