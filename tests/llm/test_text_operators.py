@@ -218,3 +218,14 @@ def test_exchange_raises_likelihood():
     assert likelihood(of) >= likelihood(np.append(rng.integers(0, 4, 40), 4)) and likelihood(of) >= 1.02 * likelihood(np.append(truth, 4))  # both are negative
 
 
+def test_language_model_learns_classes_beyond_the_clustered_words(spark):
+    """Words a.. stand before words b.. of the same shape; only the six most frequent are clustered, the rest must learn it."""
+    rng = np.random.default_rng(7)
+    lines = [" ".join(f"{c}{rng.integers(3) if rng.random() < 0.6 else rng.integers(3, 40):03d}d" for _ in range(8) for c in "ab") for _ in range(400)]
+    probes = [(1000, "a000d b030d"), (1001, "a000d a030d")]
+    docs = spark.createDataFrame(list(enumerate(lines)) + probes, "doc_id long, text string")
+    count = Counter(w for t in lines for w in t.split())
+    rest = lambda w: 0.0 - math.log10(count[w] + 0.1)  # noqa: E731  # without the word's own count
+    for head in (100_000, 8):  # all classes broadcast, or those of further words joined
+        found = {r.doc_id: r for r in classlm.score(docs, F.col("doc_id") < 1000, top=6, classes=2, head=head).where("doc_id >= 1000").collect()}
+        assert found[1000].score + rest("b030d") > found[1001].score + rest("a030d") + 0.5
