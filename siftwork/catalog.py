@@ -1,7 +1,7 @@
 """Role catalog: which role types exist and the words that identify them.
 
 The keys, their order (= tie-break order), groups and the ``decisive`` flag are fixed; the vocabulary is
-a *parameter*. ``DEFAULT_CATALOG`` is a compact starter vocabulary; ``read_catalog`` loads a full one from a
+a *parameter*. ``default_catalog`` is the full vocabulary; ``read_catalog`` loads another one from a
 table with the columns ``ord, key, label, grp, decisive, keywords`` (keywords joined with ``|``). A custom
 role type is one more row with a smaller ``ord``.
 """
@@ -31,47 +31,147 @@ class RoleType:
     keywords: tuple[str, ...]
 
 
-# key | label | group number | decisive | vocabulary
-_ROWS = """
-quantresearch|Quant Research / Trading|0|1|quantitative researcher,quantitative research,quantitative trader,quant researcher,quant trader,alpha research
-quant|HFT / Quant engineering|0|0|trading,trader,quant,quantitative,hft,market data,order book,market making
-gpu|GPU / Accelerators|0|0|gpu,cuda,accelerator,inference,ai inference,tensor core,hpc
-compilers|Compilers / Runtimes|0|0|compiler,llvm,mlir,codegen,jit,toolchain,linker
-silicon|Silicon / RTL / EDA|0|0|rtl,verilog,asic,physical design,silicon,eda
-aerospace|Aerospace / Avionics|3|0|aerospace,avionics,spacecraft,satellite,propulsion
-robotics|Robotics / Autonomy|3|0|robotics,robot,autonomy,autonomous,motion planning,planning & controls,controls,perception,drone
-cv|Computer Vision|2|0|computer vision,image processing,object detection,optical flow
-graphics|Graphics / Rendering|4|0|graphics,rendering,shader,ray tracing,vulkan
-gamedev|Game Development|4|0|game,gameplay,unreal,unity
-ar|AR / VR / XR|4|0|augmented reality,virtual reality,headset,xr
-compbio|Computational Biology|3|0|computational biology,bioinformatics,genomics,protein
-fintech|Fintech / Payments|5|0|payments,fintech,banking,ledger
-security|Security / AppSec|1|0|security,appsec,cryptography,malware,zero trust
-perf|Performance / Optimization|0|0|performance,optimization,low latency,low-latency,profiling,simd,throughput,multithreaded,cpu
-mlresearch|ML Research|2|0|research scientist,research intern,ai research,research engineer
-database|Databases / Storage|1|0|database,databases,storage engine,query engine,storage,columnar
-networking|Networking|1|0|networking,network engineer,tcp,rdma,routing
-cloud|Cloud / DevOps / SRE|1|0|cloud,sre,devops,kubernetes,observability
-data|Data Engineering|2|0|data engineer,data engineering,etl,spark,kafka,data lake
-datasci|Data Science / Analytics|2|0|data science,data scientist,analytics,forecasting
-ml|ML / AI Infra|2|0|machine learning,ml,ai,deep learning,mlops,training,model serving
-devtools|Developer Tools / Build|5|0|developer tools,build system,bazel,sdk
-qa|QA / Test Automation|5|0|qa engineer,quality assurance,test automation,sdet
-mobile|Mobile|4|0|ios,android,mobile,kotlin
-frontend|Frontend / Web|4|0|frontend,front-end,javascript,typescript,react,css
-fullstack|Full-stack / Product|4|0|full stack,full-stack,fullstack,product engineer,saas
-systems|Systems / Infra|1|0|distributed systems,infrastructure,systems software,operating system,kernel,linux,backend,platform,scheduler
-hardware|Embedded / Hardware|3|0|embedded,firmware,fpga,bare metal,rtos,device driver,hardware,pcb
-it|IT / Support|5|0|help desk,technical support,it support,sysadmin
-"""
+# fixed values: key, label, group, decisive, vocabulary
+_ROWS = [
+    ("quantresearch", "Quant Research / Trading", "Low-level & performance", True, (
+        "quantitative researcher", "quantitative research", "quantitative trader", "quantitative trading",
+        "quantitative developer", "quantitative analyst", "quantitative strategist", "quant researcher", "quant research",
+        "quant trader", "quant trading", "quant analyst", "alpha research", "systematic trading", "portfolio construction",
+        "derivatives pricing", "stochastic",
+    )),
+    ("quant", "HFT / Quant engineering", "Low-level & performance", False, (
+        "trading", "trader", "quant", "quantitative", "hft", "high frequency", "high-frequency", "market data",
+        "market making", "market-making", "order book", "matching engine", "exchange connectivity", "hedge fund",
+        "prop trading", "proprietary trading", "kernel bypass", "tick data",
+    )),
+    ("gpu", "GPU / Accelerators", "Low-level & performance", False, (
+        "gpu", "cuda", "tensorrt", "triton", "rocm", "cudnn", "cutlass", "accelerator", "accelerated compute",
+        "ai compiler", "ai compilers", "inference", "inference optimization", "kernel optimization", "gpu kernels",
+        "tensor core", "deep learning computer architecture", "computer architecture", "ai inference", "npu", "tpu",
+        "co design", "co-design", "developer technology", "hpc", "high performance computing",
+        "high-performance computing",
+    )),
+    ("compilers", "Compilers / Runtimes", "Low-level & performance", False, (
+        "compiler", "llvm", "mlir", "codegen", "code generation", "jit", "intermediate representation", "toolchain",
+        "interpreter", "language runtime", "garbage collect", "static analysis", "parser", "type system", "linker",
+    )),
+    ("silicon", "Silicon / RTL / EDA", "Low-level & performance", False, (
+        "rtl", "verilog", "systemverilog", "vhdl", "asic", "physical design", "design verification", "silicon",
+        "chip design", "eda", "synthesis", "place and route", "dft", "analog design", "timing closure", "soc design",
+    )),
+    ("aerospace", "Aerospace / Avionics", "Physical & scientific", False, (
+        "aerospace", "avionics", "spacecraft", "satellite", "launch vehicle", "propulsion", "orbital", "attitude control",
+        "space systems", "astrodynamics",
+    )),
+    ("robotics", "Robotics / Autonomy", "Physical & scientific", False, (
+        "robotics", "robot", "robotic", "autonomy", "autonomous", "self-driving", "robotaxi", "perception",
+        "motion planning", "planning & controls", "planning and controls", "controls", "slam", "localization", "gnc",
+        "guidance", "navigation", "ros", "ros 2", "ros2", "isaac sim", "drone", "uav", "flight software", "manipulation",
+        "humanoid", "hardware in loop", "hardware-in-the-loop", "hardware-in-loop", "hil", "sensor fusion", "lidar",
+        "teleoperation",
+    )),
+    ("cv", "Computer Vision", "AI & data", False, (
+        "computer vision", "image processing", "object detection", "segmentation", "visual perception",
+        "3d reconstruction", "photogrammetry", "pose estimation", "optical flow",
+    )),
+    ("graphics", "Graphics / Rendering", "Products & apps", False, (
+        "graphics", "rendering", "renderer", "shader", "ray tracing", "raytracing", "rasteriz", "opengl", "vulkan",
+        "directx", "metal api", "path tracing", "real-time rendering",
+    )),
+    ("gamedev", "Game Development", "Products & apps", False, (
+        "game", "gameplay", "unreal", "unity", "game engine", "level design", "game systems",
+    )),
+    ("ar", "AR / VR / XR", "Products & apps", False, (
+        "augmented reality", "virtual reality", "mixed reality", "spatial computing", "headset", "xr", "ar vr",
+        "hand tracking", "eye tracking",
+    )),
+    ("compbio", "Computational Biology", "Physical & scientific", False, (
+        "computational biology", "bioinformatics", "genomics", "genomic", "protein", "molecular dynamics",
+        "drug discovery", "sequencing", "cheminformatics", "structural biology",
+    )),
+    ("fintech", "Fintech / Payments", "Other engineering", False, (
+        "payments", "fintech", "banking", "ledger", "settlement", "risk engine", "fraud detection", "credit risk",
+        "treasury", "clearing",
+    )),
+    ("security", "Security / AppSec", "Systems & infrastructure", False, (
+        "security", "appsec", "infosec", "cryptography", "cryptographic", "penetration testing", "red team",
+        "vulnerability", "threat detection", "malware", "zero trust", "identity and access", "secure enclave",
+    )),
+    ("perf", "Performance / Optimization", "Low-level & performance", False, (
+        "performance", "optimization", "optimisation", "low latency", "low-latency", "latency", "profiling", "simd", "avx",
+        "vectoriz", "efficiency", "performance-critical", "high-performance", "throughput", "cache-friendly",
+        "cache locality", "microarchitecture", "lock-free", "nanosecond", "hot path", "real-time constraints", "parallel",
+        "parallelism", "parallel computing", "parallel programming", "concurrent", "multicore", "multi-core",
+        "multithreading", "multithreaded", "numa", "openmp", "mpi", "cpu", "instruction set", "memory bandwidth",
+        "scalability",
+    )),
+    ("mlresearch", "ML Research", "AI & data", False, (
+        "research scientist", "research intern", "machine learning research", "ai research", "research engineer",
+        "publication", "novel architectures", "foundation model research",
+    )),
+    ("database", "Databases / Storage", "Systems & infrastructure", False, (
+        "database", "databases", "storage engine", "database internals", "query engine", "query optimizer", "storage",
+        "transaction", "indexing", "columnar", "olap", "oltp", "key-value store",
+    )),
+    ("networking", "Networking", "Systems & infrastructure", False, (
+        "networking", "network engineer", "networking stack", "tcp", "rdma", "packet processing", "routing", "switching",
+        "load balancer", "cdn", "dpdk", "ebpf", "protocol design",
+    )),
+    ("cloud", "Cloud / DevOps / SRE", "Systems & infrastructure", False, (
+        "cloud", "sre", "site reliability", "devops", "kubernetes", "terraform", "observability", "ci cd",
+        "platform engineering", "deployment", "provisioning", "incident response",
+    )),
+    ("data", "Data Engineering", "AI & data", False, (
+        "data engineer", "data engineering", "data infrastructure", "data pipeline", "etl", "spark", "data warehouse",
+        "streaming data", "kafka", "airflow", "data lake",
+    )),
+    ("datasci", "Data Science / Analytics", "AI & data", False, (
+        "data science", "data scientist", "analytics", "business intelligence", "statistician", "experimentation",
+        "ab testing", "a/b testing", "causal inference", "forecasting",
+    )),
+    ("ml", "ML / AI Infra", "AI & data", False, (
+        "machine learning", "ml", "ai", "deep learning", "ml infrastructure", "ai infrastructure", "ai platform",
+        "ml platform", "mlops", "llm", "training", "applied ml", "recommendation", "generative ai", "model serving",
+        "fine-tuning", "rag", "embeddings", "reinforcement learning",
+    )),
+    ("devtools", "Developer Tools / Build", "Other engineering", False, (
+        "developer tools", "developer experience", "build system", "bazel", "developer productivity", "sdk", "api design",
+        "ide", "tooling engineer", "release engineering",
+    )),
+    ("qa", "QA / Test Automation", "Other engineering", False, (
+        "qa engineer", "quality assurance", "test automation", "test engineer", "sdet", "validation engineer",
+        "verification and validation", "automated testing",
+    )),
+    ("mobile", "Mobile", "Products & apps", False, (
+        "ios", "android", "mobile", "swift", "kotlin", "react native", "flutter", "mobile app",
+    )),
+    ("frontend", "Frontend / Web", "Products & apps", False, (
+        "frontend", "front-end", "front end", "web developer", "javascript", "typescript", "react", "vue", "angular",
+        "css", "web app", "user interface", "design systems",
+    )),
+    ("fullstack", "Full-stack / Product", "Products & apps", False, (
+        "full stack", "full-stack", "fullstack", "product engineer", "web application", "crud", "saas", "rails", "django",
+        "node js",
+    )),
+    ("systems", "Systems / Infra", "Systems & infrastructure", False, (
+        "distributed systems", "distributed system", "infrastructure", "infra", "systems software", "system software",
+        "operating system", "kernel development", "kernel", "linux", "backend", "back-end", "platform",
+        "large-scale systems", "consensus", "raft", "paxos", "rpc framework", "concurrency", "concurrency primitives",
+        "scheduler", "microservices",
+    )),
+    ("hardware", "Embedded / Hardware", "Physical & scientific", False, (
+        "embedded", "firmware", "fpga", "soc", "bare metal", "bare-metal", "rtos", "microcontroller", "board bring-up",
+        "device driver", "hardware", "battery management", "power electronics", "pcb", "signal integrity",
+    )),
+    ("it", "IT / Support", "Other engineering", False, (
+        "help desk", "helpdesk", "technical support", "it support", "system administrator", "sysadmin", "desktop support",
+        "service desk",
+    )),
+]
 
 
 def default_catalog() -> list[RoleType]:
-    out = []
-    for i, line in enumerate(_ROWS.strip().splitlines()):
-        key, label, grp, decisive, words = line.split("|")
-        out.append(RoleType(i, key, label, GROUPS[int(grp)], decisive == "1", tuple(words.split(","))))
-    return out
+    return [RoleType(i, key, label, grp, decisive, words) for i, (key, label, grp, decisive, words) in enumerate(_ROWS)]
 
 
 def catalog_sql(catalog: list[RoleType] | None = None) -> str:

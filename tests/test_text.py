@@ -80,3 +80,14 @@ def test_internship_titles(values):
 def test_compact_number(values):
     got = values([(7,), (1234,), (12_500,), (13_500,), (2_500_000,), (None,)], "n bigint", lambda df: tx.compact_number(df.n))
     assert got == ["7", "1.2K", "12K", "14K", "2.5M", "0"]
+
+
+def test_role_vocabulary_is_whole(values):
+    """Cases the original states for titles and vocabulary."""
+    from siftwork.config import Settings
+    from siftwork.functions import roles
+    rows = [("Quantitative Trading Intern", "Nobody Inc"), ("Quantitative Developer Intern", "Optiver"), ("Quantitative Software Engineer Intern", "Citadel"), ("Linux Engineer Intern", "Jane Street")]
+    found = values(rows, "title string, company string", lambda df: roles.classify(Settings(), F.col("title"), F.col("company")))
+    assert found == ["quantresearch", "quantresearch", "quant", "quant"]
+    words = {t.key: t.keywords for t in Settings().catalog}
+    assert "slam" in words["robotics"] and sum(map(len, words.values())) == 424
