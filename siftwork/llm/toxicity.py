@@ -31,7 +31,7 @@ from siftwork.llm.words import column_bytes, hash_words, in_sorted
 
 MAX_EXAMPLES, MAX_TERMS = 12_000, 2_000
 NEIGHBOURS, SHARPNESS, BLOCK = 15, 2.0, 64
-LEAST_GAIN, LEAST_LIFT, GAIN_SHARE = 20.0, 20.0, 0.05
+LEAST_GAIN, LEAST_LIFT = 20.0, 20.0
 STEMS = (4, 5, 6)
 
 
@@ -170,8 +170,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, train: Column, max_examp
     gain = sum((F.when(x > 0, x * F.ln(x * n / (side * both))).otherwise(0.0) for x, side, both in cells), F.lit(0.0)) * 2
     judged = counted.select("term", gain.alias("gain"), ((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1))).alias("lift")).where((F.col("gain") >= LEAST_GAIN) & (F.col("lift") >= LEAST_LIFT)) if n1 and n0 else None
     terms = judged.orderBy(F.desc("gain"), "term").limit(max_terms).toPandas() if judged is not None else None
-    if terms is not None and len(terms):
-        terms = terms[terms.gain >= GAIN_SHARE * terms.gain.max()]  # words that only a few copies of one text share say little
     keys = np.sort(terms.term.to_numpy(np.int64)) if terms is not None else np.empty(0, np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(keys)
     seen: list[np.ndarray] = []

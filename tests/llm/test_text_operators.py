@@ -229,3 +229,11 @@ def test_language_model_learns_classes_beyond_the_clustered_words(spark):
     for head in (100_000, 8):  # all classes broadcast, or those of further words joined
         found = {r.doc_id: r for r in classlm.score(docs, F.col("doc_id") < 1000, top=6, classes=2, head=head).where("doc_id >= 1000").collect()}
         assert found[1000].score + rest("b030d") > found[1001].score + rest("a030d") + 0.5
+
+
+def test_toxicity_keeps_rare_insults_beside_frequent_ones(spark):
+    texts = ["zorkel there" if i < 12 else "blasted there" if i < 600 else "a fine day there" for i in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 600)) for i in range(2000)], "doc_id long, toxic int")
+    index = toxicity.fit(docs, labels, "toxic", F.lit(True))
+    assert set(toxicity.term_counts([b"zorkel"])[1]) <= set(index.keys)
