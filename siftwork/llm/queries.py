@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import ann, chat, classlm, decontam, mainblocks, neardup, pieces, quality, secrets, toxicity
+from siftwork.llm import ann, chat, classlm, decontam, mainblocks, merkle, neardup, pieces, quality, secrets, toxicity
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -112,3 +112,38 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     found = mainblocks.extract(pages.select("page_id", "url", "html"), mainblocks.fit(pages))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    changed = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    found = merkle.manifest(docs, changed)
+    proof = F.sha2(F.concat_ws("", F.transform("proof", lambda s: F.concat(s["left"], s["right"]))), 256)
+    return found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def crc32_sql(column: str) -> str:
+    """Unsigned crc32 of a number's decimal form, bit by bit."""
+    step = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST({column} AS VARCHAR), ''), lambda s: ascii(s)::BIGINT), lambda c, b: {step}), 4294967295)"
+
+
+_PART = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_HEAD = " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+ORACLES["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, coalesce('s' || source, '') AS g, sha256({_HEAD} || {_PART.format('text')}) AS leaf,
+  CASE WHEN {crc32_sql('doc_id')} % 2 = 0 THEN sha256({_HEAD} || {_PART.format("replace(text, chr(10), '')")}) END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, 0 AS lev, pos, n, leaf AS h FROM l UNION ALL SELECT g, lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY g, lev, pos // 3, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lev, pos, n, subroot AS h FROM s UNION ALL SELECT lev + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY lev, pos // 3, n),
+a AS (SELECT 0 AS top, g, lev, pos, n, h FROM t UNION ALL SELECT 1, '', lev, pos, n, h FROM u),
+w AS (SELECT *, lag(h, 1) OVER x AS p1, lag(h, 2) OVER x AS p2, coalesce(lead(h, 1) OVER x, '') AS n1, coalesce(lead(h, 2) OVER x, '') AS n2 FROM a WINDOW x AS (PARTITION BY top, g, lev ORDER BY pos)),
+b AS (SELECT top, g, lev, pos, CASE pos % 3 WHEN 0 THEN '' WHEN 1 THEN p1 ELSE p2 || p1 END AS lft, CASE pos % 3 WHEN 0 THEN n1 || n2 WHEN 1 THEN n1 ELSE '' END AS rgt FROM w WHERE n > 1),
+f AS (SELECT r, g, lev, pos, n, h, proof FROM (SELECT r, g, 0 AS lev, pos, n, coalesce(changed, leaf) AS h, '' AS proof FROM l)
+  UNION ALL SELECT f.r, f.g, f.lev + 1, f.pos // 3, (f.n + 2) // 3, sha256(lft || f.h || rgt), proof || lft || rgt FROM f JOIN b ON b.top = 0 AND f.g = b.g AND f.lev = b.lev AND f.pos = b.pos WHERE f.n > 1),
+k AS (SELECT r, 0 AS lev, s.pos, s.n, f.h, proof FROM f JOIN s ON f.g = s.g WHERE f.n = 1
+  UNION ALL SELECT k.r, k.lev + 1, k.pos // 3, (k.n + 2) // 3, sha256(lft || k.h || rgt), proof || lft || rgt FROM k JOIN b ON b.top = 1 AND k.lev = b.lev AND k.pos = b.pos WHERE k.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, k.h AS folded_root, k.h = root AS verified
+FROM l JOIN s ON l.g = s.g JOIN (SELECT h AS root FROM u WHERE n = 1) ON true JOIN k ON k.r = l.r AND k.n = 1"""
