@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import ann, chat, classlm, decontam, mainblocks, merkle, neardup, pieces, quality, secrets, toxicity
+from siftwork.llm import ann, chat, classlm, decontam, mainblocks, merkle, neardup, pieces, quality, secrets, toxicity, trie
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -147,3 +147,23 @@ k AS (SELECT r, 0 AS lev, s.pos, s.n, f.h, proof FROM f JOIN s ON f.g = s.g WHER
   UNION ALL SELECT k.r, k.lev + 1, k.pos // 3, (k.n + 2) // 3, sha256(lft || k.h || rgt), proof || lft || rgt FROM k JOIN b ON b.top = 1 AND k.lev = b.lev AND k.pos = b.pos WHERE k.n > 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, k.h AS folded_root, k.h = root AS verified
 FROM l JOIN s ON l.g = s.g JOIN (SELECT h AS root FROM u WHERE n = 1) ON true JOIN k ON k.r = l.r AND k.n = 1"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    found = trie.prefix_trie(read(spark, sf_dir, "conversations"), source=c - c % 5, head=F.crc32(c.cast("string").cast("binary")) % 9, most=8)
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", F.col("saved_bytes").alias("saved_tokens"), "ends_sha256")
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, md5(octet_length(encode(role)) || ':' || role || text)) AS own FROM m GROUP BY conv_id),
+x AS (SELECT c.conv_id, coalesce(b.own[1:h], []) || c.own[h + 1:] AS t FROM (SELECT *, CAST({crc32_sql('conv_id')} % 9 AS INTEGER) AS h FROM c) c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 5),
+q AS (SELECT conv_id, d, t[1:d] AS k, len(t) = d AS e FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM x)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE e), '')) AS ends_sha256 FROM q GROUP BY k, d),
+h AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+w AS (SELECT n.k, n.d, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.k[n.d].text)) END AS b, CAST(h.k IS NULL AS INTEGER) AS leaf FROM n LEFT JOIN h ON n.k = h.k),
+s AS (SELECT k[1:i] AS k, sum(b) AS saved, sum(leaf) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n JOIN s ON n.k = s.k LEFT JOIN h ON n.k = h.k LEFT JOIN n p ON n.d > 0 AND p.k = n.k[1:n.d - 1] AND p.d = n.d - 1"""
