@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm import ann, chat, classlm, decontam, mainblocks, merkle, neardup, pieces, quality, secrets, toxicity, trie
+from siftwork.llm import ann, chat, classlm, decontam, mainblocks, merkle, neardup, overlap, pieces, quality, secrets, toxicity, trie
 from siftwork.llm.tables import fold_of, read
 
 QUERIES: dict = {}
@@ -167,3 +167,18 @@ w AS (SELECT n.k, n.d, CASE WHEN n.d = 0 THEN 0 ELSE (n_convs - 1) * octet_lengt
 s AS (SELECT k[1:i] AS k, sum(b) AS saved, sum(leaf) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM w) GROUP BY 1)
 SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM n JOIN s ON n.k = s.k LEFT JOIN h ON n.k = h.k LEFT JOIN n p ON n.d > 0 AND p.k = n.k[1:n.d - 1] AND p.d = n.d - 1"""
+
+
+@query
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.classes(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLES["op13_ngram_jaccard_join"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id"""
