@@ -7,6 +7,7 @@ their Jaccard similarity reaches ``PERCENT``; documents that reach one another b
 2. Candidates: similar sets of n elements share at least ceil(0.8 n), so they share one among the n - ceil(0.8 n) + 1 that come first in a
    global order (rarest first, by counts of all shingles in hash buckets; the order decides the speed, never the result). The inverted
    lists of these elements are built by one shuffle; lists of one node go, lists of the same nodes become one.
+   Of these lists, which are the short ones of a set, a pair must share as many as the overlap it needs exceeds what can follow them.
 3. Search, in cells of bounded size: a cell holds some query nodes and some nodes of one list, with their whole texts. Its task builds the
    inverted lists of all their shingles and answers each query by DivideSkip: of the T occurrences that a result needs, the longest
    lists can hold at most their number L, so only the shorter lists are merged (by a heap) and what occurs there T - L times is
@@ -16,7 +17,7 @@ their Jaccard similarity reaches ``PERCENT``; documents that reach one another b
    near copies thus costs a few searches a member. No link between different components is missed.
 
 A list of very many nodes that are all similar just below the threshold is compared pair by pair in step 4; everything else is bounded
-by the lists' lengths. Nothing is capped. Broadcast: the bucket counts, ``2**BUCKETS`` numbers.
+by the lists' lengths. Nothing is capped. Broadcast: the bucket counts, ``2**BUCKETS`` numbers (16 MB).
 
 Nulls and edges: null texts and texts without words have an empty set and link with nothing; a null doc_id takes part, and a component of
 only such rows has a null id; repeated rows are one node; an empty table gives no rows. Texts are read whole. Extra columns are ignored.
@@ -24,6 +25,7 @@ only such rows has a null id; repeated rows are one node; an empty table gives n
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from heapq import merge
 from itertools import groupby
@@ -41,7 +43,8 @@ from siftwork.operators.components import components
 
 WORDS = byte_classes(c0=[32, *range(9, 14)])
 SHINGLE, PERCENT = 5, 80
-BUCKETS = 18
+BUCKETS = 22
+SLICE = 14
 PIVOTS = 16
 QUERIES, NODES = 32, 256  # of a cell, about
 SKIP = 0.0085             # of DivideSkip's rule for the number of long lists
@@ -62,49 +65,82 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def bucket_counts(docs: DataFrame, size: int = SHINGLE, bits: int = BUCKETS) -> np.ndarray:
-    """Shingles of all documents by hash bucket."""
+    """Shingles of all documents by hash bucket. Tasks send their counts as packed slices, which are added up one after another."""
     counts: list[np.ndarray] = []
 
     def step(batch) -> None:
         if not counts:
-            counts.append(np.zeros(1 << bits, np.int64))
+            counts.append(np.zeros(1 << bits, np.uint32))
         _, h = shingles(hash_words(column_bytes(batch, "text"), WORDS), size)
-        counts[0] += np.bincount((h >> np.uint64(64 - bits)).astype(np.intp), minlength=1 << bits)
+        np.add.at(counts[0], (h >> np.uint64(64 - bits)).astype(np.intp), np.uint32(1))
+
+    def packed(numbers: list, arrays: list[np.ndarray]) -> dict:
+        return {"slice": numbers, "data": [zlib.compress(x.tobytes(), 1) for x in arrays]}
 
     def finish() -> dict | None:
-        at = np.flatnonzero(counts[0]) if counts else []
-        return {"bucket": at.astype(np.int32), "n": counts[0][at]} if len(at) else None
+        return packed(list(range(1 << bits - SLICE)), np.split(counts[0], 1 << bits - SLICE)) if counts else None
+
+    total: dict = {"slice": None, "sum": None}
+
+    def add(batch) -> Iterator[dict]:
+        for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if number != total["slice"]:
+                if total["slice"] is not None:
+                    yield packed([total["slice"]], [total["sum"]])
+                total["slice"], total["sum"] = number, np.zeros(1 << SLICE, np.uint32)
+            total["sum"] += np.minimum(np.frombuffer(zlib.decompress(data), np.uint32), 0xFFFFFFFF - total["sum"])
 
-    rows = arrow_map(docs.select("text"), step, "bucket int, n bigint", finish).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**bits numbers
-    out = np.zeros(1 << bits, np.int64)
-    out[rows.bucket.to_numpy(int)] = rows.n.to_numpy()
+    def last() -> dict | None:
+        return packed([total["slice"]], [total["sum"]]) if total["slice"] is not None else None
+
+    parts = arrow_map(docs.select("text"), step, "slice int, data binary", finish).repartition("slice").sortWithinPartitions("slice")
+    out = np.zeros(1 << bits, np.uint32)
+    for row in arrow_map(parts, add, "slice int, data binary", last).toLocalIterator():  # 2**bits numbers in all
+        out[row.slice << SLICE:row.slice + 1 << SLICE] = np.frombuffer(zlib.decompress(row.data), np.uint32)
     return out
 
 
 def sketches(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(doc_id, tk, set, n, first): a key of the set, its size and its first elements in the global order; set is null without words."""
+    """(doc_id, tk, set, n, first, end): a key of the set, its size, its first elements in the global order and where in the order the
+    last of these stands; set is null without words."""
     def step(batch) -> dict:
         rows = batch.num_rows
-        out: dict = {"doc_id": batch.column(0), "tk": batch.column(1), "set": [None] * rows, "n": [0] * rows, "first": [None] * rows}
+        out: dict = {"doc_id": batch.column(0), "tk": batch.column(1), "set": [None] * rows, "n": [0] * rows, "first": [None] * rows, "end": [None] * rows}
         shift = np.uint64(64 - int(np.log2(len(counts.value))))
         for i, x in _sets(batch, size):
             order = np.lexsort((x, counts.value[(x >> shift).astype(np.intp)]))
             out["set"][i], out["n"][i] = hashlib.md5(x.tobytes()).digest(), len(x)
-            out["first"][i] = signed(x[order[:len(x) + percent * len(x) // -100 + 1]])
+            first = order[:len(x) + percent * len(x) // -100 + 1]
+            last = x[first[-1]]
+            out["first"][i], out["end"][i] = signed(x[first]), [int(counts.value[int(last >> shift)]), int(last) - (1 << 63)]
         return out
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("tk"), "text"), step, f"doc_id {kind}, tk bigint, set binary, n bigint, first array<bigint>")
+    return arrow_map(docs.select("doc_id", F.xxhash64("text").alias("tk"), "text"), step, f"doc_id {kind}, tk bigint, set binary, n bigint, first array<bigint>, end array<bigint>")
 
 
 def inverted_lists(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, node, n, place, degree): lists of two nodes or more, each combination of nodes once; place of the list's first element
-    among the node's; degree: how many nodes the lists of the node hold in all."""
-    own = found.select("set", "did", "tk", "first").join(nodes, ["set", "did", "tk"]).dropDuplicates(["node"])
-    rows = own.select("node", "n", F.posexplode("first").alias("place", "k"))
+    """(g, node, n, end, place, times, degree): lists of two nodes or more. Lists of the same nodes are one, ``times`` is their number; place
+    of the first such element among the node's; degree: how many nodes the lists of the node hold in all."""
+    own = found.select("set", "did", "tk", "first").join(nodes.select("set", "did", "tk", "node"), ["set", "did", "tk"]).dropDuplicates(["set", "did", "tk"])
+    rows = own.select("node", F.posexplode("first").alias("place", "k"))
     by = Window.partitionBy("k")
-    rows = rows.select("node", "n", "place", F.count("*").over(by).alias("size"), F.bit_xor(F.xxhash64("node")).over(by).alias("g")).where("size > 1")
-    lists = rows.groupBy("g", "node").agg(F.first("n").alias("n"), F.min("place").alias("place"), F.first("size").alias("size"))
-    return lists.select("g", "node", "n", "place", F.sum("size").over(Window.partitionBy("node")).alias("degree"))
+    rows = rows.select("node", "place", F.count("*").over(by).alias("size"), F.bit_xor(F.xxhash64("node")).over(by).alias("g")).where("size > 1")
+    lists = kept(rows.groupBy("g", "node").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("size").alias("size")), "overlap-held")
+    lists = lists.join(nodes.select("node", "n", "end"), "node")
+    return lists.select("g", "node", "n", "end", "place", "times", F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("node")).alias("degree"))
+
+
+def occurring(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, node, ...) that the short lists admit: of the sets' first elements, which the lists hold, as many occur in both as the
+    needed overlap exceeds what can follow the first elements of the set whose first elements end first in the global order."""
+    own = kept(lists.groupBy("node").agg(F.first("n").alias("n"), F.first("end").alias("end"), F.collect_list(F.struct("g", "times")).alias("held")), "overlap-held")  # at most a set's first elements
+    side = lambda name, tag: own.select(F.col("node").alias(name), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "end", "held")])
+    both = pairs.join(side("q", "q"), "q").join(side("node", "x"), "node")
+    held = F.transform("q_held", lambda e: e["g"])
+    shared = F.aggregate(F.filter("x_held", lambda e: F.array_contains(held, e["g"])), F.lit(0).cast("bigint"), lambda a, e: a + e["times"])
+    follow = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    rest = F.when(F.col("q_end") <= F.col("x_end"), follow("q_n")).otherwise(follow("x_n"))
+    return both.where((shared + rest) * (100 + percent) >= percent * (F.col("q_n") + F.col("x_n"))).select(*pairs.columns)
 
 
 class Index:
@@ -192,7 +228,7 @@ def linked(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         most = F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place"))
         apart = F.col("p.label") != F.col("x.label") if pivots is not None else F.col("p.label") < F.col("x.label")
         pairs = p.join(x, "g").where(apart & (most * (100 + percent) >= percent * (F.col("p.n") + F.col("x.n")))).groupBy(F.col("p.node").alias("q"), F.col("x.node").alias("node")).agg(F.min("g").alias("g"))
-        pairs = kept(pairs, "overlap-pairs")
+        pairs = kept(occurring(pairs, lists, percent), "overlap-pairs")
         sizes = pairs.groupBy("g").agg(F.countDistinct("q").alias("qs"), F.countDistinct("node").alias("ns"))
         cells = pairs.join(sizes, "g").select("g", block("q", "qs", QUERIES).alias("qb"), block("node", "ns", NODES).alias("nb"), F.explode(F.array(
             F.struct(F.lit(0).alias("role"), F.col("q").alias("node")), F.struct(F.lit(1).alias("role"), F.col("node").alias("node")))).alias("r")).select("g", "qb", "nb", "r.*").distinct()
@@ -207,9 +243,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     did = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     counts = docs.sparkSession.sparkContext.broadcast(bucket_counts(docs, size))
     found = kept(sketches(docs, counts, size, percent).withColumn("did", did), "overlap-sketches")
-    one = found.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("did", "tk")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"))
-    nodes = kept(one.select("set", "one.*", "least", "n", F.monotonically_increasing_id().alias("node")), "overlap-nodes")
-    lists = kept(inverted_lists(found, nodes.select("set", "did", "tk", "n", "node")), "overlap-lists")
+    one = found.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("did", "tk")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("end").alias("end"))
+    nodes = kept(one.select("set", "one.*", "least", "n", "end", F.monotonically_increasing_id().alias("node")), "overlap-nodes")
+    lists = kept(inverted_lists(found, nodes), "overlap-lists")
     wanted = kept(lists.select("node").distinct().join(nodes.select("node", "did", "tk"), "node"), "overlap-wanted")
     texts = docs.select(did.alias("did"), F.xxhash64("text").alias("tk"), "text").join(wanted, ["did", "tk"]).dropDuplicates(["did", "tk"])
     labels = linked(lists, kept(texts.select("node", "text"), "overlap-texts"), size, percent)
