@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.config import Settings
 from siftwork.functions import dates, fixed_values as fv, scoring
 from siftwork.functions.text import canonical_url, dedup_key, slug, text_hash
-from siftwork.session import cut_lineage
+from siftwork.session import cut_lineage, scratch_dir
 
 
 def keyed_rows(postings: DataFrame) -> DataFrame:
@@ -21,7 +21,8 @@ def match_existing(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Add match_id and how: by dedup key, else by canonical URL. Two equi joins instead of one OR join."""
     by_key = stored.select("dedup_key", F.col("job_id").alias("_k"))
     by_url = stored.where("curl <> ''").groupBy("curl").agg(F.min("job_id").alias("_u"))
-    out = incoming.join(by_key, "dedup_key", "left").join(by_url, "curl", "left")
+    url = F.when(F.col("curl") != "", F.col("curl"))      # rows without a URL look for none
+    out = incoming.join(by_key, "dedup_key", "left").withColumn("_c", url).join(by_url.withColumnRenamed("curl", "_c"), "_c", "left").drop("_c")
     how = F.when(F.col("_k").isNotNull(), F.lit("key")).when(F.col("_u").isNotNull(), F.lit("url"))
     return out.withColumns({"match_id": F.coalesce("_k", "_u"), "how": how}).drop("_k", "_u")
 
@@ -46,31 +47,79 @@ def attach_scores(s: Settings, queue: DataFrame, external: DataFrame) -> DataFra
 
 # ---- postings ------------------------------------------------------------------------------------
 
+def resolve(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+    """Add target and inserted: the posting that each row of an ordered batch (by job_id) belongs to.
+
+    Rows apply one after another: a row belongs to the posting of its key, stored or inserted by an earlier row, else to the
+    posting with its canonical URL, stored or inserted earlier, else it is inserted. A row is thus inserted iff no row
+    inserted before it has its key or its URL: a greedy matching in row order. It is found in rounds: among the open rows
+    those that are first of their key and of their URL are inserted, and rows that share either with them are settled. Only
+    ids and hashes take part, a hot key or URL settles in one round, and rounds follow the longest chain of rows that
+    wait for each other, not the number of rows.
+    """
+    spark = incoming.sparkSession
+    root = scratch_dir(spark, "resolve")
+
+    def stored_as(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    pair = [F.xxhash64("dedup_key", F.lit(1)).alias("k1"), F.xxhash64(F.lit(2), "dedup_key").alias("k2")]
+    link = [F.when(F.col("curl") != "", F.xxhash64("curl", F.lit(1))).alias("u1"), F.when(F.col("curl") != "", F.xxhash64(F.lit(2), "curl")).alias("u2")]
+    found = match_existing(incoming.select("job_id", "dedup_key", "curl"), stored)
+    rows = stored_as(found.select("job_id", *pair, *link, "match_id", "how"), "rows")
+    # rows of one key and one URL stand or fall with their first
+    left = rows.where("match_id IS NULL").groupBy("k1", "k2", "u1", "u2").agg(F.min("job_id").alias("job_id"))
+    left, done, step = stored_as(left, "open-0"), None, 0
+    while not left.isEmpty():
+        by_key = left.groupBy("k1", "k2").agg(F.min("job_id").alias("job_id"))
+        by_url = left.where("u1 IS NOT NULL").groupBy("u1", "u2").agg(F.min("job_id").alias("job_id"))
+        first = left.join(by_key.select("job_id"), "job_id", "left_semi")
+        won = first.where("u1 IS NULL").unionByName(first.where("u1 IS NOT NULL").join(by_url.select("job_id"), "job_id", "left_semi"))
+        won = stored_as(won, f"won-{step}")
+        left = left.join(won.select("k1", "k2"), ["k1", "k2"], "left_anti").join(won.select("u1", "u2"), ["u1", "u2"], "left_anti")
+        step += 1
+        left = stored_as(left, f"open-{step}")
+        done = won if done is None else done.unionByName(won)
+    done = left if done is None else stored_as(done, "won")
+    own_key = done.select("k1", "k2", F.col("job_id").alias("key_id"))
+    own_url = done.where("u1 IS NOT NULL").select("u1", "u2", F.col("job_id").alias("url_id"))
+    late = lambda c: F.when(F.col(c) <= F.col("job_id"), F.col(c))
+    target = F.coalesce(F.when(F.col("how") == "key", F.col("match_id")), late("key_id"), F.col("match_id"), late("url_id"))
+    placed = rows.join(own_key, ["k1", "k2"], "left").join(own_url, ["u1", "u2"], "left").select("job_id", target.alias("target"))
+    new = done.select("job_id", F.lit(True).alias("inserted"))
+    placed = stored_as(placed.join(new, "job_id", "left").withColumn("inserted", F.coalesce("inserted", F.lit(False))), "placed")
+    return incoming.join(placed, "job_id")
+
+
+_POSTING = ["dedup_key", "curl", "company_name", "title", "location", "url", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
+_FIRST = {"external_id": "string", "posted_at": "date"}          # set when a posting is inserted, never changed
+
+
 def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> DataFrame:
     """Merge an ordered batch of postings into a snapshot and return the new snapshot.
 
-    The batch applies in job_id order: a posting that matches nothing becomes a new row, later ones with its key
-    update it. Folding updates in order reduces to min_by/max_by per field (first non-empty fill, last state, first
-    or last text), so a posting reported by a third of all rows costs one partial row per task, never a sorted group.
-    Matching looks one hop far: by key, else by stored URL. A stored deadline and a pending re-evaluation stay until
-    something else clears them; both are columns of a snapshot this function made, and are worked out for one that lacks them.
+    The batch applies in job_id order, see ``resolve``. Folding updates in order reduces to min_by/max_by per field
+    (first non-empty fill, last state, first or last text), so a posting reported by a third of all rows costs one partial
+    row per task, never a sorted group. external_id and posted_at are those of the inserting row; first_seen_at and
+    last_seen_at are ``as_of`` for inserted and for touched postings. A stored deadline and a pending re-evaluation stay
+    until something else clears them. Columns that a stored snapshot lacks are worked out or null.
     """
-    inc = match_existing(incoming, stored).withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
-    inc = cut_lineage(inc)                  # the staged batch: keys, match and deadline are worked out once
-    carried = ["dedup_key", "curl", "company_name", "title", "location", "url", "company_id", "source", "terms_txt", "sponsorship", "description_text", "description_hash", "deadline", "active"]
-    fresh = inc.where("match_id IS NULL")
-    base_new = fresh.groupBy("dedup_key").agg(F.min_by(F.struct("job_id", *[c for c in carried if c != "dedup_key"]), "job_id").alias("r")).select(
-        "dedup_key", "r.*", F.lit(True).alias("is_new"), F.lit(False).alias("pending"))
+    for c, kind in _FIRST.items():
+        incoming = incoming if c in incoming.columns else incoming.withColumn(c, F.lit(None).cast(kind))
+        stored = stored if c in stored.columns else stored.withColumn(c, F.lit(None).cast(kind))
+    for c in ("first_seen_at", "last_seen_at"):
+        stored = stored if c in stored.columns else stored.withColumn(c, F.lit(None).cast("timestamp_ntz"))
     if "deadline" not in stored.columns:
         stored = stored.withColumn("deadline", dates.deadline(F.col("description_text"), as_of))
+    now = as_of.cast("timestamp_ntz")
+    inc = resolve(incoming.withColumn("deadline", dates.deadline(F.col("description_text"), as_of)), stored)
+    inc = cut_lineage(inc)                  # the staged batch: keys, target and deadline are worked out once
+    base_new = inc.where("inserted").select("job_id", *_POSTING, *_FIRST, now.alias("first_seen_at"), now.alias("last_seen_at"), F.lit(True).alias("is_new"), F.lit(False).alias("pending"))
     pending = F.coalesce(F.col("needs_reeval"), F.lit(False)) if "needs_reeval" in stored.columns else F.lit(False)
-    base_old = stored.select("job_id", *carried, F.lit(False).alias("is_new"), pending.alias("pending"))
-    base = base_old.unionByName(base_new.select("job_id", *carried, "is_new", "pending"))
+    base = stored.select("job_id", *_POSTING, *_FIRST, "first_seen_at", "last_seen_at", F.lit(False).alias("is_new"), pending.alias("pending")).unionByName(base_new)
 
-    owner = base_new.select("dedup_key", F.col("job_id").alias("new_id"))
-    upd = inc.join(owner, "dedup_key", "left").withColumn("target", F.coalesce("match_id", "new_id")).where(
-        F.col("match_id").isNotNull() | (F.col("job_id") != F.col("new_id")))
-    upd = upd.join(base.select(F.col("job_id").alias("target"), F.col("source").alias("base_source")), "target")
+    upd = inc.where(~F.col("inserted")).join(base.select(F.col("job_id").alias("target"), F.col("source").alias("base_source")), "target")
     at = F.col("job_id")
     has_text = F.coalesce(F.col("description_text") != "", F.lit(False))
     same = has_text & (F.col("source") == F.col("base_source"))
@@ -98,15 +147,24 @@ def upsert_postings(stored: DataFrame, incoming: DataFrame, as_of: Column) -> Da
         F.coalesce(new_text["description_hash"], F.col("b.description_hash")).alias("description_hash"),
         F.coalesce(F.col("b.deadline"), F.when(open_text, F.col("a.first_text.deadline")), F.col("a.same_deadline")).alias("deadline"),
         (F.col("b.pending") | F.coalesce((F.col("a.low_hash") != start_hash) | (F.col("a.high_hash") != start_hash), F.lit(False))).alias("needs_reeval"),
-        touched.alias("touched"))
+        *[F.col(f"b.{c}") for c in _FIRST], F.col("b.first_seen_at"), F.when(touched, now).otherwise(F.col("b.last_seen_at")).alias("last_seen_at"), touched.alias("touched"))
+
+
+def posting_urls(resolved: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(job_id, url): every spelling under which a posting was reported, from the rows of ``resolve`` and the ``known`` ones.
+    An inserting row adds its URL and its canonical form, later rows add theirs."""
+    given = resolved.select(F.col("target").alias("job_id"), "url")
+    own = resolved.where(F.col("inserted")).select("job_id", F.col("curl").alias("url"))
+    rows = given.unionByName(own)
+    return (rows if known is None else rows.unionByName(known.select("job_id", "url"))).distinct()
 
 
 def ingest_stats(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Per source: postings seen, postings new to the snapshot (first of their key), postings deactivated."""
-    m = cut_lineage(match_existing(incoming, stored).select("job_id", "source", "dedup_key", "match_id"))
+    """Per source: postings seen, postings inserted, postings deactivated."""
+    m = cut_lineage(resolve(incoming, stored).select("job_id", "source", "target", "inserted"))
     seen = m.groupBy("source").agg(F.count("*").alias("seen"))
-    new = m.where("match_id IS NULL").groupBy("dedup_key").agg(F.min_by("source", "job_id").alias("source")).groupBy("source").agg(F.count("*").alias("new"))
-    hit = m.where("match_id IS NOT NULL").select(F.col("match_id").alias("job_id"), "source")
+    new = m.where("inserted").groupBy("source").agg(F.count("*").alias("new"))
+    hit = m.where("NOT inserted").select(F.col("target").alias("job_id"), "source")
     gone = deactivate_missing(stored, m.select("job_id", "source").unionByName(hit)).groupBy("source").agg(F.count("*").alias("deactivated"))
     zero = F.lit(0)
     return seen.join(new, "source", "left").join(gone, "source", "left").select(

@@ -11,6 +11,7 @@ from siftwork.functions import fixed_values as fv
 from siftwork.functions.terms import split_terms
 from siftwork.functions.text import canonical_url, trim_boilerplate
 from siftwork.operators.ranking import global_rank
+from siftwork.session import scratch_dir
 
 UNREAD_NOTE = "[DESCRIPTION UNAVAILABLE: judge from company, title and location; keep confidence at 40 or below.]"
 
@@ -66,38 +67,59 @@ def pack_batches(s: Settings, postings: DataFrame) -> DataFrame:
     return ranked.select("job_id", "class", F.floor((F.col("n") - 1) / size).alias("batch"))
 
 
-def budget_waves(s: Settings, batches: DataFrame, budget: int) -> DataFrame:
+CHUNK_WAVES = 512
+
+
+def budget_waves(s: Settings, batches: DataFrame, budget: int | None, chunk: int = CHUNK_WAVES) -> DataFrame:
     """Which batches start under a token budget. ``batches`` has (batch, tokens), tokens = what the call will cost.
 
     Batches go in waves of ``concurrency``. Before a wave the cost of a batch is estimated as the largest measured so
-    far (a first guess before any); the wave shrinks to what fits and the run stops when nothing does. Every wave
-    that starts spends at least the cheapest batch, so only the first budget / cheapest waves can matter: those few
-    are folded in order inside one row. Returns (batch, wave, runs).
+    far (a first guess before any); the wave shrinks to what fits and the run stops when nothing does. Without a budget
+    all batches are one wave. Returns (batch, wave, runs).
+
+    A wave depends on all before it, so waves are scanned in chunks of ``chunk``: one grouped aggregation folds a chunk from
+    the state (spent, most, stopped) that the chunk before left, stores a row per wave, and hands on the last one. No row
+    holds more than one chunk, whatever a batch costs, and the scan ends once stopped.
     """
+    if budget is None:
+        return batches.select("batch", F.lit(0).cast("bigint").alias("wave"), F.lit(True).alias("runs"))
     k = s.concurrency
-    rows = batches.withColumn("wave", F.floor(F.col("batch") / k)).withColumn("pos", F.col("batch") % k)
-    cheapest = batches.agg(F.min(F.greatest("tokens", F.lit(1))).alias("low"))
-    reach = rows.crossJoin(F.broadcast(cheapest)).where(F.col("wave") <= F.lit(budget) / F.col("low"))
-    waves = reach.groupBy("wave").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("items"))
-    plan = waves.agg(F.array_sort(F.collect_list(F.struct("wave", "items"))).alias("waves"))
+    root = scratch_dir(batches.sparkSession, "waves")
+    rows = batches.select("batch", "tokens", F.floor(F.col("batch") / k).alias("wave"), (F.col("batch") % k).alias("pos")).withColumn("chunk", F.floor(F.col("wave") / chunk))
+    rows.repartitionByRange("wave").sortWithinPartitions("wave").write.parquet(f"{root}/batches")   # a chunk is a few row groups
+    rows = batches.sparkSession.read.schema(rows.schema).parquet(f"{root}/batches")
+    last = rows.agg(F.max("chunk")).first()[0]
+    spent, most, stopped = 0, 0, False
+    for number in range(0 if last is None else last + 1):
+        if stopped:
+            break
+        part = _fold_chunk(rows.where(F.col("chunk") == number), k, budget, spent, most)
+        part.write.parquet(f"{root}/fits/chunk={number}")
+        state = batches.sparkSession.read.parquet(f"{root}/fits/chunk={number}").orderBy(F.desc("wave")).first()
+        if state is not None:
+            spent, most, stopped = state.spent, state.most, state.stopped
+    if last is None:
+        return rows.select("batch", "wave", F.lit(False).alias("runs"))
+    fits = batches.sparkSession.read.parquet(f"{root}/fits").select("wave", "fit")
+    return rows.join(fits, "wave", "left").select("batch", "wave", (F.col("pos") < F.coalesce("fit", F.lit(0))).alias("runs"))
+
+
+def _fold_chunk(rows: DataFrame, k: int, budget: int, spent: int, most: int) -> DataFrame:
+    """(wave, fit, spent, most, stopped) of the waves of one chunk, from the state before it."""
     zero = F.lit(0).cast("bigint")
-    none = F.array().cast("array<struct<wave:bigint,fit:bigint>>")
+    none = F.array().cast("array<struct<wave:bigint,fit:bigint,spent:bigint,most:bigint,stopped:boolean>>")
+    waves = rows.groupBy("wave").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tokens"))), lambda x: x["tokens"].cast("bigint")).alias("costs"))   # at most k
+    plan = waves.agg(F.array_sort(F.collect_list(F.struct(F.col("wave").cast("bigint").alias("wave"), "costs"))).alias("waves"))                           # at most a chunk
 
     def step(st, w):
         est = F.when(st["most"] > 0, st["most"]).otherwise(F.lit(fv.FIRST_BATCH_TOKENS))
         fit = F.when(st["stopped"], zero).otherwise(F.greatest(zero, F.floor((F.lit(budget) - st["spent"]) / est)))
-        started = F.slice(w["items"], F.lit(1), F.least(fit, F.lit(k)).cast("int"))
-        costs = F.transform(started, lambda x: x["tokens"])
-        return F.struct(
-            (st["spent"] + F.aggregate(costs, zero, lambda a, x: a + x)).alias("spent"),
-            F.greatest(st["most"], F.coalesce(F.array_max(costs), zero)).alias("most"),
-            (st["stopped"] | (fit <= 0)).alias("stopped"),
-            F.array_append(st["out"], F.struct(w["wave"].alias("wave"), fit.alias("fit"))).alias("out"))
-
-    start = F.struct(zero.alias("spent"), zero.alias("most"), F.lit(False).alias("stopped"), none.alias("out"))
-    fits = plan.select(F.explode(F.aggregate("waves", start, step)["out"]).alias("f")).select("f.*")
-    return rows.join(fits, "wave", "left").select(
-        "batch", "wave", (F.col("pos") < F.coalesce("fit", zero)).alias("runs"))
+        costs = F.slice(w["costs"], F.lit(1), F.least(fit, F.lit(k)).cast("int"))
+        after = [(st["spent"] + F.aggregate(costs, zero, lambda a, x: a + x)).alias("spent"), F.greatest(st["most"], F.coalesce(F.array_max(costs), zero)).alias("most"), (st["stopped"] | (fit <= 0)).alias("stopped")]
+        return F.struct(*after, F.array_append(st["out"], F.struct(w["wave"].alias("wave"), fit.alias("fit"), *after)).alias("out"))
+
+    start = F.struct(F.lit(spent).cast("bigint").alias("spent"), F.lit(most).cast("bigint").alias("most"), F.lit(False).alias("stopped"), none.alias("out"))
+    return plan.select(F.explode(F.aggregate("waves", start, step)["out"]).alias("f")).select("f.*")
 
 
 SCORER_SCHEMA = "batch bigint, job_id bigint, score int, error string"

@@ -22,17 +22,19 @@ def j01(spark, d):
 
 
 # stored snapshot: two thirds of the postings, first per key; incoming: an overlapping two thirds, some renamed
-SNAPSHOT_SQL = f"""keyed0 AS (SELECT *, {o.dedup_key('company_name', 'title', 'location')} AS dedup_key, {o.canonical_url('url')} AS curl FROM postings WHERE job_id % 3 <> 2),
+EXTERNAL_SQL = "CASE WHEN job_id % 4 = 2 THEN 'x' || job_id END"
+SNAPSHOT_SQL = f"""keyed0 AS (SELECT *, {EXTERNAL_SQL} AS external_id, {o.dedup_key('company_name', 'title', 'location')} AS dedup_key, {o.canonical_url('url')} AS curl FROM postings WHERE job_id % 3 <> 2),
 stored AS (SELECT * FROM keyed0 QUALIFY row_number() OVER (PARTITION BY dedup_key ORDER BY job_id) = 1)"""
 INCOMING_SQL = f"""inc0 AS (SELECT * REPLACE (CASE WHEN job_id % 10 = 1 THEN 'Renamed Role Intern' ELSE title END AS title,
  CASE WHEN job_id % 4 = 1 AND description_text <> '' THEN description_text || ' v2' ELSE description_text END AS description_text) FROM postings WHERE job_id % 3 <> 0),
-incoming AS (SELECT *, {o.dedup_key('company_name', 'title', 'location')} AS dedup_key, {o.canonical_url('url')} AS curl FROM inc0)"""
-POSTING_FIELDS = ["company_name", "title", "location", "url", "source", "active", "terms_txt", "sponsorship", "description_text", "company_id"]
+incoming AS (SELECT *, {EXTERNAL_SQL} AS external_id, {o.dedup_key('company_name', 'title', 'location')} AS dedup_key, {o.canonical_url('url')} AS curl FROM inc0)"""
+POSTING_FIELDS = ["company_name", "title", "location", "url", "source", "active", "terms_txt", "sponsorship", "description_text", "company_id", "posted_at"]
+EXTERNAL = F.when(F.col("job_id") % 4 == 2, F.concat(F.lit("x"), F.col("job_id").cast("string"))).alias("external_id")
 
 
 def stored(spark, d):
-    p = view(spark, d, "postings", POSTING_FIELDS).where("job_id % 3 <> 2")
-    rows = merge.keyed_rows(p)
+    p = view(spark, d, "postings", [*POSTING_FIELDS, "first_seen_at"]).where("job_id % 3 <> 2")
+    rows = merge.keyed_rows(p.select("*", EXTERNAL))
     return cut_lineage(ranking.first_per_key(rows, ["dedup_key"], [("job_id", "asc")]))     # stands for a stored snapshot
 
 
@@ -41,12 +43,12 @@ def incoming(spark, d):
     p = p.withColumns({
         "title": F.when(p.job_id % 10 == 1, F.lit("Renamed Role Intern")).otherwise(p.title),
         "description_text": F.when((p.job_id % 4 == 1) & (p.description_text != ""), F.concat(p.description_text, F.lit(" v2"))).otherwise(p.description_text)})
-    return merge.keyed_rows(p)
+    return merge.keyed_rows(p.select("*", EXTERNAL))
 
 
 @query("j02_match_existing_posting", f"""WITH {SNAPSHOT_SQL}, {INCOMING_SQL}, u AS (SELECT curl, min(job_id) AS job_id FROM stored GROUP BY 1)
 SELECT i.job_id, coalesce(k.job_id, u.job_id) AS match_id, CASE WHEN k.job_id IS NOT NULL THEN 'key' WHEN u.job_id IS NOT NULL THEN 'url' END AS how
-FROM incoming i LEFT JOIN stored k ON k.dedup_key = i.dedup_key LEFT JOIN u ON u.curl = i.curl""")
+FROM incoming i LEFT JOIN stored k ON k.dedup_key = i.dedup_key LEFT JOIN u ON u.curl = i.curl AND i.curl <> ''""")
 def j02(spark, d):
     return merge.match_existing(incoming(spark, d), stored(spark, d)).select("job_id", "match_id", "how")
 

@@ -10,36 +10,56 @@ from siftwork.plans.q_rules import RULE_COLUMNS
 from siftwork.plans.q_score import COMPOSITE_SQL, RUBRIC_SQL, with_composite
 from siftwork.plans.q_versions import STATUS_SQL, current, CUR_SQL
 from siftwork.plans.registry import query
+from siftwork.session import cut_lineage
 from siftwork.sources.views import raw, view
 
 _DL = "CASE WHEN description_text <> '' THEN CASE job_id % 13 WHEN 1 THEN DATE '2024-10-15' WHEN 2 THEN DATE '2024-02-09' END END"
 _HASH = f"CASE WHEN description_text <> '' THEN sha1({o.squeeze('description_text')}) END"
 
-_MERGE_SQL = f"""{SNAPSHOT_SQL}, {INCOMING_SQL}, s AS (SELECT *, {_HASH} AS h, {_DL} AS dl FROM stored), u AS (SELECT curl, min(job_id) AS job_id FROM s GROUP BY 1),
-i AS (SELECT i.*, {_HASH.replace('description_text', 'i.description_text')} AS h, {_DL.replace('description_text', 'i.description_text').replace('job_id', 'i.job_id')} AS dl, coalesce(k.job_id, u.job_id) AS m
- FROM incoming i LEFT JOIN s k ON k.dedup_key = i.dedup_key LEFT JOIN u ON u.curl = i.curl),
-i2 AS (SELECT *, coalesce(m, min(job_id) FILTER (WHERE m IS NULL) OVER (PARTITION BY dedup_key)) AS target FROM i),
-base AS (SELECT job_id, false AS is_new, company_id, source, terms_txt, sponsorship, h, dl, active FROM s UNION ALL SELECT job_id, true, company_id, source, terms_txt, sponsorship, h, dl, active FROM i2 WHERE m IS NULL AND job_id = target),
-upd AS (SELECT i2.*, b.source AS bs, b.h AS bh, i2.h IS NOT NULL AND i2.source = b.source AS same FROM i2 JOIN base b ON b.job_id = i2.target WHERE m IS NOT NULL OR i2.job_id <> i2.target),
+# the batch as the sequence it is: one row after another, with the keys and URLs inserted so far
+_MERGE_SQL = f"""RECURSIVE {SNAPSHOT_SQL}, {INCOMING_SQL}, s AS MATERIALIZED (SELECT *, {_HASH} AS h, {_DL} AS dl FROM stored), u AS (SELECT curl, min(job_id) AS job_id FROM s WHERE curl <> '' GROUP BY 1),
+i AS MATERIALIZED (SELECT i.*, {_HASH.replace('description_text', 'i.description_text')} AS h, {_DL.replace('description_text', 'i.description_text').replace('job_id', 'i.job_id')} AS dl, k.job_id AS km, u.job_id AS um,
+ row_number() OVER (ORDER BY i.job_id) AS n FROM incoming i LEFT JOIN s k ON k.dedup_key = i.dedup_key LEFT JOIN u ON u.curl = i.curl AND i.curl <> ''),
+q(n, keys, urls, ids, target) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) UNION ALL
+ SELECT x.n, CASE WHEN t IS NULL THEN keys || [dedup_key] ELSE keys END, CASE WHEN t IS NULL THEN urls || [curl] ELSE urls END, CASE WHEN t IS NULL THEN ids || [job_id] ELSE ids END, t
+ FROM (SELECT i.n, keys, urls, ids, dedup_key, curl, job_id, coalesce(km, ids[list_position(keys, dedup_key)], um, CASE WHEN curl <> '' THEN ids[list_position(urls, curl)] END) AS t FROM q JOIN i ON i.n = q.n + 1) x),
+i2 AS MATERIALIZED (SELECT i.*, coalesce(q.target, i.job_id) AS target, q.target IS NULL AS ins FROM i JOIN q ON q.n = i.n),
+base AS (SELECT job_id, false AS is_new, company_id, source, terms_txt, sponsorship, h, dl, active, external_id, posted_at, first_seen_at FROM s
+ UNION ALL SELECT job_id, true, company_id, source, terms_txt, sponsorship, h, dl, active, external_id, posted_at, {o.AS_OF} FROM i2 WHERE ins),
+upd AS (SELECT i2.*, b.source AS bs, b.h AS bh, i2.h IS NOT NULL AND i2.source = b.source AS same FROM i2 JOIN base b ON b.job_id = i2.target WHERE NOT ins),
 g AS (SELECT target, arg_min(company_id, job_id) FILTER (WHERE company_id IS NOT NULL) AS c, arg_min(terms_txt, job_id) FILTER (WHERE terms_txt <> '') AS t,
  arg_min(sponsorship, job_id) FILTER (WHERE sponsorship <> '') AS sp, arg_max(active, job_id) AS a, arg_min(h, job_id) FILTER (WHERE h IS NOT NULL) AS fh,
  arg_min(coalesce(dl, DATE '1900-01-01'), job_id) FILTER (WHERE h IS NOT NULL) AS fdl, list(h ORDER BY job_id) FILTER (WHERE same) AS hs, arg_min(dl, job_id) FILTER (WHERE same AND dl IS NOT NULL) AS sdl FROM upd GROUP BY 1),
 merged AS (SELECT b.job_id, b.is_new, coalesce(b.company_id, g.c) AS company_id, coalesce(nullif(b.terms_txt, ''), g.t, b.terms_txt) AS terms_txt, coalesce(b.sponsorship, g.sp) AS sponsorship,
  coalesce(g.a, b.active) AS active, CASE WHEN len(g.hs) > 0 THEN g.hs[-1] WHEN b.h IS NULL THEN g.fh ELSE b.h END AS description_hash,
  coalesce(b.dl, CASE WHEN b.h IS NULL THEN nullif(g.fdl, DATE '1900-01-01') END, g.sdl) AS deadline,
- coalesce(len(list_distinct([coalesce(b.h, g.fh)] || g.hs)) > 1 AND len(g.hs) > 0, false) AS needs_reeval FROM base b LEFT JOIN g ON g.target = b.job_id)"""
+ coalesce(len(list_distinct([coalesce(b.h, g.fh)] || g.hs)) > 1 AND len(g.hs) > 0, false) AS needs_reeval, external_id, posted_at, first_seen_at,
+ CASE WHEN b.is_new OR g.target IS NOT NULL THEN {o.AS_OF} END AS last_seen_at FROM base b LEFT JOIN g ON g.target = b.job_id)"""
+MERGED = ["job_id", "is_new", "company_id", "terms_txt", "sponsorship", "active", "description_hash", "deadline", "needs_reeval", "external_id", "posted_at", "first_seen_at", "last_seen_at"]
 
 
 @query("u01_upsert_postings", f"WITH {_MERGE_SQL} SELECT * FROM merged")
 def u01(spark, d):
-    return merge.upsert_postings(stored(spark, d), incoming(spark, d), dates.at(S.as_of)).select(
-        "job_id", "is_new", "company_id", "terms_txt", "sponsorship", "active", "description_hash", "deadline", "needs_reeval")
+    """The incoming rows as two batches, one after the other; is_new: not in the snapshot before both."""
+    before, inc = stored(spark, d), cut_lineage(incoming(spark, d))
+    half = inc.agg(F.expr("percentile_approx(job_id, 0.5)")).first()[0]
+    now = dates.at(S.as_of)
+    after = cut_lineage(merge.upsert_postings(before, inc.where(F.col("job_id") <= half), now))
+    out = merge.upsert_postings(after, inc.where(F.col("job_id") > half), now)
+    old = before.select("job_id", F.lit(False).alias("was_new"))
+    return out.join(old, "job_id", "left").withColumn("is_new", F.coalesce("was_new", F.lit(True))).select(*MERGED)
 
 
-@query("a20_ingest_stats", f"""WITH {_MERGE_SQL}, n AS (SELECT source, count(*) AS new FROM i2 WHERE m IS NULL AND job_id = target GROUP BY 1), hit AS (SELECT job_id FROM i UNION SELECT m FROM i WHERE m IS NOT NULL),
-cnt AS (SELECT source, count(*) AS c FROM (SELECT source FROM i UNION ALL SELECT source FROM i WHERE m IS NOT NULL) GROUP BY 1),
+@query("u01b_posting_urls", f"WITH {_MERGE_SQL} SELECT target AS job_id, url FROM i2 UNION SELECT job_id, curl FROM i2 WHERE ins")
+def u01b(spark, d):
+    """Every URL under which a posting was reported."""
+    return merge.posting_urls(merge.resolve(incoming(spark, d), stored(spark, d)))
+
+
+@query("a20_ingest_stats", f"""WITH {_MERGE_SQL}, n AS (SELECT source, count(*) AS new FROM i2 WHERE ins GROUP BY 1), hit AS (SELECT job_id FROM i2 UNION SELECT target FROM i2 WHERE NOT ins),
+cnt AS (SELECT source, count(*) AS c FROM (SELECT source FROM i2 UNION ALL SELECT source FROM i2 WHERE NOT ins) GROUP BY 1),
 gone AS (SELECT s.source, count(*) AS d FROM s JOIN cnt ON cnt.source = s.source WHERE s.active AND cnt.c >= 5 AND s.job_id NOT IN (SELECT job_id FROM hit) GROUP BY 1)
-SELECT i.source, count(*) AS seen, coalesce(any_value(n.new), 0) AS new, coalesce(any_value(gone.d), 0) AS deactivated FROM i LEFT JOIN n ON n.source = i.source LEFT JOIN gone ON gone.source = i.source GROUP BY 1""")
+SELECT i.source, count(*) AS seen, coalesce(any_value(n.new), 0) AS new, coalesce(any_value(gone.d), 0) AS deactivated FROM i2 i LEFT JOIN n ON n.source = i.source LEFT JOIN gone ON gone.source = i.source GROUP BY 1""")
 def a20(spark, d):
     return merge.ingest_stats(stored(spark, d), incoming(spark, d))
 

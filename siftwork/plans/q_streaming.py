@@ -6,9 +6,9 @@ from siftwork.functions import dates, scoring
 from siftwork.operators import merge, scores
 from siftwork.plans import oracle as o
 from siftwork.plans.q_joins import incoming, stored
-from siftwork.plans.q_merge import FEED_SQL, _MERGE_SQL, polls
+from siftwork.plans.q_merge import FEED_SQL, MERGED, _MERGE_SQL, polls
 from siftwork.plans.registry import query
-from siftwork.session import scratch_dir
+from siftwork.session import cut_lineage, scratch_dir
 from siftwork.sources.views import postings_sql, raw, view
 from siftwork.streaming import jobs
 
@@ -23,14 +23,16 @@ def _timed(spark, d):
     return _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("st1_stream_upsert", f"WITH {_MERGE_SQL} SELECT job_id, is_new, company_id, active, description_hash, deadline FROM merged")
+@query("st1_stream_upsert", f"WITH {_MERGE_SQL} SELECT * EXCLUDE (is_new) FROM merged")
 def st1(spark, d):
-    """Landed posting files merged per micro-batch into versioned snapshots (equal to the batch merge)."""
-    inc = incoming(spark, d)
+    """Postings landed as three files, in order, and merged in three micro-batches into a bucketed table (equal to the batch merge)."""
+    inc = cut_lineage(incoming(spark, d))
+    low, high = inc.agg(F.expr("percentile_approx(job_id, array(0.33, 0.66))")).first()[0]
     landed = scratch_dir(spark, "landed")
-    inc.write.parquet(landed)
-    out = jobs.upsert_stream(jobs.file_stream(spark, landed, inc.schema), stored(spark, d), dates.at(S.as_of))
-    return out.select("job_id", "is_new", "company_id", "active", "description_hash", "deadline")
+    for part in ("job_id <= {0}", "job_id > {0} AND job_id <= {1}", "job_id > {1}"):
+        inc.where(part.format(low, high)).coalesce(1).write.mode("append").parquet(landed)
+    out = jobs.upsert_stream(jobs.file_stream(spark, landed, inc.schema, maxFilesPerTrigger=1), stored(spark, d), dates.at(S.as_of), buckets=16)
+    return out.select(*[c for c in MERGED if c != "is_new"])
 
 
 @query("st2_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")

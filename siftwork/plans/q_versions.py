@@ -62,17 +62,38 @@ _QUEUE_SQL = """q AS (SELECT e.job_id, e.eval_seq, row_number() OVER (ORDER BY e
 b AS (SELECT (n - 1) // 10 AS batch, 9000 + sum(job_id * 31 % 400) AS tokens FROM q GROUP BY 1)"""
 
 
-@query("w04_budget_waves", f"""WITH RECURSIVE {_QUEUE_SQL}, w AS (SELECT batch // 2 AS wave, list(tokens ORDER BY batch) AS t FROM b GROUP BY 1),
+def _waves_sql(tokens):
+    return f"""WITH RECURSIVE {_QUEUE_SQL}, c AS (SELECT batch, {tokens} AS tokens FROM b), w AS (SELECT batch // 2 AS wave, list(tokens ORDER BY batch) AS t FROM c GROUP BY 1),
 s(wave, spent, most, stopped, fit) AS (SELECT CAST(-1 AS BIGINT), CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), false, CAST(0 AS HUGEINT) UNION ALL
  SELECT w.wave, s.spent + coalesce(list_sum(w.t[:x.fit]), 0), greatest(s.most, coalesce(list_max(w.t[:x.fit]), 0)), s.stopped OR x.fit <= 0, x.fit
  FROM s JOIN w ON w.wave = s.wave + 1, LATERAL (SELECT CASE WHEN s.stopped THEN 0 ELSE greatest(0, (150000 - s.spent) // CASE WHEN s.most > 0 THEN s.most ELSE 26000 END) END AS fit) x)
-SELECT CAST(b.batch AS BIGINT) AS batch, CAST(s.wave AS BIGINT) AS wave, b.batch % 2 < s.fit AS runs FROM b JOIN s ON s.wave = b.batch // 2""")
-def w04(spark, d):
-    """Batches of 10 (so that small data has several waves), a made-up cost per batch, budget 150 000."""
+SELECT CAST(c.batch AS BIGINT) AS batch, CAST(s.wave AS BIGINT) AS wave, c.batch % 2 < s.fit AS runs FROM c JOIN s ON s.wave = c.batch // 2"""
+
+
+def _batches(spark, d):
+    """Batches of 10 (so that small data has several waves) and a made-up cost per batch."""
     p = view(spark, d, "postings", ["first_seen_at", "active"])
     q = packing.queue_rank(ambiguous_queue(view(spark, d, "evals"), p, S.profile))
-    batches = q.groupBy(F.floor((F.col("n") - 1) / 10).alias("batch")).agg((F.sum(F.col("job_id") * 31 % 400) + 9000).alias("tokens"))
-    return packing.budget_waves(S, batches, 150_000)
+    return q.groupBy(F.floor((F.col("n") - 1) / 10).alias("batch")).agg((F.sum(F.col("job_id") * 31 % 400) + 9000).alias("tokens"))
+
+
+@query("w04_budget_waves", _waves_sql("tokens"))
+def w04(spark, d):
+    """Budget 150 000."""
+    return packing.budget_waves(S, _batches(spark, d), 150_000)
+
+
+@query("w04b_cheap_batches", _waves_sql("CASE WHEN batch % 4 = 1 THEN 1 ELSE tokens END"))
+def w04b(spark, d):
+    """Every fourth batch costs a single token, and the scan goes in chunks of two waves."""
+    cheap = F.when(F.col("batch") % 4 == 1, F.lit(1)).otherwise(F.col("tokens"))
+    return packing.budget_waves(S, _batches(spark, d).withColumn("tokens", cheap), 150_000, chunk=2)
+
+
+@query("w04c_no_budget", f"WITH {_QUEUE_SQL} SELECT CAST(batch AS BIGINT) AS batch, 0 AS wave, true AS runs FROM b")
+def w04c(spark, d):
+    """Without a budget all batches are one wave."""
+    return packing.budget_waves(S, _batches(spark, d), None)
 
 
 @query("w05_batch_pack", """WITH c AS (SELECT job_id, CASE WHEN description_text IS NULL THEN 'unread' ELSE 'read' END AS class FROM postings)

@@ -1,7 +1,7 @@
 """Sinks: versioned snapshots, run log, directory CSV and digest lines."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,6 +26,59 @@ def read_snapshot(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(f"{path}/v={version}")
 
 
+class BucketedTable:
+    """A table whose versions share the files of the buckets that a version did not change.
+
+    A row's bucket is a hash of its key column. Version v writes only the buckets it changed, as ``data/v=<v>/bucket=<b>``, and a
+    manifest ``manifest/v=<v>`` with one row per bucket: the version that holds it. The manifest is written last and is the
+    commit: a version without a finished manifest does not exist, and writing a version again replaces it. Folders that none
+    of the last ``keep`` manifests names are deleted, so storage follows the table's size and not the number of versions.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, buckets: int, keep: int = 2):
+        self.spark, self.path, self.key, self.buckets, self.keep = spark, path, key, buckets, keep
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def version(self) -> int | None:
+        return newest_version(self.spark, f"{self.path}/manifest")
+
+    def places(self, version: int) -> dict[int, int]:
+        """Bucket -> version that holds it; at most ``buckets`` entries."""
+        return {r.bucket: r.held for r in self.spark.read.schema("bucket int, held int").parquet(f"{self.path}/manifest/v={version}").collect()}
+
+    def read(self, version: int, schema, buckets: set[int] | None = None) -> DataFrame:
+        held = {b: v for b, v in self.places(version).items() if buckets is None or b in buckets}
+        paths = [f"{self.path}/data/v={v}/bucket={b}" for b, v in sorted(held.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def write(self, df: DataFrame, version: int, base: int | None = None) -> None:
+        """Version ``version`` = version ``base`` with the buckets of the rows of ``df`` replaced by these rows."""
+        target = f"{self.path}/data/v={version}"
+        df.withColumn("bucket", self.bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+        places = ({} if base is None else self.places(base)) | {b: version for b in self._children(target, "bucket=")}
+        rows = self.spark.createDataFrame(sorted(places.items()), "bucket int, held int")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")
+        self._retire(version)
+
+    def _children(self, path: str, prefix: str) -> list[int]:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
+    def _retire(self, version: int) -> None:
+        versions = [v for v in self._children(f"{self.path}/manifest", "v=") if v <= version]
+        live = {(b, v) for m in versions[-self.keep:] for b, v in self.places(m).items()}
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        gone = [f"manifest/v={v}" for v in versions[:-self.keep]]
+        gone += [f"data/v={v}/bucket={b}" for v in self._children(f"{self.path}/data", "v=") if v <= version for b in self._children(f"{self.path}/data/v={v}", "bucket=") if (b, v) not in live]
+        for name in gone:
+            fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+
 def append_run_log(runs: DataFrame, path: str) -> None:
     """One row per finished run; errors as a JSON list (NULL when none)."""
     errors = F.when(F.size("errors") > 0, F.to_json("errors"))

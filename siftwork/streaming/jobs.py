@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import fixed_values as fv
 from siftwork.operators import merge
-from siftwork.session import scratch_dir
+from siftwork.session import cut_lineage, scratch_dir
 from siftwork.sources import sinks
 
 
@@ -43,20 +43,28 @@ def keep_latest_result(stream: DataFrame, root: str | None = None) -> DataFrame:
     return sinks.read_snapshot(spark, out, sinks.newest_version(spark, out))
 
 
-def upsert_stream(landed: DataFrame, stored: DataFrame, as_of: Column, root: str | None = None) -> DataFrame:
-    """Merge each micro-batch of keyed postings into the newest snapshot version; a replayed batch rewrites its own version.
-    ``stored`` is the snapshot to begin with; a resumed job goes on from its own newest version."""
+def upsert_stream(landed: DataFrame, stored: DataFrame, as_of: Column, root: str | None = None, buckets: int = 64) -> DataFrame:
+    """Merge each micro-batch of keyed postings into the newest version of a bucketed table; a replayed batch rewrites its own
+    version. Only the buckets that hold a posting of the batch, or get a new one, are read in whole and written; the other
+    buckets give their keys and URLs for the match and keep their files. ``stored`` is the table to begin with; a resumed job
+    goes on from its own newest version."""
     spark = landed.sparkSession
     root = root or scratch_dir(spark, "postings")
-    out = f"{root}/data"
-    if sinks.newest_version(spark, out) is None:
-        sinks.write_snapshot(stored, out, -1)
+    table = sinks.BucketedTable(spark, f"{root}/data", "dedup_key", buckets)
+    empty = merge.upsert_postings(stored.limit(0), spark.createDataFrame([], landed.schema), as_of).schema
+    if table.version() is None:
+        table.write(merge.upsert_postings(stored, spark.createDataFrame([], landed.schema), as_of), 0)
 
     def each(df: DataFrame, epoch: int) -> None:
-        base = sinks.read_snapshot(spark, out, epoch - 1)
-        sinks.write_snapshot(merge.upsert_postings(base, df, as_of), out, epoch)
+        version = epoch + 1
+        batch = cut_lineage(df)
+        known = table.read(version - 1, empty).select("job_id", "dedup_key", "curl")
+        hit = merge.match_existing(batch.select("dedup_key", "curl"), known).where("match_id IS NOT NULL").select(F.col("match_id").alias("job_id")).distinct()
+        keys = known.join(hit, "job_id").select("dedup_key").unionByName(batch.select("dedup_key"))
+        touched = {r.b for r in keys.select(table.bucket().alias("b")).distinct().collect()}     # at most ``buckets`` numbers
+        table.write(merge.upsert_postings(table.read(version - 1, empty, touched), batch, as_of), version, version - 1)
     run_batches(landed, each, root)
-    return sinks.read_snapshot(spark, out, sinks.newest_version(spark, out))
+    return table.read(table.version(), empty)
 
 
 def dedupe_stream(events: DataFrame, keys: list[str], delay: str) -> DataFrame:

@@ -38,6 +38,26 @@ def test_budget_waves_keep_running_after_a_partial_wave(spark):
     assert got == [0, 2, 3, 4]
 
 
+def test_waves_in_chunks_equal_a_plain_loop(spark):
+    """Chunks of every size, a cheap batch that makes all waves reachable, an empty queue, and no budget at all."""
+    costs = [1 if i % 5 == 2 else 9_000 + 37 * i % 500 for i in range(40)]
+    k, guess = S.concurrency, 26_000
+    for budget in (20_000, 120_000, 10**9):
+        spent, most, want = 0, 0, []
+        for w in range(0, 40, k):
+            fit = (budget - spent) // (most or guess)
+            if fit <= 0:
+                break
+            wave = list(range(w, 40))[:min(fit, k)]
+            spent, most, want = spent + sum(costs[i] for i in wave), max([most, *[costs[i] for i in wave]]), want + wave
+        df = spark.createDataFrame(list(enumerate(costs)), "batch bigint, tokens bigint")
+        for chunk in (1, 3, 512):
+            got = packing.budget_waves(S, df, budget, chunk).collect()
+            assert sorted(r.batch for r in got if r.runs) == want and len(got) == 40
+    assert all(r.runs and r.wave == 0 for r in packing.budget_waves(S, df, None).collect())
+    assert packing.budget_waves(S, df.limit(0), 1).collect() == []
+
+
 def _posting(i, company, title, url, text, source="simplify:a", **kw):
     base = dict(job_id=i, company_name=company, title=title, location="Oslo", url=url, source=source, active=True, terms_txt="", sponsorship=None,
                 description_text=text, company_id=None)
