@@ -1,4 +1,6 @@
 """ST: streaming jobs run to completion over the landed tables."""
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from siftwork.config import DEFAULT as S
@@ -55,11 +57,23 @@ def st3(spark, d):
 
 
 @query("st4_stream_budget", """WITH e AS (SELECT ts, CAST(floor(value * 100) AS BIGINT) AS tokens FROM events), x AS (SELECT e.*, CAST(time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) - INTERVAL 1 DAY * k.k AS window_start FROM e, (SELECT unnest(range(7)) AS k) k)
-SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS runs FROM x GROUP BY 1""")
+SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS runs FROM x GROUP BY 1 HAVING window_start + INTERVAL 7 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
 def st4(spark, d):
-    """Trailing seven-day spend sliding by a day, complete mode."""
-    e = _events(spark, d).select("ts", F.floor(F.col("value") * 100).alias("tokens"))
-    return jobs.keep_latest_result(jobs.spend_stream(e, "7 days", "1 day"))
+    """Trailing seven-day spend sliding by a day: the windows that the watermark has closed."""
+    e = _timed(spark, d).select("ts", F.floor(F.col("value") * 100).alias("tokens"))
+    out = jobs.run_to_files(jobs.spend_stream(e, "1 day", 7))
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+def _in_two_calls(spark, d, job):
+    """Events landed as two files, the second after a first call of the job has ended: ``job(stream, root)`` resumes."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    landed, root = scratch_dir(spark, "landed"), scratch_dir(spark, "resumed")
+    half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for part in (F.col("event_id") <= half, F.col("event_id") > half):
+        e.where(part).coalesce(1).write.mode("append").parquet(landed)
+        out = job(jobs.file_stream(spark, landed, e.schema), root)
+    return out
 
 
 @query("st5_stream_score", f"WITH {o.score_cte('postings')} SELECT job_id, role, score, band FROM scored")
@@ -75,13 +89,21 @@ def st5(spark, d):
 
 @query("st6_stream_status", """SELECT job_id, arg_max(status, (updated_at, event_id)) AS status, max(updated_at) AS updated_at FROM apps GROUP BY 1""")
 def st6(spark, d):
+    """Status per posting in update mode, over two calls; the watermark's delay is longer than the events reach back."""
     n = raw(spark, d, "documents").count()
     t = F.col("event_type")
     status = F.when(t == "view", F.lit("shortlisted")).when(t == "click", F.lit("applied")).when(t == "signup", F.lit("interview")).when(t == "purchase", F.lit("offer")).otherwise(F.lit("rejected"))
-    log = _events(spark, d).where("user_id % 3 = 0").select("event_id", (F.col("event_id") % n).alias("job_id"), status.alias("status"), F.col("ts").alias("updated_at"))
-    return jobs.keep_latest_result(jobs.status_stream(log))
+
+    def job(events, root):
+        log = events.where("user_id % 3 = 0").select("event_id", (F.col("event_id") % n).alias("job_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("updated_at"))
+        return jobs.keep_newest(jobs.status_stream(log, "60 days", timedelta(days=30)), "job_id", ["updated_at", "event_id"], root)
+    return _in_two_calls(spark, d, job).select("job_id", "status", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
 
 
 @query("st6b_stream_feed_health", FEED_SQL)
 def st6b(spark, d):
-    return jobs.keep_latest_result(jobs.health_stream(polls(_events(spark, d))))
+    """Feed health in update mode, over two calls."""
+    def job(events, root):
+        p = polls(events)
+        return jobs.keep_newest(jobs.health_stream(p.withColumn("at", F.col("at").cast("timestamp"))), "feed", ["seen"], root)
+    return _in_two_calls(spark, d, job).select("feed", "status", F.col("last_rows").cast(polls(raw(spark, d, "events")).schema["rows"].dataType).alias("last_rows"), F.col("last_checked").cast("timestamp_ntz").alias("last_checked"))

@@ -4,6 +4,7 @@ resumes where the last one ended. Without one the job is a single run in a new f
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from siftwork.functions import fixed_values as fv
 from siftwork.operators import merge
 from siftwork.session import cut_lineage, scratch_dir
 from siftwork.sources import sinks
+from siftwork.streaming import stateful
 
 
 def file_stream(spark: SparkSession, path: str, schema, **options) -> DataFrame:
@@ -28,19 +30,12 @@ def run_to_files(stream: DataFrame, mode: str = "append", root: str | None = Non
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> None:
+def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], root: str, mode: str = "append") -> dict | None:
+    """Run all that has landed through ``each``; returns the progress of the last micro-batch, if any ran."""
     q = (stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/cp")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-
-
-def keep_latest_result(stream: DataFrame, root: str | None = None) -> DataFrame:
-    """Run a complete-mode aggregate; each trigger replaces the stored result under its own version."""
-    spark = stream.sparkSession
-    root = root or scratch_dir(spark, "result")
-    out = f"{root}/data"
-    run_batches(stream, lambda df, epoch: sinks.write_snapshot(df, out, epoch), root, "complete")
-    return sinks.read_snapshot(spark, out, sinks.newest_version(spark, out))
+    return q.lastProgress
 
 
 def upsert_stream(landed: DataFrame, stored: DataFrame, as_of: Column, root: str | None = None, buckets: int = 64) -> DataFrame:
@@ -77,16 +72,43 @@ def session_stream(events: DataFrame, gap: str, delay: str) -> DataFrame:
     return s.select("user_id", F.col("w.start").alias("session_start"), "session_end", "visits")
 
 
-def spend_stream(events: DataFrame, width: str, slide: str) -> DataFrame:
-    return events.groupBy(F.window("ts", width, slide).alias("w")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("runs")).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tokens", "runs")
+def spend_stream(events: DataFrame, delay: str, days: int) -> DataFrame:
+    """Trailing spend over ``days`` days, sliding by a day, in append mode: daily sums close under the watermark and feed the
+    long windows, so state holds a row per open day and per open window, however many events there are."""
+    daily = events.withWatermark("ts", delay).groupBy(F.window("ts", "1 day").alias("day")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("runs"))
+    trailing = daily.groupBy(F.window(F.window_time("day"), f"{days} days", "1 day").alias("w")).agg(F.sum("tokens").alias("tokens"), F.sum("runs").alias("runs"))
+    return trailing.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "tokens", "runs")
+
+
+def keep_newest(updates: DataFrame, key: str, order: list[str], root: str, buckets: int = 16) -> DataFrame:
+    """Run an update-mode stream into a bucketed table that holds the newest row of each key by ``order``; a batch rewrites
+    the buckets of its own keys. A later call with the same ``root`` takes up state and table."""
+    spark = updates.sparkSession
+    table = sinks.BucketedTable(spark, f"{root}/data", key, buckets)
+    schema = updates.schema
+    rest = [c for c in schema.names if c != key]
+
+    def each(df: DataFrame, epoch: int) -> None:
+        version = epoch + 1
+        batch = cut_lineage(df)
+        touched = {r.b for r in batch.select(table.bucket().alias("b")).distinct().collect()}     # at most ``buckets`` numbers
+        both = table.read(version - 1, schema, touched).unionByName(batch)
+        newest = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(key, "r.*")
+        table.write(newest, version, version - 1)
+    if table.version() is None:
+        table.write(spark.createDataFrame([], schema), 0)
+    with stateful.rocks_state(spark):
+        run_batches(updates, each, root, "update")
+    return table.read(table.version(), schema)
 
 
-def status_stream(events: DataFrame) -> DataFrame:
-    """Latest status per posting as a stateful max_by: one small state row per key however many events it gets."""
-    when = F.struct("updated_at", "event_id")
-    return events.groupBy("job_id").agg(F.max_by("status", when).alias("status"), F.max("updated_at").alias("updated_at"))
+def status_stream(events: DataFrame, delay: str, idle: timedelta) -> DataFrame:
+    """Changes of the newest status per posting, see LatestStatus."""
+    keyed = events.withWatermark("updated_at", delay).groupBy("job_id")
+    return keyed.transformWithStateInPandas(stateful.LatestStatus(idle), stateful.LatestStatus.SCHEMA, "update", "eventTime")
 
 
 def health_stream(polls: DataFrame) -> DataFrame:
-    return merge.feed_health(polls)
+    """Changes of feed health, see FeedHealth."""
+    processor = stateful.FeedHealth(fv.FEED_MIN_ROWS, list(fv.FEED_GONE_STATUS))
+    return polls.groupBy("feed").transformWithStateInPandas(processor, processor.SCHEMA, "update", "None")
