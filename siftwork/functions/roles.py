@@ -1,4 +1,4 @@
-"""Role-type classification over the catalog. Unrolled columns: one pass, no join, no shuffle."""
+"""Role-type classification over the catalog: a phrase dictionary lookup per text, no join, no shuffle."""
 from __future__ import annotations
 
 import re
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siftwork.catalog import GENERAL, GENERAL_LABEL
 from siftwork.config import Settings
 from siftwork.functions import fixed_values as fv
+from siftwork.functions.phrases import group_counts, let, literal
 
 TAG_WEIGHT, SUMMARY_WEIGHT, MIN_FALLBACK = 2, 1, 2
 
@@ -19,37 +20,53 @@ def alternation(words) -> str:
     return rf"(?<![a-z0-9])(?:{'|'.join(re.escape(w) for w in ordered)})(?![a-z0-9])"
 
 
-def distinct_hits(text: Column, words) -> Column:
-    """Number of different keywords found in already lower-cased text."""
-    rx = alternation(words)
-    return F.when(text.rlike(rx), F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(rx), F.lit(0))))).otherwise(F.lit(0))
+def role_hits(s: Settings, low: Column) -> Column:
+    """array<struct<g, hits>>: distinct keywords of each role type (by its place in ``role_names``) in lower-cased text."""
+    return group_counts(low, [t.keywords for t in _typed(s)])
+
+
+def role_names(s: Settings) -> list[str]:
+    return [t.key for t in _typed(s)]
+
+
+def _typed(s: Settings) -> list:
+    return [t for t in s.types if t.keywords]
 
 
 def is_trading_firm(company: Column) -> Column:
     return F.coalesce(F.lower(company).rlike(alternation(fv.TRADING_FIRMS)), F.lit(False))
 
 
-def _argmax(scores: list[tuple[str, Column]], floor: int) -> Column:
-    """Key with the highest score above ``floor``, NULL if none; the earlier entry wins ties."""
-    rows = [F.struct(c.alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("key")) for i, (k, c) in enumerate(scores)]
-    bar = F.struct(F.lit(floor).alias("n"), F.lit(1).alias("o"), F.lit(None).cast("string").alias("key"))
-    return F.greatest(bar, *rows)["key"]
+def _best(names: Column, hits: Column, floor: int) -> Column:
+    """Name of the type with most hits, above ``floor``; the earlier type wins ties."""
+    top = F.array_max(F.transform(F.filter(hits, lambda h: h["hits"] > floor), lambda h: F.struct(h["hits"].alias("n"), (-h["g"]).alias("o"))))
+    return F.get(names, -top["o"])
 
 
 def classify(s: Settings, title: Column, company: Column | None = None, tags: Column | None = None,
              summary: Column | None = None) -> Column:
     """One role key per posting: decisive title, trading firm, most distinct title hits, tags and summary, general."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    types = [t for t in s.types if t.keywords]
-    steps = [F.when(low.rlike(alternation(t.keywords)), F.lit(t.key)) for t in types if t.decisive]
-    if company is not None:
-        steps.append(F.when(is_trading_firm(company), F.lit("quant")))
-    steps.append(_argmax([(t.key, distinct_hits(low, t.keywords)) for t in types], 0))
-    if tags is not None or summary is not None:
-        tag_text = F.lower(F.coalesce(tags, F.lit(""))) if tags is not None else F.lit("")
-        sum_text = F.lower(F.coalesce(summary, F.lit(""))) if summary is not None else F.lit("")
-        steps.append(_argmax([(t.key, distinct_hits(tag_text, t.keywords) * TAG_WEIGHT
-                               + distinct_hits(sum_text, t.keywords) * SUMMARY_WEIGHT) for t in types], MIN_FALLBACK - 1))
+    names = F.expr(literal(role_names(s)))
+    decisive = [i for i, t in enumerate(_typed(s)) if t.decisive]
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    firm = F.when(is_trading_firm(company), F.lit("quant")) if company is not None else F.lit(None).cast("string")
+
+    def of_title(hits: Column) -> Column:
+        first = F.array_min(F.filter(F.transform(hits, lambda h: h["g"]), lambda g: g.isin(decisive))) if decisive else F.lit(None).cast("int")
+        return F.coalesce(F.get(names, first), firm, _best(names, hits, 0))
+
+    steps = [let(role_hits(s, low(title)), of_title)]
+
+    def weighted(text: Column, weight: int) -> Column:
+        return F.transform(role_hits(s, low(text)), lambda h: F.struct(h["g"].alias("g"), (h["hits"] * weight).alias("hits")))
+
+    weighed = [weighted(c, w) for c, w in ((tags, TAG_WEIGHT), (summary, SUMMARY_WEIGHT)) if c is not None]
+    if weighed:
+        def summed(both: Column) -> Column:
+            groups = F.array_distinct(F.transform(both, lambda h: h["g"]))
+            points = lambda g: F.aggregate(F.filter(both, lambda h: h["g"] == g), F.lit(0), lambda a, h: a + h["hits"])
+            return _best(names, F.transform(groups, lambda g: F.struct(g.alias("g"), points(g).alias("hits"))), MIN_FALLBACK - 1)
+        steps.append(let(F.concat(*weighed), summed))
     return F.coalesce(*steps, F.lit(GENERAL))
 
 

@@ -1,14 +1,11 @@
 """The 0-100 local score and the composite rubric score, as column arithmetic."""
 from __future__ import annotations
 
-import functools
-import operator
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.config import Settings
+from siftwork.functions.phrases import distinct_phrases, is_phrase
 from siftwork.functions.plan import once
 from siftwork.functions.roles import classify, role_weight
 from siftwork.functions.text import bounded_rx, trim_boilerplate
@@ -19,30 +16,17 @@ def clamp100(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(x).cast("int")))
 
 
-def _split_words(words) -> tuple[list[str], list[str]]:
-    """(isolated, entangled): keywords sharing a word with another one can shadow it in an alternation."""
-    parts = {w: set(re.findall(r"[a-z0-9]+", w.lower())) or {w} for w in words}
-    shared = {w for w in words if any(w != v and parts[w] & parts[v] for v in words)}
-    return [w for w in words if w not in shared], [w for w in words if w in shared]
-
-
 def keyword_hits(text: Column, words) -> Column:
-    """Distinct keywords found, lower-cased. A keyword that shares no word with another is tested alone, a substring
-    search deciding whether its pattern runs at all; the others go through one alternation in list order."""
-    none = F.array().cast("array<string>")
-    if not words:
-        return none
+    """Distinct keywords found, lower-cased, as one alternation in list order finds them. Phrases of whole words are looked up;
+    the few keywords that begin or end otherwise (c++) are tested by a pattern each and must not share a word with another."""
     low = F.lower(text)
-    alone, mixed = _split_words(list(words))
-    joined = F.concat_ws("\x01", *[
-        F.when(low.contains(w.lower()), F.when(low.rlike(bounded_rx([w.lower()], "")), F.lit(w.lower()))) for w in alone])
-    found = F.when(joined != "", F.split(joined, "\x01")).otherwise(none)
-    if not mixed:
+    words = [w.lower() for w in words]
+    found = distinct_phrases(low, [w for w in words if is_phrase(w)]) if any(map(is_phrase, words)) else F.array().cast("array<string>")
+    odd = [w for w in words if not is_phrase(w)]
+    if not odd:
         return found
-    rx = bounded_rx([w.lower() for w in mixed], "")
-    any_mixed = functools.reduce(operator.or_, [low.contains(w.lower()) for w in mixed])
-    rest = F.when(any_mixed, F.array_distinct(F.regexp_extract_all(low, F.lit(rx), F.lit(0)))).otherwise(none)
-    return F.concat(found, rest)
+    tested = F.array(*[F.when(low.contains(w), F.when(low.rlike(bounded_rx([w], "")), F.lit(w))) for w in odd])
+    return F.concat(found, F.array_compact(tested))
 
 
 def description_head(s: Settings, text: Column) -> Column:
@@ -59,10 +43,10 @@ def add_local_score(s: Settings, df: DataFrame) -> DataFrame:
         "unread": F.col("description_text").isNull(),
         "_head": description_head(s, F.col("description_text")),
     })
-    df = once(df, role=classify(s, F.col("title"), F.col("company_name"))).withColumns({
-        "_title_hits": keyword_hits(F.col("_title"), s.picked_keywords),
-        "_head_hits": keyword_hits(F.col("_head"), s.picked_keywords),
-        "_soft_hits": F.when(F.col("unread"), zero).otherwise(F.size(keyword_hits(F.col("_head"), s.software_keywords))),
+    df = once(df, _role=classify(s, F.col("title"), F.col("company_name")), _title_hits=keyword_hits(F.col("_title"), s.picked_keywords),
+              _head_hits=keyword_hits(F.col("_head"), s.picked_keywords), _soft_hits=F.when(F.col("unread"), zero).otherwise(F.size(keyword_hits(F.col("_head"), s.software_keywords))))
+    df = df.withColumns({
+        "role": F.col("_role"),
         "_soft_title": F.col("_title").rlike(bounded_rx(s.software_keywords)),
         "_off": F.lower(F.regexp_extract("_title", "(" + bounded_rx(s.negative_words) + ")", 1)),
     }).withColumns({
@@ -85,7 +69,7 @@ def add_local_score(s: Settings, df: DataFrame) -> DataFrame:
         F.when(F.col("off_target"), F.array(F.concat(F.lit("off-target: "), F.col("_off")))).otherwise(none)), 1, 6)
     df = once(df, score=clamp100(total)).withColumn("why", why)
     df = df.withColumn("band", band(s, F.col("score"), F.col("unread"), F.col("off_target")))
-    return df.drop("_title", "_head", "_title_hits", "_head_hits", "_soft_hits", "_soft_title", "_off", "_desc_hits")
+    return df.drop("_role", "_title", "_head", "_title_hits", "_head_hits", "_soft_hits", "_soft_title", "_off", "_desc_hits")
 
 
 def band(s: Settings, score: Column, unread: Column, off_target: Column) -> Column:

@@ -1,8 +1,8 @@
 """J and E: look-ups, matches, anti/semi joins and set operations."""
 from pyspark.sql import functions as F
 
-from siftwork.config import DEFAULT as S
-from siftwork.functions import fixed_values as fv, roles, scoring, text as tx
+from siftwork.config import DEFAULT as S, RolePick
+from siftwork.functions import fixed_values as fv, phrases, roles, scoring, text as tx
 from siftwork.functions.plan import once
 from siftwork.operators import companies as co, lookup, merge, ranking, versions
 from siftwork.operators.queues import ambiguous_queue
@@ -200,10 +200,11 @@ _TYPES = [t for t in S.types if t.keywords]
 
 @query("j15_keyword_match", " UNION ALL ".join(f"SELECT job_id, '{t.key}' AS role, {o.hits('title', t.keywords)} AS hits FROM postings WHERE {o.hits('title', t.keywords)} > 0" for t in _TYPES))
 def j15(spark, d):
-    """Titles against every role vocabulary. Unrolled columns instead of a cross join: each type is one literal pattern."""
-    p = view(spark, d, "postings", ["title"]).withColumn("low", F.lower("title"))
-    pairs = F.array(*[F.struct(F.lit(t.key).alias("role"), roles.distinct_hits(F.col("low"), t.keywords).alias("hits")) for t in _TYPES])
-    return p.select("job_id", F.explode(F.filter(pairs, lambda x: x["hits"] > 0)).alias("m")).select("job_id", "m.*")
+    """Titles against every role vocabulary, by the phrase dictionary."""
+    p = view(spark, d, "postings", ["title"])
+    names = F.array(*map(F.lit, roles.role_names(S)))
+    hits = F.transform(roles.role_hits(S, F.lower("title")), lambda h: F.struct(F.get(names, h["g"]).alias("role"), h["hits"].alias("hits")))
+    return p.select("job_id", F.explode(hits).alias("m")).select("job_id", "m.*")
 
 
 @query("j16_top_for_deep", f"""WITH {STATUS_SQL} SELECT e.job_id, e.eval_seq FROM evals e JOIN postings p ON p.job_id = e.job_id LEFT JOIN st ON st.job_id = e.job_id
@@ -226,13 +227,21 @@ def j17(spark, d):
     return on.join(named, "entry", "left").select("slug", F.coalesce("_n", "name").alias("name"), F.coalesce("tags", F.lit("")).alias("tags")).orderBy(F.lower("name"))
 
 
+_FRONTEND = S.but(role_types=(*S.role_types, RolePick("frontend", 50)))
+_J18 = [("picked", S.picked_keywords), ("off-target", S.negative_words), ("off-target, frontend picked", _FRONTEND.negative_words)]
+
+
 @query("j18_picked_keywords", " UNION ALL ".join(
-    f"SELECT {o.q(w)} AS keyword, count(*) AS postings FROM postings WHERE {o.any_word('title', [w])} HAVING count(*) > 0" for w in S.picked_keywords))
+    f"SELECT '{kind}' AS kind, {o.q(w)} AS keyword, (SELECT count(*) FROM postings WHERE {o.any_word('title', [w])}) AS postings" for kind, words in _J18 for w in words))
 def j18(spark, d):
-    """How many posting titles each picked keyword reaches; off-target words the user picked are dropped from the negative list."""
+    """Picked keywords and off-target title words, with the number of posting titles each reaches. A word that the user picks
+    leaves the off-target list: the third list is that of a user who also picks the frontend type."""
     p = view(spark, d, "postings", ["title"])
-    found = F.filter(F.array(*[F.when(p.title.rlike(tx.bounded_rx([w])), F.lit(w)) for w in S.picked_keywords]), lambda x: x.isNotNull())
-    return p.select(F.explode(found).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("postings"))
+    words = sorted({w for _, some in _J18 for w in some})
+    held = F.array_distinct(F.transform(phrases.occurrences(F.lower("title"), words), lambda x: x["word"]))
+    counts = p.select(F.explode(held).alias("keyword")).groupBy("keyword").agg(F.count("*").alias("postings"))
+    lists = spark.createDataFrame([(kind, w) for kind, some in _J18 for w in some], "kind string, keyword string")
+    return lists.join(counts, "keyword", "left").select("kind", "keyword", F.coalesce("postings", F.lit(0)).alias("postings"))
 
 
 @query("e01_distinct_pairs", f"SELECT DISTINCT company_name, {o.canonical_url('url')} AS url FROM postings WHERE active")
