@@ -293,11 +293,70 @@ def s14(spark, d):
     return lines
 
 
-@query("s16_append_run_log", """SELECT run_id, kind, tokens, CASE WHEN run_id % 4 = 0 THEN '["network","' || kind || '"]' END AS errors FROM runs""")
+@query("s16_append_run_log", """SELECT run_id, kind, started_at, CASE WHEN run_id % 5 <> 0 THEN started_at + INTERVAL 1 HOUR * CASE WHEN run_id % 7 IN (1, 2) THEN 2 ELSE 1 END END AS finished_at,
+ CASE WHEN run_id % 5 <> 0 THEN tokens + CASE WHEN run_id % 7 = 1 THEN 1 ELSE 0 END END AS tokens, CASE WHEN run_id % 5 <> 0 AND run_id % 7 NOT IN (1, 2) AND run_id % 4 = 0 THEN '["network","' || kind || '"]' END AS errors FROM runs""")
 def s16(spark, d):
-    """Two appends (discover runs, other runs) make the whole log."""
-    r = view(spark, d, "runs").select("run_id", "kind", "tokens", F.when(F.col("run_id") % 4 == 0, F.array(F.lit("network"), F.col("kind"))).otherwise(F.array().cast("array<string>")).alias("errors"))
-    path = scratch_dir(spark, "runs")
-    for cond in ("kind = 'discover'", "kind <> 'discover'"):
-        sinks.append_run_log(r.where(cond), path)
-    return spark.read.parquet(path)
+    """All runs start; four of five finish; the log is compacted; some finish again, with other tokens or none; runs that never
+    started are finished too."""
+    r = view(spark, d, "runs").select("run_id", "kind", "started_at", "tokens")
+    log = sinks.RunLog(spark, scratch_dir(spark, "runs"))
+    after = lambda h: (F.col("started_at") + F.make_dt_interval(hours=F.lit(h))).alias("finished_at")
+    none = F.array().cast("array<string>")
+    some = r.where("run_id % 5 <> 0")
+    log.start(r)
+    log.finish(some.select("run_id", after(1), "tokens", F.when(F.col("run_id") % 4 == 0, F.array(F.lit("network"), F.col("kind"))).otherwise(none).alias("errors")))
+    log.compact()
+    again = some.where("run_id % 7 IN (1, 2)")
+    log.finish(again.select("run_id", after(2), F.when(F.col("run_id") % 7 == 1, F.col("tokens") + 1).alias("tokens"), none.alias("errors")))
+    log.finish(some.select((-1 - F.col("run_id")).alias("run_id"), after(3), "tokens", none.alias("errors")))
+    return log.read()
+
+
+_ENVELOPE_REASON = """CASE WHEN batch % 11 = 0 THEN 'malformed' WHEN batch % 7 = 3 THEN 'no_list' WHEN eval_seq % 13 = 0 THEN 'not_object' WHEN eval_seq % 19 = 0 THEN 'no_id' WHEN eval_seq % 23 = 0 THEN 'type:{0}' WHEN eval_seq % 17 = 0 THEN 'range:{0}' END"""
+
+
+def _envelopes(spark, d, envelope, item, field):
+    """Four records a payload; some payloads are cut off or hold another list, some records are text, lack their id, or have a word
+    or too large a number for a score."""
+    e = view(spark, d, "evals").withColumn("batch", F.floor(F.col("eval_seq") / 4))
+    k = F.col("eval_seq")
+    score = F.when(k % 23 == 0, F.lit('"high"')).when(k % 17 == 0, F.lit("101")).otherwise(F.col("skills_match").cast("string"))
+    fields = F.concat(F.when(k % 19 != 0, F.concat(F.lit('"job_id":'), F.col("job_id").cast("string"), F.lit(","))).otherwise(F.lit("")), F.lit(f'"{field}":'), score, item)
+    rec = F.when(k % 13 == 0, F.lit('"oops"')).otherwise(F.concat(F.lit("{"), fields, F.lit("}")))
+    packed = e.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), rec.alias("r")))).alias("l"))
+    text = F.concat(F.when(F.col("batch") % 7 == 3, F.lit('{"others":[')).otherwise(F.lit('{"' + envelope + '":[')), F.array_join(F.transform("l", lambda x: x["r"]), ","), F.lit("]}"))
+    return feeds.parse_scorer_batches(packed.select("batch", F.when(F.col("batch") % 11 == 0, F.substring(text, 1, 20)).otherwise(text).alias("payload")), envelope)
+
+
+_RECORDS = f"""r AS (SELECT *, eval_seq // 4 AS batch FROM evals), x AS (SELECT *, {_ENVELOPE_REASON} AS reason FROM r),
+w AS (SELECT batch, CASE WHEN reason IN ('malformed', 'no_list') THEN NULL ELSE CAST(eval_seq % 4 AS INT) END AS position, reason, job_id, eval_seq, skills_match, confidence FROM x
+ QUALIFY reason IS NULL OR reason NOT IN ('malformed', 'no_list') OR row_number() OVER (PARTITION BY batch ORDER BY eval_seq) = 1)"""
+
+
+@query("s12b_evaluation_batches", f"""WITH {_RECORDS.format('skills_match')} SELECT batch, position, reason, CASE WHEN reason IS NULL THEN job_id END AS job_id, CASE WHEN reason IS NULL THEN skills_match END AS skills_match,
+ CASE WHEN reason IS NULL THEN CASE WHEN eval_seq % 5 = 0 THEN 50 ELSE confidence END END AS confidence, CASE WHEN reason IS NULL THEN 'a|b' END AS fit_tags, CASE WHEN reason IS NULL THEN '' END AS summary FROM w""")
+def s12b(spark, d):
+    """Envelopes of evaluations: every record with its verdict."""
+    extra = F.concat(F.when(F.col("eval_seq") % 5 != 0, F.concat(F.lit(',"confidence":'), F.col("confidence").cast("string"))).otherwise(F.lit("")), F.lit(',"fit_tags":["a","b"],"wildcard_reason":null'))
+    out = _envelopes(spark, d, "evaluations", extra, "skills_match")
+    good = lambda c: F.when(F.col("verdict").isNull(), c)
+    return out.select("batch", "position", F.col("verdict").alias("reason"), good(F.col("job_id")).alias("job_id"), good(F.col("skills_match")).alias("skills_match"), good(F.col("confidence")).alias("confidence"),
+                      good(F.array_join("fit_tags", "|")).alias("fit_tags"), good(F.col("summary")).alias("summary"))
+
+
+@query("s12c_triage_batches", f"""WITH {_RECORDS.format('score')} SELECT batch, position, reason, CASE WHEN reason IS NULL THEN job_id END AS job_id, CASE WHEN reason IS NULL THEN skills_match END AS score,
+ CASE WHEN reason IS NULL THEN CASE WHEN eval_seq % 5 = 0 THEN '' ELSE 'because' END END AS why FROM w""")
+def s12c(spark, d):
+    """Envelopes of triage scores; the field named reason is the scorer's."""
+    extra = F.when(F.col("eval_seq") % 5 != 0, F.lit(',"reason":"because"')).otherwise(F.lit(""))
+    out = _envelopes(spark, d, "triages", extra, "score")
+    good = lambda c: F.when(F.col("verdict").isNull(), F.col(c)).alias(c)
+    return out.select("batch", "position", F.col("verdict").alias("reason"), good("job_id"), good("score"), F.when(F.col("verdict").isNull(), F.col("reason")).alias("why"))
+
+
+@query("s12d_quarantine", f"WITH {_RECORDS.format('skills_match')} SELECT reason, count(*) AS records FROM w WHERE reason IS NOT NULL GROUP BY 1")
+def s12d(spark, d):
+    """The quarantine table of the evaluation envelopes, by reason."""
+    path = scratch_dir(spark, "quarantine")
+    sinks.write_snapshot(feeds.quarantined(_envelopes(spark, d, "evaluations", F.lit(""), "skills_match")), path, 0)
+    return sinks.read_snapshot(spark, path, 0).groupBy(F.col("verdict").alias("reason")).agg(F.count("*").alias("records"))

@@ -268,3 +268,69 @@ def parse_scorer_output(rows: DataFrame) -> DataFrame:
         *rows.columns, F.when(ok, F.lit("ok")).otherwise(F.lit("bad")).alias("state"), F.col("e.job_id").alias("job_id"), *filled.values(),
         F.coalesce("e.wildcard", F.lit(False)).alias("wildcard"), F.coalesce("e.red_flags", none).alias("red_flags"),
         F.coalesce("e.fit_tags", none).alias("fit_tags"), F.coalesce("e.summary", F.lit("")).alias("summary"))
+
+
+# ---- scorer batches: envelopes of records --------------------------------------------------------------
+
+# field -> (kind, default); a record without an id is refused
+EVALUATION_FIELDS = {
+    "hard_reject_reason": ("text?", None), **{c: ("score", 50 if c == "confidence" else 0) for c in _SCORES}, "wildcard": ("flag", False), "wildcard_reason": ("text?", None),
+    "red_flags": ("list", None), "fit_tags": ("list", None), "gap_tags": ("list", None), "summary": ("text", ""), "application_deadline": ("text?", None)}
+TRIAGE_FIELDS = {"score": ("score", 100), "reason": ("text", "")}
+ENVELOPES = {"evaluations": EVALUATION_FIELDS, "triages": TRIAGE_FIELDS}
+
+
+def parse_scorer_batches(rows: DataFrame, envelope: str, payload: str = "payload") -> DataFrame:
+    """Payloads ``{"<envelope>": [record, ...]}`` -> one row per record: the other columns of ``rows``, position, record (its JSON),
+    verdict (NULL when the record is good), job_id and the envelope's fields.
+
+    Every record is judged by itself, so a broken one does not cost its batch. Reasons: malformed and no_list for a whole payload (one
+    row, no position), not_object, no_id, type:<field> and range:<field> for a record. Absent fields get their defaults; a
+    field of the wrong type is an error, as is null where a value must be.
+    """
+    fields = ENVELOPES[envelope]
+    keep = [c for c in rows.columns if c != payload]
+    parsed = rows.withColumn("_v", F.try_parse_json(payload))
+    parsed = parsed.withColumn("_l", F.try_variant_get("_v", f"$.{envelope}", "array<variant>"))
+    whole = F.when(F.col("_v").isNull(), F.lit("malformed")).when(F.col("_l").isNull(), F.lit("no_list"))
+    items = parsed.withColumn("_whole", whole).select(*keep, "_whole", F.posexplode_outer("_l").alias("position", "_r")).where("_whole IS NOT NULL OR position IS NOT NULL")
+    is_object = F.schema_of_variant("_r").startswith("OBJECT")
+    raw = {c: F.try_variant_get("_r", f"$.{c}", "variant") for c in ("job_id", *fields)}
+    number = {c: F.try_variant_get("_r", f"$.{c}", "double") for c, (kind, _) in [("job_id", ("id", None)), *fields.items()] if kind in ("id", "score")}
+
+    def value(c: str, kind: str, default) -> Column:
+        if kind == "score":
+            return F.coalesce(number[c].cast("int"), F.lit(default))
+        if kind == "flag":
+            return F.coalesce(F.try_variant_get("_r", f"$.{c}", "boolean"), F.lit(default))
+        if kind == "list":
+            return F.coalesce(F.try_variant_get("_r", f"$.{c}", "array<string>"), F.array().cast("array<string>"))
+        return F.coalesce(F.try_variant_get("_r", f"$.{c}", "string"), F.lit(default))
+
+    def wrong(c: str, kind: str) -> Column:
+        given = raw[c].isNotNull()
+        null = F.coalesce(F.is_variant_null(raw[c]), F.lit(False))
+        shape = F.schema_of_variant(raw[c])
+        if kind in ("id", "score"):
+            return given & (null | number[c].isNull() | (number[c] != F.floor(number[c])))
+        if kind == "flag":
+            return given & (null | F.try_variant_get("_r", f"$.{c}", "boolean").isNull())
+        if kind == "list":
+            return given & (null | ~shape.startswith("ARRAY") | F.try_variant_get("_r", f"$.{c}", "array<string>").isNull())
+        return given & ~null & (shape != "STRING") if kind == "text?" else given & (null | (shape != "STRING"))
+
+    reason = F.when(F.col("_whole").isNotNull(), F.col("_whole")).when(~F.coalesce(is_object, F.lit(False)), F.lit("not_object"))
+    reason = reason.when(raw["job_id"].isNull() | wrong("job_id", "id"), F.lit("no_id"))
+    for c, (kind, _) in fields.items():
+        reason = reason.when(wrong(c, kind), F.lit(f"type:{c}"))
+    for c, (kind, _) in fields.items():
+        if kind == "score":
+            reason = reason.when(~F.coalesce(number[c].between(0, 100), F.lit(True)), F.lit(f"range:{c}"))
+    return items.select(*keep, F.col("position").cast("int").alias("position"), F.to_json("_r").alias("record"), reason.alias("verdict"),
+                        number["job_id"].cast("bigint").alias("job_id"), *[value(c, kind, default).alias(c) for c, (kind, default) in fields.items()])
+
+
+def quarantined(records: DataFrame) -> DataFrame:
+    """Refused records with what is needed to look into them or to try them again."""
+    fixed = [c for c in records.columns if c not in {"verdict", "record", "job_id", *EVALUATION_FIELDS, *TRIAGE_FIELDS}]
+    return records.where(F.col("verdict").isNotNull()).select(*fixed, "verdict", "record")

@@ -79,10 +79,52 @@ class BucketedTable:
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
-def append_run_log(runs: DataFrame, path: str) -> None:
-    """One row per finished run; errors as a JSON list (NULL when none)."""
-    errors = F.when(F.size("errors") > 0, F.to_json("errors"))
-    runs.withColumn("errors", errors).write.mode("append").parquet(path)
+class RunLog:
+    """Runs by id, merged on read. Starts and finishes are appended as numbered batches; a run's state is its start and, per
+    field, the newest finish that gives a value (errors and the time are always the newest finish's). A finish of an unknown
+    run counts for nothing. ``compact`` folds all batches into one, which later reads begin from."""
+
+    SCHEMA = "run_id bigint, batch bigint, kind string, started_at timestamp_ntz, finished_at timestamp_ntz, tokens bigint, errors string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _append(self, rows: DataFrame) -> None:
+        last = newest_version(self.spark, f"{self.path}/log")
+        base = newest_version(self.spark, f"{self.path}/base")
+        number = max(-1 if last is None else last, -1 if base is None else base) + 1
+        names = [f.split(" ")[0] for f in self.SCHEMA.split(", ")]
+        filled = rows.withColumn("batch", F.lit(number).cast("bigint"))
+        kinds = dict(f.split(" ") for f in self.SCHEMA.split(", "))
+        write_snapshot(filled.select(*[(F.col(c) if c in filled.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names]), f"{self.path}/log", number)
+
+    def start(self, runs: DataFrame) -> None:
+        """``runs``: run_id, kind, started_at."""
+        self._append(runs.select("run_id", "kind", "started_at"))
+
+    def finish(self, runs: DataFrame) -> None:
+        """``runs``: run_id, finished_at, tokens (NULL keeps what is known), errors (array of strings)."""
+        errors = F.when(F.size("errors") > 0, F.to_json("errors"))
+        self._append(runs.select("run_id", "finished_at", "tokens", errors.alias("errors")))
+
+    def read(self) -> DataFrame:
+        return self._merged().drop("batch")
+
+    def compact(self) -> None:
+        last = newest_version(self.spark, f"{self.path}/log")
+        if last is not None:
+            write_snapshot(self._merged(), f"{self.path}/base", last)
+
+    def _merged(self) -> DataFrame:
+        base, last = (newest_version(self.spark, f"{self.path}/{part}") for part in ("base", "log"))
+        paths = [f"{self.path}/base/v={base}"] if base is not None else []
+        paths += [f"{self.path}/log/v={n}" for n in range(0 if base is None else base + 1, 0 if last is None else last + 1)]
+        rows = self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
+        done = F.when(F.col("finished_at").isNotNull(), F.col("batch"))
+        return rows.groupBy("run_id").agg(
+            F.max("batch").alias("batch"), F.max_by("kind", F.when(F.col("started_at").isNotNull(), F.col("batch"))).alias("kind"), F.max("started_at").alias("started_at"),
+            F.max_by("finished_at", done).alias("finished_at"), F.max_by("tokens", F.when(F.col("tokens").isNotNull(), F.col("batch"))).alias("tokens"),
+            F.max_by("errors", done).alias("errors")).where("started_at IS NOT NULL")
 
 
 def write_directory_csv(directory: DataFrame, path: str) -> None:
