@@ -256,6 +256,21 @@ def k06(spark, d):
     return top.crossJoin(hits.agg(F.greatest(F.lit(0), F.count("*") - 30).alias("more"))).select("slug", "match", "rank", "more")
 
 
+@query("k06b_search_many", """WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE lower(trim(substr(CASE WHEN s_suppkey % 4 = 0 THEN s_name || ' Holdings' ELSE s_name END, CAST(1 + s_suppkey * 7 % 20 AS INT), CAST(1 + s_suppkey % 12 AS INT)))) END AS q FROM supplier),
+n AS (SELECT slug, CASE WHEN tier = '' THEN 9 ELSE CAST(tier AS INT) END AS t, lower(name) AS low, unnest([lower(name)] || list_transform(string_split(aliases, '|'), lambda x: lower(trim(x)))) AS name FROM directory),
+r AS (SELECT query_id, slug, t, low, CASE WHEN q = '' OR n.name = q THEN 0 WHEN starts_with(n.name, q) THEN 1 WHEN len(list_filter(regexp_split_to_array(trim(n.name), '[()\s]+'), lambda w: starts_with(w, q))) > 0 THEN 2 WHEN contains(n.name, q) THEN 3 END AS m FROM q, n),
+b AS (SELECT query_id, slug, t, low, min(m) AS match FROM r WHERE m IS NOT NULL GROUP BY ALL)
+SELECT query_id, slug, match, row_number() OVER (PARTITION BY query_id ORDER BY match, t, low, slug) AS rank, greatest(0, count(*) OVER (PARTITION BY query_id) - 30) AS more FROM b
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY match, t, low, slug) <= 30""")
+def k06b(spark, d):
+    """A search per supplier: pieces of names of one to twelve characters, and empty ones."""
+    s = raw(spark, d, "supplier")
+    k = s.s_suppkey
+    text = F.when(k % 4 == 0, F.concat(s.s_name, F.lit(" Holdings"))).otherwise(s.s_name)
+    q = F.when(k % 10 == 9, F.lit("")).otherwise(F.substring(text, (1 + k * 7 % 20).cast("int"), (1 + k % 12).cast("int")))
+    return co.search_many(view(spark, d, "directory"), s.select(k.alias("query_id"), q.alias("q")))
+
+
 @query("k07_dry_run_report", f"""WITH pend AS (SELECT * FROM postings p WHERE active AND {_READ} AND NOT EXISTS (SELECT 1 FROM evals e WHERE e.job_id = p.job_id AND e.profile_hash = 'old' AND e.rubric_version <> '2'
    AND (e.bucket = 'archive' OR e.hard_reject_reason IS NOT NULL)) AND NOT EXISTS (SELECT 1 FROM evals e WHERE e.job_id = p.job_id AND e.profile_hash = 'old' AND e.rubric_version = '2')), {o.cascade_cte('pend')}
 SELECT job_id, CAST(job_id * 13 % 101 AS INT) AS score, row_number() OVER (ORDER BY job_id * 13 % 101 DESC, job_id) AS rank FROM judged WHERE reason IS NULL AND job_id % 7 <> 0 AND job_id * 13 % 101 < 35 ORDER BY rank LIMIT 40""")

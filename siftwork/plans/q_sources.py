@@ -11,6 +11,7 @@ from siftwork.plans.q_versions import ROWS_SQL, SECTION_CAPS, SECTION_SQL, decor
 from siftwork.plans.registry import query
 from siftwork.session import scratch_dir
 from siftwork.sources import feeds, sinks
+from siftwork.streaming import jobs
 from siftwork.sources.views import raw, view
 
 _NULL = F.lit
@@ -224,8 +225,24 @@ def s10(spark, d):
  UNION ALL SELECT source, title, url, true FROM mr UNION ALL SELECT 'greenhouse:sup' || supplier_key, title, url, true FROM postings)
 SELECT source, title, url FROM u WHERE NOT complete OR {o.rm('title', '(?i)' + chr(92) + 'b(?:' + '|'.join(fv.INTERNSHIP_WORDS) + ')' + chr(92) + 'b')}""")
 def s11(spark, d):
-    return feeds.union_sources(feeds.read_listing_feed(listing_payloads(spark, d)), feeds.read_markdown_tables(markdown_lines(spark, d)),
-                               feeds.read_greenhouse(greenhouse_payloads(spark, d))).select("source", "title", "url")
+    """Three kinds of feeds from the folders they land in, by name."""
+    return feeds.union_feeds(spark, _landed(spark, simplify=listing_payloads(spark, d), readme=markdown_lines(spark, d), greenhouse=greenhouse_payloads(spark, d))).select("source", "title", "url")
+
+
+def _landed(spark, **frames):
+    root = scratch_dir(spark, "landed")
+    for name, df in frames.items():
+        df.select(*[f.split(" ")[0] for f in feeds.FEEDS[name].landed.split(", ")]).write.parquet(f"{root}/{name}")
+    return {name: f"{root}/{name}" for name in frames}
+
+
+@query("s11b_stream_feeds", f"""WITH u AS (SELECT 'simplify:owner/list-' || CASE WHEN job_id % 3 = 0 THEN '2027' ELSE 'x' END AS source, title, url, false AS complete FROM postings WHERE job_id % 8 <> 5
+ UNION ALL SELECT 'greenhouse:sup' || supplier_key, title, url, true FROM postings)
+SELECT source, title, url FROM u WHERE NOT complete OR {o.rm('title', '(?i)' + chr(92) + 'b(?:' + '|'.join(fv.INTERNSHIP_WORDS) + ')' + chr(92) + 'b')}""")
+def s11b(spark, d):
+    """The same readers over streams of landed payloads."""
+    paths = _landed(spark, simplify=listing_payloads(spark, d), greenhouse=greenhouse_payloads(spark, d))
+    return jobs.run_to_files(feeds.union_feeds(spark, paths, stream=True).select("source", "title", "url"))
 
 
 @query("s12_parse_scorer_output", """SELECT eval_seq, CASE WHEN eval_seq % 13 = 0 THEN 'bad' WHEN eval_seq % 17 = 0 THEN 'bad' ELSE 'ok' END AS state, CASE WHEN eval_seq % 13 <> 0 THEN job_id END AS job_id,

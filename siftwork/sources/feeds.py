@@ -6,8 +6,10 @@ so a feed holding a third of all rows is just more rows.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import dates, fixed_values as fv
@@ -240,14 +242,50 @@ def read_markdown_tables(lines: DataFrame, default_term: str | None = None) -> D
 
 # ---- all feeds, scorer output -----------------------------------------------------------------------
 
-COMPLETE = ("readme:", "greenhouse:", "lever:", "ashby:")      # feeds that list every open posting
+PAYLOAD = "feed string, company string, payload string"
+LINES = "feed string, line_no bigint, line string"
 
 
-def union_sources(*feeds: DataFrame) -> DataFrame:
-    """Feeds as one frame; rows without URL or title go, complete listings keep internships only."""
-    rows = functools.reduce(DataFrame.unionByName, [f.select(*POSTING) for f in feeds])
-    complete = functools.reduce(lambda a, b: a | b, [F.col("source").startswith(p) for p in COMPLETE])
-    return rows.where((F.col("url") != "") & (F.col("title") != "") & (~complete | looks_like_internship(F.col("title"))))
+@dataclass(frozen=True)
+class Feed:
+    """A kind of feed: how its landed rows become postings, and whether a fetch lists every open posting."""
+    read: Callable[[DataFrame], DataFrame]
+    complete_listing: bool
+    landed: str = PAYLOAD
+
+
+FEEDS: dict[str, Feed] = {}
+
+
+def register_feed(name: str, read: Callable[[DataFrame], DataFrame], complete_listing: bool, landed: str = PAYLOAD) -> None:
+    """Make a kind of feed known by name. ``read`` maps landed rows, of the schema ``landed``, to columns POSTING; it is made of
+    DataFrame steps, so it serves batches and streams. A name is given once."""
+    if name in FEEDS:
+        raise ValueError(f"feed {name!r} is registered already")
+    FEEDS[name] = Feed(read, complete_listing, landed)
+
+
+def read_feed(spark: SparkSession, name: str, path: str, stream: bool = False) -> DataFrame:
+    """Postings of the feed ``name`` from the folder its payloads land in, with kind and complete_listing."""
+    feed = FEEDS[name]
+    reader = (spark.readStream if stream else spark.read).schema(feed.landed)
+    return feed.read(reader.parquet(path)).select(*POSTING, F.lit(name).alias("kind"), F.lit(feed.complete_listing).alias("complete_listing"))
+
+
+def wanted(rows: DataFrame) -> DataFrame:
+    """Rows with URL and title; complete listings keep internships only."""
+    return rows.where((F.col("url") != "") & (F.col("title") != "") & (~F.col("complete_listing") | looks_like_internship(F.col("title"))))
+
+
+def union_feeds(spark: SparkSession, landed: dict[str, str], stream: bool = False) -> DataFrame:
+    """Feeds as one frame, from names and the folders they land in."""
+    rows = functools.reduce(DataFrame.unionByName, [read_feed(spark, name, path, stream) for name, path in landed.items()])
+    return wanted(rows).select(*POSTING)
+
+
+for _name, _read, _complete in (("simplify", read_listing_feed, False), ("greenhouse", read_greenhouse, True), ("lever", read_lever, True), ("ashby", read_ashby, True)):
+    register_feed(_name, _read, _complete)
+register_feed("readme", read_markdown_tables, True, LINES)
 
 
 EVALUATION = """struct<job_id:bigint,hard_reject_reason:string,skills_match:int,level_match:int,work_alignment:int,experience_quality:int,interest:int,
