@@ -182,11 +182,12 @@ def catalog_sql(catalog: list[RoleType] | None = None) -> str:
     return f"SELECT * FROM (VALUES {rows}) AS t(ord, key, label, grp, decisive, keywords)"
 
 
-def read_catalog(spark: SparkSession, path: str) -> list[RoleType]:
-    """Load a user's catalog table. It is configuration: a few dozen rows, refused above 10 000."""
-    rows = spark.read.parquet(path).orderBy("ord").limit(10_001).collect()
-    if len(rows) > 10_000:
-        raise ValueError("a role catalog is configuration; this table has more than 10 000 rows")
+def read_catalog(spark: SparkSession, path: str, most: int = 10_000) -> list[RoleType]:
+    """Load a user's catalog table. It is configuration that becomes part of plans: a table of more than ``most`` rows is
+    refused as a mistake."""
+    rows = spark.read.parquet(path).orderBy("ord").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a role catalog is configuration; this table has more than {most:,} rows")
     return [RoleType(r.ord, r.key, r.label, r.grp, bool(r.decisive), tuple(r.keywords.split("|"))) for r in rows]
 
 

@@ -1,6 +1,7 @@
 """Typed settings. Every knob a query reads is a field here; queries never read files or the clock."""
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from siftwork.catalog import RoleType, default_catalog
@@ -14,6 +15,16 @@ class RolePick:
     label: str = ""
     keywords: tuple[str, ...] = ()      # non-empty = a custom type
 
+    def __post_init__(self):
+        """A key is a slug, a weight lies in 0-100, and keywords that could never match between word boundaries are dropped."""
+        key = re.sub(r"[^a-z0-9-]+", "-", str(self.key).strip().lower()).strip("-")
+        if not key:
+            raise ValueError("a role type needs a key")
+        words = [str(w).strip().lower() for w in self.keywords]
+        object.__setattr__(self, "key", key)
+        object.__setattr__(self, "weight", max(0, min(100, int(self.weight))))
+        object.__setattr__(self, "keywords", tuple(w for w in words if w and w[0].isalnum() and w[-1].isalnum()))
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -80,6 +91,7 @@ class Settings:
     wildcard_cap: int = 5
 
     def __post_init__(self):
+        object.__setattr__(self, "role_types", tuple({p.key: p for p in self.role_types}.values()))     # the last pick of a key counts
         unknown = [d for d in self.degrees if d.strip().lower() not in fv.DEGREE_LEVELS]
         if unknown:
             raise ValueError(f"unknown degrees {unknown}; use {list(fv.DEGREE_LEVELS)}")

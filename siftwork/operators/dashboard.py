@@ -89,31 +89,30 @@ def home_kpis(rows: DataFrame, status: DataFrame, cutoff: DataFrame) -> DataFram
 
 
 def header_stats(s: Settings, postings: DataFrame, evals: DataFrame, status: DataFrame, runs: DataFrame) -> DataFrame:
-    """(metric, value) header counters."""
-    mine = evals.where(F.col("profile_hash") == s.profile)
-    p = postings.agg(F.count_if("active").alias("active"), F.count_if(F.col("active") & (F.col("description_text") != "")).alias("with_text"))
-    pending = queues.pending_fast(postings, evals, s.profile).agg(F.count("*").alias("pending"))
-    awaiting = queues.ambiguous_queue(evals, postings, s.profile).agg(F.count("*").alias("awaiting_model"))
+    """(metric, value) header counters. Every table is read once: evaluations are counted per job, joined to the postings and
+    the statuses by job, and one aggregate over the joined rows gives all counters."""
     ok = F.col("hard_reject_reason").isNull()
-    deep = ok & ~F.col("model").isin("prefilter", "local", "triage")
-    scored = mine.agg(F.countDistinct(F.when(ok, F.col("job_id"))).alias("evaluated"), F.countDistinct(F.when(deep, F.col("job_id"))).alias("deep"))
-    flight = status.agg(F.count_if(F.col("status").isin(fv.STAGES)).alias("in_flight"))
-    handled = status.where("status <> 'new'").select("job_id")
-    unreviewed = (mine.where(ok & F.col("bucket").isin("likely", "reach")).join(postings.where("active").select("job_id"), "job_id")
-                  .join(handled, "job_id", "left_anti").agg(F.count("*").alias("unreviewed")))
-    last = runs.agg(F.max("run_id").alias("last_run"))
-    out = melt(p)
-    for one in (pending, awaiting, scored, flight, unreviewed, last):
-        out = out.unionByName(melt(one))
-    return out
+    local = (F.col("model") == "local") & (queues.json_band(F.col("raw")) == "ambiguous")
+    per_job = evals.where(F.col("profile_hash") == s.profile).groupBy("job_id").agg(
+        F.count_if(local).alias("_awaiting"), F.bool_or(ok).alias("_ok"), F.bool_or(ok & ~F.col("model").isin("prefilter", "local", "triage")).alias("_deep"),
+        F.count_if(ok & F.col("bucket").isin("likely", "reach")).alias("_open"))
+    p = postings.select("job_id", "active", (F.col("description_text") != "").alias("_text"), queues.readable(F.col("description_text"), F.col("fetch_failures")).alias("_readable"))
+    rows = p.join(per_job, "job_id", "full").join(status.select("job_id", "status"), "job_id", "full")
+    fresh = F.coalesce(F.col("status"), F.lit("new")) == "new"
+    one = rows.agg(
+        F.count_if("active").alias("active"), F.count_if(F.col("active") & F.col("_text")).alias("with_text"),
+        F.count_if(F.col("active") & F.col("_readable") & F.col("_ok").isNull()).alias("pending"),
+        F.coalesce(F.sum(F.when(F.col("active"), F.col("_awaiting"))), F.lit(0)).alias("awaiting_model"), F.count_if("_ok").alias("evaluated"), F.count_if("_deep").alias("deep"),
+        F.count_if(F.col("status").isin(fv.STAGES)).alias("in_flight"), F.coalesce(F.sum(F.when(F.col("active") & fresh, F.col("_open"))), F.lit(0)).alias("unreviewed"))
+    return melt(one).unionByName(melt(runs.agg(F.max("run_id").alias("last_run"))))
 
 
 def thousands(c: Column) -> Column:
     return F.format_number(c, 0)
 
 
-def alerts(s: Settings, counts: DataFrame, reason: str, weekly_cap: int) -> DataFrame:
-    """Backlog alerts from a one-row frame (pending, awaiting, week): level, stage, text."""
+def alerts(s: Settings, counts: DataFrame, reason: str, weekly_cap: int, scorer_on: bool = True) -> DataFrame:
+    """Backlog alerts from a one-row frame (pending, awaiting, week): level, stage, text, action."""
     cuts = {"subscription usage limit hit": "Scoring was interrupted: the usage limit was reached.",
             "run cap": "Scoring stopped at the per-run token cap.", "weekly cap": "Scoring stopped at the weekly token cap."}
     cut = cuts.get(reason)
@@ -121,12 +120,13 @@ def alerts(s: Settings, counts: DataFrame, reason: str, weekly_cap: int) -> Data
     warned = (a > 0) if cut else F.lit(False)
     noun = F.when(a == 1, F.lit(" unclear posting is")).otherwise(F.lit(" unclear postings are"))
 
-    def alert(cond, level, stage, text):
-        return F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(stage).alias("stage"), text.alias("text")))
+    def alert(cond, level, stage, text, action=""):
+        return F.when(cond, F.struct(F.lit(level).alias("level"), F.lit(stage).alias("stage"), text.alias("text"), F.lit(action).alias("action")))
     rows = [
-        alert(p > 0, "warn", "score", F.concat(p.cast("string"), F.lit(" readable postings have no score yet."))),
+        alert(p > 0, "warn", "score", F.concat(p.cast("string"), F.lit(" readable postings have no score yet.")), "Start a scoring run."),
         alert(warned, "warn", "score", F.concat(F.lit((cut or "") + " "), thousands(a), noun, F.lit(" on the free score only."))),
-        alert(~warned & (a > 0), "info", "score", F.concat(a.cast("string"), F.lit(f" ambiguous postings show their local score only ({reason or 'not yet refined'})."))),
-        alert(~warned & F.lit(weekly_cap > 0) & (w >= weekly_cap), "warn", "triage", F.lit(f"The weekly token cap ({weekly_cap:,}) is used up.")),
+        alert(~warned & (a > 0), "info", "score", F.concat(a.cast("string"), F.lit(f" ambiguous postings show their local score only ({reason or 'not yet refined'}).")), "The next scoring run takes them up."),
+        alert(~warned & F.lit(weekly_cap > 0) & (w >= weekly_cap), "warn", "triage", F.lit(f"The weekly token cap ({weekly_cap:,}) is used up."), "Raise the weekly cap, or set it to 0 for none."),
+        alert(F.lit(not scorer_on), "info", "triage", F.lit("The scorer is off: ambiguous postings keep their local score."), "Turn the scorer on."),
     ]
     return counts.select(F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("x.*")

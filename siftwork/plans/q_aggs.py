@@ -38,12 +38,13 @@ def a03(spark, d):
     return e.join(view(spark, d, "postings", ["active"]).where("active").select("job_id"), "job_id").groupBy("bucket").agg(F.count("*").alias("n"))
 
 
-@query("a04_top_reject_reasons", f"""WITH {o.cascade_cte('postings')} SELECT reason, count(*) AS n FROM judged j JOIN postings p ON p.job_id = j.job_id
-WHERE p.active AND reason IS NOT NULL GROUP BY 1 ORDER BY n DESC, reason LIMIT 8""")
+@query("a04_top_reject_reasons", """SELECT e.hard_reject_reason AS reason, count(*) AS n FROM evals e JOIN postings p ON p.job_id = e.job_id
+WHERE e.profile_hash = 'cur' AND e.model = 'prefilter' AND p.active GROUP BY 1 ORDER BY n DESC, reason LIMIT 8""")
 def a04(spark, d):
-    """The eight commonest rule reasons on active postings, rules re-run."""
-    p = scores.with_reason(S, view(spark, d, "postings", [*RULE_COLUMNS, "active"]).where("active")).where("reason IS NOT NULL")
-    return p.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(8)
+    """The eight commonest reasons that rule rejects of active postings were stored with."""
+    e = view(spark, d, "evals").where((F.col("profile_hash") == S.profile) & (F.col("model") == "prefilter")).select("job_id", F.col("hard_reject_reason").alias("reason"))
+    live = view(spark, d, "postings", ["active"]).where("active").select("job_id")
+    return e.join(live, "job_id").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(8)
 
 
 @query("a05_open_by_source", "SELECT source, count(*) AS n FROM postings WHERE active GROUP BY 1")
@@ -181,16 +182,18 @@ def a21(spark, d):
 @query("a22_backlog_alerts", f"""WITH c AS (SELECT (SELECT count(*) FROM postings p WHERE active AND {_READ} AND NOT EXISTS (SELECT 1 FROM evals e WHERE e.job_id = p.job_id AND e.profile_hash = 'old')) AS pending,
  (SELECT count(*) FROM evals e JOIN postings p ON p.job_id = e.job_id WHERE e.profile_hash = 'cur' AND e.model = 'local' AND p.active AND json_extract_string(e.raw, '$.fast.band') = 'ambiguous') AS awaiting,
  (SELECT sum(tokens) FROM runs WHERE started_at >= (SELECT max(started_at) FROM runs) - INTERVAL 7 DAY) AS week)
-SELECT 'warn' AS level, 'score' AS stage, pending || ' readable postings have no score yet.' AS text FROM c WHERE pending > 0
-UNION ALL SELECT 'warn', 'score', 'Scoring stopped at the per-run token cap. ' || format('{{:,}}', awaiting) || CASE WHEN awaiting = 1 THEN ' unclear posting is' ELSE ' unclear postings are' END || ' on the free score only.' FROM c WHERE awaiting > 0
-UNION ALL SELECT 'warn', 'triage', 'The weekly token cap (1,000) is used up.' FROM c WHERE awaiting = 0 AND week >= 1000""")
+SELECT 'warn' AS level, 'score' AS stage, pending || ' readable postings have no score yet.' AS text, 'Start a scoring run.' AS action FROM c WHERE pending > 0
+UNION ALL SELECT 'warn', 'score', 'Scoring stopped at the per-run token cap. ' || format('{{:,}}', awaiting) || CASE WHEN awaiting = 1 THEN ' unclear posting is' ELSE ' unclear postings are' END || ' on the free score only.', '' FROM c WHERE awaiting > 0
+UNION ALL SELECT 'warn', 'triage', 'The weekly token cap (1,000) is used up.', 'Raise the weekly cap, or set it to 0 for none.' FROM c WHERE awaiting = 0 AND week >= 1000
+UNION ALL SELECT 'info', 'triage', 'The scorer is off: ambiguous postings keep their local score.', 'Turn the scorer on.'""")
 def a22(spark, d):
+    """Alerts of a run that the token cap cut short, with the scorer off since."""
     p = view(spark, d, "postings", ["active", "description_text", "fetch_failures"])
     e = view(spark, d, "evals")
     c = (queues.pending_fast(p, e, "old").agg(F.count("*").alias("pending"))
          .crossJoin(queues.ambiguous_queue(e, p, S.profile).agg(F.count("*").alias("awaiting")))
          .crossJoin(db.tokens_since(view(spark, d, "runs"), 1000).select("week")))
-    return db.alerts(S, c, "run cap", 1000)
+    return db.alerts(S, c, "run cap", 1000, scorer_on=False)
 
 
 @query("a23_catalog_groups", f"""WITH r AS (SELECT {o.classify('title', 'company_name')} AS role, count(*) AS n FROM postings GROUP BY 1)

@@ -163,3 +163,42 @@ def test_batch_inference_retries_and_passes_failures_through(spark):
         return {4: 200} if batch == 2 else {1: 7} if batch == 0 else {5: 9}
     got = sorted(map(tuple, packing.batch_inference(df, scorer).collect()))
     assert got == [(0, 1, 7, None), (0, 2, None, None), (1, 3, None, "down"), (2, 4, None, "invalid scorer output"), (3, 5, 9, None)]
+
+
+def test_custom_role_types_are_checked(spark, tmp_path):
+    import pytest
+
+    from siftwork import catalog
+    from siftwork.config import RolePick
+    from siftwork.functions import roles
+    picks = (RolePick("My Photonics!", 190, "Photonics", ("c++", " ", "Photonic", "ray optics")), RolePick("gpu", 10), RolePick("gpu", 90))
+    s = S.but(role_types=picks)
+    assert [(p.key, p.weight, p.keywords) for p in s.role_types] == [("my-photonics", 100, ("photonic", "ray optics")), ("gpu", 90, ())]
+    with pytest.raises(ValueError):
+        RolePick(" !! ")
+    titles = ["Ray Optics Intern (photonic)", "Security Engineer Intern", "Quantitative Researcher, photonic", "Chief of Staff", None, "photonics"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, title string")
+    got = [r.role for r in df.select("i", roles.classify(s, F.col("title")).alias("role")).orderBy("i").collect()]
+    assert got == ["my-photonics", "security", "quantresearch", "general", "general", "general"]
+    catalog.catalog_frame(spark).write.parquet(str(tmp_path / "c"))
+    assert catalog.read_catalog(spark, str(tmp_path / "c")) == catalog.default_catalog()
+    with pytest.raises(ValueError):
+        catalog.read_catalog(spark, str(tmp_path / "c"), most=3)
+
+
+def test_phrases_as_an_alternation_finds_them(values):
+    """Leftmost, first listed, not overlapping, between word boundaries: the same as one pattern over all words."""
+    import re
+
+    from siftwork.functions import phrases, roles, scoring
+    words = ["gpu", "gpu kernels", "kernels", "linux", "bare-metal", "a b c", "b c", "c d e f", "c++", "node js"]
+    texts = ["GPU kernels on Linux", "kernels, gpu kernels", "bare-metal bare metal", "a b c d e f", "b c d e f", "xlinux linux2 linux", "c++ and C++11", "node  js node js", "", "gpu-linux.gpu"]
+    order = [w.lower() for w in words if w != "c++"]
+    rx = re.compile("|".join(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" for w in order))
+    want = [sorted(set(rx.findall(t.lower())) | ({"c++"} if "c++" in t.lower() else set())) for t in texts]
+    assert [sorted(v) for v in values([(t,) for t in texts], "t string", lambda df: scoring.keyword_hits(df.t, words))] == want
+    groups = [("gpu", "gpu kernels", "kernels"), ("kernels", "linux"), ("b c", "a b c", "c d e f")]
+    longest = [re.compile("|".join(rf"(?<![a-z0-9]){re.escape(w)}(?![a-z0-9])" for w in sorted(g, key=len, reverse=True))) for g in groups]
+    counts = [{i: len(set(rx.findall(t.lower()))) for i, rx in enumerate(longest) if rx.search(t.lower())} for t in texts]
+    got = values([(t,) for t in texts], "t string", lambda df: phrases.group_counts(F.lower(df.t), groups))
+    assert [{h.g: h.hits for h in v} for v in got] == counts
