@@ -114,3 +114,27 @@ def table_line(rows: DataFrame) -> Column:
         F.when(F.col("unread"), F.lit(" ⚠ **unread — check manually**")).otherwise(F.lit("")), F.lit(" | "), place, F.lit(" | "),
         F.col("likelihood").cast("string"), F.lit(" | "), F.col("desirability").cast("string"), F.lit(" | "),
         F.coalesce(F.col("interest").cast("string"), F.lit("")), F.lit(" | "), note, F.lit(" |"))
+
+
+def section_frame(rows: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """(section, rank, line): the heading of each section with its size (rank 0) and, if its report is capped, how many rows
+    are left out (after the last rank). ``rows`` has a section per row; sections without rows get no line."""
+    sizes = rows.groupBy("section").agg(F.count("*").alias("n"))
+    cap = roles.literal_map(F.col("section"), caps, F.lit(None).cast("int"))
+    n = F.col("n")
+    head = F.struct(F.lit(0).cast("bigint").alias("rank"), F.concat(F.lit("## "), "section", F.lit(" ("), n.cast("string"), F.lit(")")).alias("line"))
+    more = F.when(n > cap, F.struct((cap + 1).cast("bigint").alias("rank"), F.concat(F.lit("_"), (n - cap).cast("string"), F.lit(" more not shown_")).alias("line")))
+    return sizes.select("section", F.explode(F.array_compact(F.array(head, more))).alias("x")).select("section", "x.*")
+
+
+def header_line(s: Settings, shown: DataFrame) -> DataFrame:
+    """(section, rank, line): terms, rubric, profile and the number of newly scored rows among those shown."""
+    text = f"Terms: {' / '.join([s.term, *s.term_also_accept])}; rubric {s.rubric}; profile {s.profile}; newly scored: "
+    return shown.agg(F.count_if("is_new").alias("n")).select(F.lit("header").alias("section"), F.lit(0).cast("bigint").alias("rank"), F.concat(F.lit(text), F.col("n").cast("string")).alias("line"))
+
+
+def proposal_line() -> Column:
+    """One proposed company: slug, name, tier, fit, reputation, source and the first line of its rationale."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    why = F.substring(F.substring_index(F.coalesce("rationale", F.lit("")), "\n", 1), 1, 160)
+    return F.concat(F.lit("- `"), "slug", F.lit("` **"), "name", F.lit("** (tier "), shown("tier"), F.lit(", fit "), shown("fit"), F.lit(", rep "), shown("reputation"), F.lit("; via "), "source", F.lit(") — "), why)

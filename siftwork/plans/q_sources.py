@@ -282,7 +282,14 @@ m AS (SELECT *, bucket AS section, row_number() OVER (PARTITION BY bucket ORDER
 a AS (SELECT *, 'alt ' || bucket AS section, row_number() OVER (PARTITION BY bucket ORDER BY is_new DESC, key1 DESC, key2 DESC, job_id) AS rank FROM k WHERE track IN ('alt', 'unknown') AND bucket IN ('likely', 'reach')),
 u AS (SELECT * FROM m WHERE rank <= CASE bucket WHEN 'wildcard' THEN 5 ELSE 80 END UNION ALL SELECT * FROM a)
 SELECT section, rank, {_LINE_SQL} AS line FROM u
-UNION ALL SELECT 'proposed', row_number() OVER (ORDER BY coalesce(tier, -1), name), '- `' || slug || '` **' || name || '** (tier ' || coalesce(CAST(tier AS VARCHAR), '?') || ', rep ' || coalesce(CAST(reputation AS VARCHAR), '?') || '; via ' || source || ')' FROM company_dim WHERE status = 'proposed' QUALIFY row_number() OVER (ORDER BY coalesce(tier, -1), name) <= 30
+UNION ALL SELECT 'header', 0, 'Terms: Summer 2027 / Spring 2027; rubric 2; profile cur; newly scored: ' || count(*) FILTER (WHERE is_new) FROM u WHERE section NOT LIKE 'alt %'
+UNION ALL SELECT section, 0, '## ' || section || ' (' || count(*) || ')' FROM (SELECT section FROM m WHERE section IN ('likely', 'reach', 'wildcard') UNION ALL SELECT section FROM a) GROUP BY section
+UNION ALL SELECT section, CASE section WHEN 'wildcard' THEN 6 ELSE 81 END, '_' || (count(*) - CASE section WHEN 'wildcard' THEN 5 ELSE 80 END) || ' more not shown_' FROM m WHERE section IN ('likely', 'reach', 'wildcard') GROUP BY section
+ HAVING count(*) > CASE section WHEN 'wildcard' THEN 5 ELSE 80 END
+UNION ALL SELECT 'proposed', 0, '## proposed (' || count(*) || ')' FROM company_dim WHERE status = 'proposed' HAVING count(*) > 0
+UNION ALL SELECT 'proposed', 31, '_' || (count(*) - 30) || ' more not shown_' FROM company_dim WHERE status = 'proposed' HAVING count(*) > 30
+UNION ALL SELECT 'proposed', row_number() OVER (ORDER BY coalesce(tier, -1), name), '- `' || slug || '` **' || name || '** (tier ' || coalesce(CAST(tier AS VARCHAR), '?') || ', fit ' || CASE WHEN company_id % 2 = 0 THEN CAST(30 + company_id % 70 AS VARCHAR) ELSE '?' END
+ || ', rep ' || coalesce(CAST(reputation AS VARCHAR), '?') || '; via ' || source || ') — ' || CASE WHEN company_id % 3 <> 1 THEN substr('Seen on ' || company_id || ' lists ' || repeat('and more ', 30), 1, 160) ELSE '' END FROM company_dim WHERE status = 'proposed' QUALIFY row_number() OVER (ORDER BY coalesce(tier, -1), name) <= 30
 UNION ALL SELECT 'rejects', row_number() OVER (ORDER BY n DESC, r), '- ' || r || ': ' || n FROM (SELECT CASE WHEN hard_reject_reason LIKE 'model:%' THEN 'model' ELSE hard_reject_reason END AS r, count(*) AS n FROM evals WHERE rubric_version = '2' AND hard_reject_reason IS NOT NULL GROUP BY 1)""")
 def s14(spark, d):
     """Digest lines by section and rank, written as ordered text files and returned. Main sections are capped reports;
@@ -290,19 +297,23 @@ def s14(spark, d):
     rows = decorated(spark, d, ["url"], deadline=True).where("app_status = 'new' AND bucket <> 'archive'").withColumn("canonical_url", tx.canonical_url(F.col("url")))
     cols = ["job_id", "bucket", "track", "is_new", "likelihood", "desirability", "interest", "line"]
     rows = rows.withColumn("line", reports.table_line(rows)).select(*cols)
-    main = reports.section_rank(rows.where("track IN ('primary', 'unknown')"), SECTION_CAPS).select(F.col("bucket").alias("section"), F.col("rank").cast("bigint").alias("rank"), "line")
+    primary = rows.where("track IN ('primary', 'unknown')")
+    main = reports.section_rank(primary, SECTION_CAPS)
+    head = reports.header_line(S, main)
+    main = main.select(F.col("bucket").alias("section"), F.col("rank").cast("bigint").alias("rank"), "line")
     alt = reports.bucket_key(rows.where("track IN ('alt', 'unknown') AND bucket IN ('likely', 'reach')")).withColumn("fresh", F.col("is_new").cast("int"))
     alt = ranking.global_rank(alt, [("fresh", "desc"), ("key1", "desc"), ("key2", "desc"), ("job_id", "asc")], keys=["bucket"])
     alt = alt.select(F.concat(F.lit("alt "), "bucket").alias("section"), "rank", "line")
-    c = view(spark, d, "company_dim").where("status = 'proposed'").withColumn("t", F.coalesce("tier", F.lit(-1)))
-    prop = ranking.top_rank(c, [("t", "asc"), ("name", "asc")], 30)
-    q = lambda x: F.coalesce(F.col(x).cast("string"), F.lit("?"))
-    prop = prop.select(F.lit("proposed").alias("section"), F.col("rank").cast("bigint").alias("rank"), F.concat(
-        F.lit("- `"), "slug", F.lit("` **"), "name", F.lit("** (tier "), q("tier"), F.lit(", rep "), q("reputation"), F.lit("; via "), "source", F.lit(")")).alias("line"))
+    k = F.col("company_id")
+    c = view(spark, d, "company_dim").where("status = 'proposed'").withColumns({"t": F.coalesce("tier", F.lit(-1)), "fit": F.when(k % 2 == 0, 30 + k % 70), "rationale": F.when(
+        k % 3 != 1, F.concat(F.lit("Seen on "), k.cast("string"), F.lit(" lists "), F.repeat(F.lit("and more "), F.lit(30)), F.lit("\nsecond line")))})
+    prop = ranking.top_rank(c, [("t", "asc"), ("name", "asc")], 30).select(F.lit("proposed").alias("section"), F.col("rank").cast("bigint").alias("rank"), reports.proposal_line().alias("line"))
+    sections = primary.where(F.col("bucket").isin(*SECTION_CAPS)).select(F.col("bucket").alias("section")).unionByName(alt.select("section")).unionByName(c.select(F.lit("proposed").alias("section")))
+    frame = reports.section_frame(sections, {**SECTION_CAPS, "proposed": 30})
     e = view(spark, d, "evals").where((F.col("rubric_version") == S.rubric) & F.col("hard_reject_reason").isNotNull())
     n = e.groupBy(F.when(e.hard_reject_reason.startswith("model:"), F.lit("model")).when(e.hard_reject_reason.startswith("triage:"), e.hard_reject_reason).otherwise(e.hard_reject_reason).alias("r")).agg(F.count("*").alias("n"))
     rej = ranking.global_rank(n, [("n", "desc"), ("r", "asc")]).select(F.lit("rejects").alias("section"), "rank", F.concat(F.lit("- "), "r", F.lit(": "), F.col("n").cast("string")).alias("line"))
-    lines = main.unionByName(alt).unionByName(prop).unionByName(rej)
+    lines = head.unionByName(frame).unionByName(main).unionByName(alt).unionByName(prop).unionByName(rej)
     path = scratch_dir(spark, "digest")
     sinks.write_snapshot(lines, path, 1)
     lines = sinks.read_snapshot(spark, path, 1)
