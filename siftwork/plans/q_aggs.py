@@ -259,7 +259,7 @@ def k06(spark, d):
     return top.crossJoin(hits.agg(F.greatest(F.lit(0), F.count("*") - 30).alias("more"))).select("slug", "match", "rank", "more")
 
 
-@query("k06b_search_many", """WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE lower(trim(substr(CASE WHEN s_suppkey % 4 = 0 THEN s_name || ' Holdings' ELSE s_name END, CAST(1 + s_suppkey * 7 % 20 AS INT), CAST(1 + s_suppkey % 12 AS INT)))) END AS q FROM supplier),
+@query("k06b_search_many", r"""WITH q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE lower(trim(substr(CASE WHEN s_suppkey % 4 = 0 THEN s_name || ' Holdings' ELSE s_name END, CAST(1 + s_suppkey * 7 % 20 AS INT), CAST(1 + s_suppkey % 12 AS INT)))) END AS q FROM supplier),
 n AS (SELECT slug, CASE WHEN tier = '' THEN 9 ELSE CAST(tier AS INT) END AS t, lower(name) AS low, unnest([lower(name)] || list_transform(string_split(aliases, '|'), lambda x: lower(trim(x)))) AS name FROM directory),
 r AS (SELECT query_id, slug, t, low, CASE WHEN q = '' OR n.name = q THEN 0 WHEN starts_with(n.name, q) THEN 1 WHEN len(list_filter(regexp_split_to_array(trim(n.name), '[()\s]+'), lambda w: starts_with(w, q))) > 0 THEN 2 WHEN contains(n.name, q) THEN 3 END AS m FROM q, n),
 b AS (SELECT query_id, slug, t, low, min(m) AS match FROM r WHERE m IS NOT NULL GROUP BY ALL)

@@ -29,12 +29,15 @@ INCOMING_SQL = f"""inc0 AS (SELECT * REPLACE (CASE WHEN job_id % 10 = 1 THEN 'Re
  CASE WHEN job_id % 4 = 1 AND description_text <> '' THEN description_text || ' v2' ELSE description_text END AS description_text) FROM postings WHERE job_id % 3 <> 0),
 incoming AS (SELECT *, {EXTERNAL_SQL} AS external_id, {o.dedup_key('company_name', 'title', 'location')} AS dedup_key, {o.canonical_url('url')} AS curl FROM inc0)"""
 POSTING_FIELDS = ["company_name", "title", "location", "url", "source", "active", "terms_txt", "sponsorship", "description_text", "company_id", "posted_at"]
-EXTERNAL = F.when(F.col("job_id") % 4 == 2, F.concat(F.lit("x"), F.col("job_id").cast("string"))).alias("external_id")
+
+
+def _with_external_id(p):
+    return p.withColumn("external_id", F.when(p.job_id % 4 == 2, F.concat(F.lit("x"), p.job_id.cast("string"))))
 
 
 def stored(spark, d):
     p = view(spark, d, "postings", [*POSTING_FIELDS, "first_seen_at"]).where("job_id % 3 <> 2")
-    rows = merge.keyed_rows(p.select("*", EXTERNAL))
+    rows = merge.keyed_rows(_with_external_id(p))
     return cut_lineage(ranking.first_per_key(rows, ["dedup_key"], [("job_id", "asc")]))     # stands for a stored snapshot
 
 
@@ -43,7 +46,7 @@ def incoming(spark, d):
     p = p.withColumns({
         "title": F.when(p.job_id % 10 == 1, F.lit("Renamed Role Intern")).otherwise(p.title),
         "description_text": F.when((p.job_id % 4 == 1) & (p.description_text != ""), F.concat(p.description_text, F.lit(" v2"))).otherwise(p.description_text)})
-    return merge.keyed_rows(p.select("*", EXTERNAL))
+    return merge.keyed_rows(_with_external_id(p))
 
 
 @query("j02_match_existing_posting", f"""WITH {SNAPSHOT_SQL}, {INCOMING_SQL}, u AS (SELECT curl, min(job_id) AS job_id FROM stored GROUP BY 1)

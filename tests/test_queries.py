@@ -23,3 +23,14 @@ def test_every_query_has_a_statement():
     from siftwork.plans import load_all
     m = load_all()
     assert set(m.QUERIES) == set(m.ORACLES)
+
+
+def test_the_registry_needs_neither_a_session_nor_the_corpus_package():
+    """In a fresh interpreter, with the corpus operators absent."""
+    import subprocess
+    import sys
+
+    from check_oracles import ROOT
+    code = ("import sys; sys.modules['siftwork.llm'] = None; sys.modules['corpus_pipeline'] = None; sys.path.insert(0, '.')\n"
+            "import __spark_entry__ as e\nassert set(e.queries()) == set(e.oracle_sql()) and len(e.queries()) > 160 and not any(k.startswith('op') for k in e.queries())")
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
