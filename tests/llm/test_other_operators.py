@@ -101,4 +101,4 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 
 def test_every_contract_query_is_registered():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
