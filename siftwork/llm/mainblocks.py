@@ -8,11 +8,13 @@ labelled main are joined. Path and word vectors are fixed hashes, the LSTM and i
 Training needs no hand labels: for at most ``MAX_PAGES`` pages (smallest hashed ids), blocks get the label their own markup declares
 (inside ``article`` or ``main`` and not inside menus, footers and the like), and the pages are varied: containers are renamed to other
 usual ones, and side blocks (headers, sidebars, notices, adverts, forms, reader comments) made from the page's own words are put in.
+Pages are learned in stretches of ``STRETCH`` blocks, and of all stretches of these pages at most ``MAX_STRETCHES`` (smallest hashes).
 
 Whole pages are read; nothing is cut or capped. The model, a few thousand numbers, is broadcast; pages are scored where they lie.
 
 Nulls and edges: null and empty html give empty text; unclosed, unopened and crossed tags are closed as they come; text outside any
-block tag is a block; scripts, styles, templates and comments are no text; repeated rows and null ids are handled like others; a table
+block tag is a block; a head ends at the first tag or text that cannot stand in it, closed or not; scripts, styles, templates, fallbacks
+for browsers without scripts and comments are no text; ties between stretches keep any; repeated rows and null ids are handled like others; a table
 without pages, or without declared main blocks to learn from, is learned from a built-in page. Extra columns are kept by ``extract``.
 """
 from __future__ import annotations
@@ -32,10 +34,13 @@ from pyspark.sql import types as T
 
 MAX_PAGES, PATH, WORDS, HIDDEN = 240, 64, 16, 16
 SHAPE = 5
+STRETCH, MAX_STRETCHES = 400, 300
 #: The element names of the HTML standard that start a block, that have no content, and whose content is no text.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style template noscript title head svg math iframe object select textarea button".split())
+SILENT = frozenset("script style template noscript title head svg iframe select textarea button".split())
+#: The elements that can stand in a head.
+HEAD_PARTS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements an opening tag of the key closes when it is still open, within the nearest of the given containers.
 ENDS = {"p": ({"p"}, {"div", "article", "section", "main", "li", "td", "body", "blockquote"}), "li": ({"li"}, {"ul", "ol", "menu"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 
@@ -69,7 +74,15 @@ class _Reader(HTMLParser):
             self.links -= tag == "a"
         del self.stack[at:]
 
+    def _end_head(self) -> None:
+        heads = [i for i, (t, _) in enumerate(self.stack) if t == "head"]
+        if heads:
+            self.flush()
+            self._pop(heads[0])
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        if tag == "body" or tag not in HEAD_PARTS and self.stack and self.stack[-1][0] == "head":
+            self._end_head()
         if tag in BLOCKS:
             self.flush()
             within = ENDS.get(tag)
@@ -80,10 +93,6 @@ class _Reader(HTMLParser):
                         break
                     if self.stack[i][0] in within[1]:
                         break
-            if tag == "body":  # the head ends here, closed or not
-                heads = [i for i, (t, _) in enumerate(self.stack) if t == "head"]
-                if heads:
-                    self._pop(heads[0])
         elif tag in ("br", "img"):
             self.parts.append(" ")
         if tag not in VOID:
@@ -103,6 +112,8 @@ class _Reader(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack and self.stack[-1][0] == "head" and data.strip():
+            self._end_head()
         if not self.silent:
             self.parts.append(data)
             self.linked += len(data) * (self.links > 0)
@@ -330,7 +341,11 @@ def fit(pages: DataFrame, max_pages: int = MAX_PAGES, copies: int = 5) -> Model:
         rng = np.random.default_rng(5)
         made = [b for f in frames for b in map(read_blocks, sorted(f.html)) if any(declared(p) for p, _, _ in b)] or [read_blocks(EXAMPLE)]
         made.append(read_blocks(EXAMPLE))
-        rows = [(vectors(b), y) for page in made for b, y in variations(page[:400], rng, copies)]
+        parts = [page[i:i + STRETCH] for page in made for i in range(0, len(page), STRETCH)]
+        if len(parts) > MAX_STRETCHES:
+            named = sorted((zlib.crc32("\n".join(t for _, t, _ in part).encode("utf-8", "replace")), i) for i, part in enumerate(parts))
+            parts = [parts[i] for i in sorted(i for _, i in named[:MAX_STRETCHES])]
+        rows = [(vectors(b), y) for part in parts for b, y in variations(part, rng, copies)]
         m = train(rows)
         yield pd.DataFrame({"name": list(m), "shape": [list(x.shape) for x in m.values()], "value": [x.ravel().tolist() for x in m.values()]})
     found = sample.repartition(1).mapInPandas(learn, "name string, shape array<int>, value array<double>").collect()

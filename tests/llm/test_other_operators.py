@@ -14,6 +14,11 @@ def test_blocks_of_broken_markup():
     assert read("<p>a &amp; b<p>c<br>d</div> e<script>x</p></script> f") == [("p", "a & b"), ("p", "c d"), ("p", "e f")]
     assert read(None) == [] and read("") == [] and read("plain   text") == [("", "plain text")]
     assert read("<ul><li>1<li>2</ul><!-- no -->3") == [("li", "1"), ("li", "2"), ("", "3")]
+    assert read("<!doctype html><html><head><title>t</title><article><p>x y</p></article>") == [("p", "x y")]
+    assert read("<html><head><meta charset=u><article><p>x <math><mi>y</mi></math></p></article></html>") == [("p", "x y")]
+    assert read("<html><head><title>t</title><noscript><style>a</style></noscript><script>var x</script><body><p>b") == [("p", "b")]
+    assert read("<head><title>t</title>\n<link rel=x>plain <b>text</b>") == [("", "plain text")]
+    assert read("<head><style>p {}</style></head><body class=x><p>b<noscript>no</noscript> c") == [("p", "b c")]
 
 
 def test_gradient_of_the_recurrent_net():
