@@ -10,7 +10,7 @@ are negative merge ranks, ``log_rank`` takes -log(2 + rank) instead, a Zipf esti
 gives the text back exactly; see the README for how often the ids equal those of greedy merging.
 
 Conventions of the vocabulary files: spaces are written U+2581, one is put before the text, nothing is normalised. A literal U+2581 in
-a text is encoded as bytes, so that it survives. Nulls and edges: null gives null, empty gives no ids; a lone surrogate cannot occur in
+a text is encoded as bytes, so that it survives; very long texts are read whole, an empty table gives no rows. Nulls and edges: null gives null, empty gives no ids; a lone surrogate cannot occur in
 Spark strings; ids, ties and repeated rows pass through; equal totals prefer the longer last piece. Result columns replace clashing ones.
 """
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from siftwork.llm.words import in_sorted, mix
 
-SPACE, LITERAL = "▁", "﷐"
+SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate stands for a literal U+2581 inside units: no Spark string holds one
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_CHARS = 4 << 20
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -131,12 +131,12 @@ def viterbi(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _restore(c: str) -> str:
-    return SPACE if c == LITERAL[1] else c
+    return SPACE if c == LITERAL else c
 
 
 def encode(texts: list[str | None], v: Vocabulary) -> list[np.ndarray | None]:
     """Ids of each text."""
-    words = [_UNIT.findall(SPACE + t.replace(SPACE, LITERAL[1]).replace(" ", SPACE)) if t else [] for t in texts]
+    words = [_UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE)) if t else [] for t in texts]
     seen: dict[str, int] = {}
     number = np.fromiter((seen.setdefault(u, len(seen)) for w in words for u in w), np.int64)
     distinct = list(seen)

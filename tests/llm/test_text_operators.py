@@ -150,6 +150,9 @@ def test_pieces_equal_brute_force_and_round_trip(odd_docs, no_docs):
     rows = found.select("text", "ids", "decoded", "same").collect()
     assert len(rows) == odd_docs.count() and all(r.text == r.decoded and r.same in (True, None) for r in rows)
     assert all((r.ids is None) == (r.text is None) for r in rows)
+    for text in ("\ufdd0", "\u2581", " \u2581\ufdd0 \ue000\ufdd0\u2581\u2581 x", "\ufdd0\ufdd0 a\u2581b", "\ud7ff\ue000"):
+        ids = pieces.encode([text], v)[0]
+        assert pieces.decode(ids, v, np.array([p.replace(pieces.SPACE, " ") for p in v.pieces], object), {int(k): b for b, k in enumerate(v.byte_ids)}) == text
     assert pieces.encode_column(no_docs).count() == 0
 
 
