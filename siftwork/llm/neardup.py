@@ -17,7 +17,7 @@ hash buckets, the hashing form of TF-IDF: exact counts per shingle would move ev
 Class ids are the smallest doc_id of the class. Nothing is capped. Broadcast: the bucket weights, ``2**BUCKETS`` floats.
 
 Nulls and edges: null texts and texts without words are their own class each and never linked; a null doc_id takes part, and a class
-of only such rows has a null id; repeated rows are one class; ties in the choice of pivots go to the smaller node key; empty tables
+of only such rows has a null id; repeated rows are one class; ties in the choice of pivots go to the smaller node number; empty tables
 give empty results. Extra columns are ignored.
 """
 from __future__ import annotations
@@ -142,15 +142,16 @@ def signatures(docs: DataFrame, idf, size: int, bands: int, rows: int) -> DataFr
 
 
 def vectors(docs: DataFrame, idf, size: int) -> DataFrame:
-    """(node, total, shingles, weights): the sparse vector of each text with words."""
+    """(node, total, shingles, weights): the sparse vector of each text with words; ``docs`` (node, text) names them by number."""
     def step(batch) -> dict:
         out: dict[str, list] = {k: [] for k in ("node", "total", "shingles", "weights")}
-        for _, content, x, weight in _weighted(batch, idf.value, size):
+        number = batch.column(0).to_pylist()
+        for i, _, x, weight in _weighted(batch, idf.value, size):
             small = weight.astype(np.float32)
-            for k, v in zip(out, (content, small.sum(dtype=float), signed(x), small)):
+            for k, v in zip(out, (number[i], small.sum(dtype=float), signed(x), small)):
                 out[k].append(v)
         return out
-    return arrow_map(docs.select("text"), step, "node binary, total double, shingles array<bigint>, weights array<float>")
+    return arrow_map(docs.select("node", "text"), step, "node bigint, total double, shingles array<bigint>, weights array<float>")
 
 
 def prefix_groups(vecs: DataFrame, threshold: float) -> DataFrame:
@@ -178,12 +179,13 @@ def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataF
     """(node, label) of the nodes that similarity links, from groups ``members`` (k, node, total, before, degree)."""
     members = kept(members, "near-members")
     vec = vecs.select("node", "shingles", "weights")
-    labels = members.select("node", F.col("node").alias("label")).limit(0)
-    links = None
+    labels = links = None
     for pivots in (1, PIVOTS, None):
-        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("k").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("k")
-        now = kept(now.join(mixed, "k"), "near-mixed")
+        now = members.withColumn("label", F.col("node"))  # all labels differ at first
+        if labels is not None:
+            now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            mixed = now.groupBy("k").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("k")
+            now = kept(now.join(mixed, "k"), "near-mixed")
         p, x = now.alias("p"), now.alias("x")
         if pivots is not None:
             place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("degree"), "node"))
@@ -195,7 +197,7 @@ def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataF
                  .select(F.least("p.node", "x.node").alias("u"), F.greatest("p.node", "x.node").alias("v")).distinct())
         with_u = pairs.join(vec.select(F.col("node").alias("u"), F.col("shingles").alias("xs"), F.col("weights").alias("xw")), "u")
         with_both = with_u.join(vec.select(F.col("node").alias("v"), F.col("shingles").alias("ys"), F.col("weights").alias("yw")), "v")
-        found = kept(with_both.mapInPandas(lambda fs: _similar(fs, threshold), "u binary, v binary"), "near-links")
+        found = kept(with_both.mapInPandas(lambda fs: _similar(fs, threshold), "u bigint, v bigint"), "near-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     return labels
@@ -210,11 +212,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     nodes = signed_docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct(did, "tk")).alias("one"))
     keyed = nodes.select("node", "one", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    candidates = keyed.join(shared, "key").groupBy("node").agg(F.first("one").alias("one")).select("node", "one.*")
-    texts = docs.select(did, F.xxhash64("text").alias("tk"), "text").join(candidates.select("did", "tk"), ["did", "tk"])
+    # from here on a candidate goes by a number, a third of its key's size in every row of the groups
+    candidates = kept(keyed.join(shared, "key").groupBy("node").agg(F.first("one").alias("one"))
+                      .select(F.col("node").alias("content"), "one.*", F.monotonically_increasing_id().alias("node")), "near-candidates")
+    texts = docs.select(did, F.xxhash64("text").alias("tk"), "text").join(candidates.select("did", "tk", "node"), ["did", "tk"])
     vecs = kept(vectors(texts, idf, size).dropDuplicates(["node"]), "near-vectors")
     labels = linked_nodes(prefix_groups(vecs, threshold), vecs, threshold)
-    named = signed_docs.select("doc_id", "tk", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    # tables on both sides, so that Spark can split a class or a text of a third of all rows
+    linked = kept(labels.join(candidates.select("node", "content"), "node").select(F.col("content").alias("node"), "label"), "near-linked")
+    heads = kept(linked.groupBy("label").agg(F.min("node").alias("head")), "near-heads")
+    headed = kept(linked.join(heads, "label").select("node", F.col("head").alias("label")), "near-labels")
+    named = kept(signed_docs.select("doc_id", "tk", "node").join(headed, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
+    ids = kept(named.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "near-classes")
     alone = F.col("label").isNull()
     return named.join(ids, "label", "left").select("doc_id", "tk", "node", "label", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, 1).otherwise(F.col("class_size")).alias("class_size"))
