@@ -6,7 +6,9 @@ their Jaccard similarity reaches ``PERCENT``; documents that reach one another b
 1. Equal sets are one node from here on, whatever the number of copies.
 2. Candidates: similar sets of n elements share at least ceil(0.8 n), so they share one among the n - ceil(0.8 n) + 1 that come first in a
    global order (rarest first, by counts of all shingles in hash buckets; the order decides the speed, never the result). The inverted
-   lists of these elements are built by one shuffle; lists of one node go, lists of the same nodes become one.
+   lists of these elements are built by one shuffle; lists of one node go, lists of the same nodes become one. The pairs of
+   lists of ``FEW`` nodes or fewer are counted at once, and what is in no pair that can still link leaves these lists: documents that
+   share a rare shingle by chance, ever more of them in a larger corpus, go no further.
    Of these lists, which are the short ones of a set, a pair must share as many as the overlap it needs exceeds what can follow them.
 3. Search, in cells of bounded size: a cell holds some query nodes and some nodes of one list, with their whole texts. Its task builds the
    inverted lists of all their shingles and answers each query by DivideSkip: of the T occurrences that a result needs, the longest
@@ -46,6 +48,7 @@ SHINGLE, PERCENT = 5, 80
 BUCKETS = 22
 SLICE = 14
 PIVOTS = 16
+FEW = 8                   # nodes of a list whose pairs are counted at once
 QUERIES, NODES = 32, 256  # of a cell, about
 SKIP = 0.0085             # of DivideSkip's rule for the number of long lists
 
@@ -119,28 +122,55 @@ def sketches(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
 
 
 def inverted_lists(found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(g, node, n, end, place, times, degree): lists of two nodes or more. Lists of the same nodes are one, ``times`` is their number; place
-    of the first such element among the node's; degree: how many nodes the lists of the node hold in all."""
+    """(g, node, n, end, place, times, size, degree): lists of two nodes or more. Lists of the same nodes are one, ``times`` is their number;
+    place of the first such element among the node's; size: nodes of the list; degree: how many nodes the lists of the node hold in all."""
     own = found.select("set", "did", "tk", "first").join(nodes.select("set", "did", "tk", "node"), ["set", "did", "tk"]).dropDuplicates(["set", "did", "tk"])
     rows = own.select("node", F.posexplode("first").alias("place", "k"))
     by = Window.partitionBy("k")
     rows = rows.select("node", "place", F.count("*").over(by).alias("size"), F.bit_xor(F.xxhash64("node")).over(by).alias("g")).where("size > 1")
     lists = kept(rows.groupBy("g", "node").agg(F.min("place").alias("place"), F.count("*").alias("times"), F.first("size").alias("size")), "overlap-held")
     lists = lists.join(nodes.select("node", "n", "end"), "node")
-    return lists.select("g", "node", "n", "end", "place", "times", F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("node")).alias("degree"))
+    return lists.select("g", "node", "n", "end", "place", "times", "size", F.sum(F.col("size") * F.col("times")).over(Window.partitionBy("node")).alias("degree"))
 
 
-def occurring(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (q, node, ...) that the short lists admit: of the sets' first elements, which the lists hold, as many occur in both as the
-    needed overlap exceeds what can follow the first elements of the set whose first elements end first in the global order."""
-    own = kept(lists.groupBy("node").agg(F.first("n").alias("n"), F.first("end").alias("end"), F.collect_list(F.struct("g", "times")).alias("held")), "overlap-held")  # at most a set's first elements
+def _can_link(shared, q: str, x: str, percent: int):
+    """Whether two sets that share so many of their first elements can link: the rest follows the first elements of the set whose first
+    elements end first in the global order."""
+    follow = lambda n: F.ceil(F.col(n) * percent / 100) - 1
+    rest = F.when(F.col(f"{q}end") <= F.col(f"{x}end"), follow(f"{q}n")).otherwise(follow(f"{x}n"))
+    return (shared + rest) * (100 + percent) >= percent * (F.col(f"{q}n") + F.col(f"{x}n"))
+
+
+def without_chance(lists: DataFrame, percent: int, few: int = FEW) -> DataFrame:
+    """The lists less the nodes of short lists (``few`` nodes at most) that no other node of the list can link with. Two sets share what
+    their common short lists count, and of long lists at most what the set with fewer of them has there. A pair that can link keeps
+    all its common lists, so that later counts stay right."""
+    of_node = Window.partitionBy("node")
+    long = F.sum(F.when(F.col("size") > few, F.col("times")).otherwise(0)).over(of_node)
+    all_lists = lists.withColumn("long", long)
+    short = all_lists.where(F.col("size") <= few)
+    q, x = (short.select("g", F.col("node").alias(t), "times", *[F.col(c).alias(f"{t}_{c}") for c in ("n", "end", "long")]) for t in "qx")
+    pairs = q.join(x.drop("times"), "g").where("q < x")
+    sides = [f"{t}_{c}" for t in "qx" for c in ("n", "end", "long")]
+    pairs = pairs.groupBy("q", "x").agg(F.sum("times").alias("shared"), F.collect_list("g").alias("gs"), *[F.first(c).alias(c) for c in sides])
+    pairs = pairs.where(_can_link(F.col("shared") + F.least("q_long", "x_long"), "q_", "x_", percent))
+    held = pairs.select(F.explode("gs").alias("g"), "q", "x").select("g", F.explode(F.array("q", "x")).alias("node")).distinct()
+    return lists.where(F.col("size") <= few).join(held, ["g", "node"]).select(*lists.columns).unionByName(lists.where(F.col("size") > few))
+
+
+def held_lists(lists: DataFrame) -> DataFrame:
+    """(node, n, end, held): the lists of each node, at most its set's first elements."""
+    return lists.groupBy("node").agg(F.first("n").alias("n"), F.first("end").alias("end"), F.collect_list(F.struct("g", "times")).alias("held"))
+
+
+def occurring(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (q, node, ...) that the short lists (``held_lists``) admit: of the sets' first elements, which the lists hold, as many occur in
+    both as the needed overlap exceeds what can follow them."""
     side = lambda name, tag: own.select(F.col("node").alias(name), *[F.col(c).alias(f"{tag}_{c}") for c in ("n", "end", "held")])
     both = pairs.join(side("q", "q"), "q").join(side("node", "x"), "node")
     held = F.transform("q_held", lambda e: e["g"])
     shared = F.aggregate(F.filter("x_held", lambda e: F.array_contains(held, e["g"])), F.lit(0).cast("bigint"), lambda a, e: a + e["times"])
-    follow = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    rest = F.when(F.col("q_end") <= F.col("x_end"), follow("q_n")).otherwise(follow("x_n"))
-    return both.where((shared + rest) * (100 + percent) >= percent * (F.col("q_n") + F.col("x_n"))).select(*pairs.columns)
+    return both.where(_can_link(shared, "q_", "x_", percent)).select(*pairs.columns)
 
 
 class Index:
@@ -214,7 +244,7 @@ def _search_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
 def linked(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) of all nodes that links connect; ``texts`` (node, text) holds the nodes of the lists."""
     labels = lists.select("node", F.col("node").alias("label")).limit(0)
-    links = None
+    links, own = None, kept(held_lists(lists), "overlap-held")
     block = lambda c, n, most: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / most)).cast("int")
     for pivots in (1, PIVOTS, None):
         now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -228,7 +258,7 @@ def linked(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         most = F.least(F.col("p.n") - F.col("p.place"), F.col("x.n") - F.col("x.place"))
         apart = F.col("p.label") != F.col("x.label") if pivots is not None else F.col("p.label") < F.col("x.label")
         pairs = p.join(x, "g").where(apart & (most * (100 + percent) >= percent * (F.col("p.n") + F.col("x.n")))).groupBy(F.col("p.node").alias("q"), F.col("x.node").alias("node")).agg(F.min("g").alias("g"))
-        pairs = kept(occurring(pairs, lists, percent), "overlap-pairs")
+        pairs = kept(occurring(pairs, own, percent), "overlap-pairs")
         sizes = pairs.groupBy("g").agg(F.countDistinct("q").alias("qs"), F.countDistinct("node").alias("ns"))
         cells = pairs.join(sizes, "g").select("g", block("q", "qs", QUERIES).alias("qb"), block("node", "ns", NODES).alias("nb"), F.explode(F.array(
             F.struct(F.lit(0).alias("role"), F.col("q").alias("node")), F.struct(F.lit(1).alias("role"), F.col("node").alias("node")))).alias("r")).select("g", "qb", "nb", "r.*").distinct()
@@ -245,7 +275,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     found = kept(sketches(docs, counts, size, percent).withColumn("did", did), "overlap-sketches")
     one = found.where(F.col("set").isNotNull()).groupBy("set").agg(F.min(F.struct("did", "tk")).alias("one"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("end").alias("end"))
     nodes = kept(one.select("set", "one.*", "least", "n", "end", F.monotonically_increasing_id().alias("node")), "overlap-nodes")
-    lists = kept(inverted_lists(found, nodes), "overlap-lists")
+    lists = kept(without_chance(kept(inverted_lists(found, nodes), "overlap-all-lists"), percent), "overlap-lists")
     wanted = kept(lists.select("node").distinct().join(nodes.select("node", "did", "tk"), "node"), "overlap-wanted")
     texts = docs.select(did.alias("did"), F.xxhash64("text").alias("tk"), "text").join(wanted, ["did", "tk"]).dropDuplicates(["did", "tk"])
     labels = linked(lists, kept(texts.select("node", "text"), "overlap-texts"), size, percent)
