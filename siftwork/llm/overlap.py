@@ -19,7 +19,8 @@ their Jaccard similarity reaches ``PERCENT``; documents that reach one another b
    near copies thus costs a few searches a member. No link between different components is missed.
 
 A list of very many nodes that are all similar just below the threshold is compared pair by pair in step 4; everything else is bounded
-by the lists' lengths. Nothing is capped. Broadcast: the bucket counts, ``2**BUCKETS`` numbers (16 MB).
+by the lists' lengths. Nothing is capped. Broadcast: the bucket counts, ``2**BUCKETS`` numbers (16 MB), and a bitmap of ``2**BITS`` bits
+(16 MB) of the texts that a search needs. The bitmap only spares shuffling others: beyond some 100 million needed texts it lets more through.
 
 Nulls and edges: null texts and texts without words have an empty set and link with nothing; a null doc_id takes part, and a component of
 only such rows has a null id; repeated rows are one node; an empty table gives no rows. Texts are read whole. Extra columns are ignored.
@@ -34,6 +35,7 @@ from itertools import groupby
 from math import log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,6 +50,7 @@ SHINGLE, PERCENT = 5, 80
 BUCKETS = 22
 SLICE = 14
 PIVOTS = 16
+BITS = 27                 # of the bitmap of needed texts
 FEW = 8                   # nodes of a list whose pairs are counted at once
 QUERIES, NODES = 32, 256  # of a cell, about
 SKIP = 0.0085             # of DivideSkip's rule for the number of long lists
@@ -241,8 +244,25 @@ def _search_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
     return arrow_map(dealt, step, "u bigint, v bigint", lambda: answers(*state["rows"]))
 
 
-def linked(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, label) of all nodes that links connect; ``texts`` (node, text) holds the nodes of the lists."""
+def needed_texts(docs: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """(did, tk, text) of ``docs`` (did, tk, text): all rows with a key (did, tk) of ``wanted``, and few others, as a bitmap of the keys' hashes
+    tells before any text is moved."""
+    bit = F.pmod(F.xxhash64("did", "tk"), F.lit(1 << bits))
+    rows = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(((1 << bits) // (8 << 12) + 2, 1 << 12), np.uint8)  # the function's bitmaps have 4,096 bytes each
+    for r in rows.toLocalIterator():
+        whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def maybe(number: pd.Series, place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[number.to_numpy(), at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    return docs.where(maybe(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
+
+
+def linked(lists: DataFrame, keys: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, label) of all nodes that links connect; ``keys`` (node, did, tk) has the nodes of the lists, ``docs`` (did, tk, text) their texts."""
     labels = lists.select("node", F.col("node").alias("label")).limit(0)
     links, own = None, kept(held_lists(lists), "overlap-held")
     block = lambda c, n, most: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / most)).cast("int")
@@ -262,7 +282,9 @@ def linked(lists: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
         sizes = pairs.groupBy("g").agg(F.countDistinct("q").alias("qs"), F.countDistinct("node").alias("ns"))
         cells = pairs.join(sizes, "g").select("g", block("q", "qs", QUERIES).alias("qb"), block("node", "ns", NODES).alias("nb"), F.explode(F.array(
             F.struct(F.lit(0).alias("role"), F.col("q").alias("node")), F.struct(F.lit(1).alias("role"), F.col("node").alias("node")))).alias("r")).select("g", "qb", "nb", "r.*").distinct()
-        found = kept(_search_cells(kept(cells, "overlap-cells").join(texts, "node"), size, percent).distinct(), "overlap-links")
+        cells = kept(cells.join(keys, "node"), "overlap-cells")
+        texts = needed_texts(docs, cells).groupBy("did", "tk").agg(F.first("text").alias("text"))
+        found = kept(_search_cells(cells.join(texts, ["did", "tk"]).drop("did", "tk"), size, percent).distinct(), "overlap-links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     return labels
@@ -277,8 +299,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> Dat
     nodes = kept(one.select("set", "one.*", "least", "n", "end", F.monotonically_increasing_id().alias("node")), "overlap-nodes")
     lists = kept(without_chance(kept(inverted_lists(found, nodes), "overlap-all-lists"), percent), "overlap-lists")
     wanted = kept(lists.select("node").distinct().join(nodes.select("node", "did", "tk"), "node"), "overlap-wanted")
-    texts = docs.select(did.alias("did"), F.xxhash64("text").alias("tk"), "text").join(wanted, ["did", "tk"]).dropDuplicates(["did", "tk"])
-    labels = linked(lists, kept(texts.select("node", "text"), "overlap-texts"), size, percent)
+    labels = linked(lists, wanted, docs.select(did.alias("did"), F.xxhash64("text").alias("tk"), "text"), size, percent)
     named = kept(nodes.select("set", "node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "overlap-named")
     # both sides are tables, so that Spark can split a component or a set of a third of all rows
     ids = kept(named.groupBy("label").agg(F.min("least").alias("component_id")), "overlap-components")

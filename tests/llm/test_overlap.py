@@ -62,6 +62,35 @@ def test_components_equal_all_pairs(spark, percent):
     assert got == brute(rows, percent)
 
 
+def test_short_lists_lose_chance_only(spark, monkeypatch):
+    """Lists of every length are cut down before the search, whatever counts as short; documents that share single shingles go no further."""
+    g = random.Random(3)
+    draw = lambda n: [g.choice([f"w{i}" for i in range(5000)]) for _ in range(n)]
+    rare = [draw(5) for _ in range(40)]
+    rows = [(i, " ".join(draw(50) + rare[i % 40] + draw(50))) for i in range(120)]  # three documents a rare shingle, nothing else alike
+    rows += [(1000 + i, rows[i][1] + " and more") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(overlap, "bucket_counts", lambda docs, size: np.ones(1 << 14, np.uint32))  # no shingle counts as rare: as in a very large corpus
+    whole, left = overlap.without_chance, []
+    for few in (0, 8):
+        def cut(lists, percent):
+            out = whole(lists, percent, few)
+            left.append(out.select("node").distinct().count())
+            return out
+        monkeypatch.setattr(overlap, "without_chance", cut)
+        assert sorted(map(tuple, overlap.classes(df).collect()), key=repr) == brute(rows)
+    assert left[0] > left[1] == 20
+
+
+def test_needed_texts_hold_every_key(spark):
+    docs = spark.range(4000).selectExpr("cast(id as string) as did", "id * 7 as tk", "concat('t', id) as text")
+    wanted = docs.where("tk % 5 = 0").unionByName(docs.limit(5)).select("did", "tk")
+    want = {r.did for r in wanted.collect()}
+    wide, narrow = ({r.did for r in overlap.needed_texts(docs, wanted, bits).collect()} for bits in (27, 9))
+    assert want <= wide and len(wide - want) <= 3 and want <= narrow
+    assert overlap.needed_texts(docs, wanted.limit(0)).count() == 0
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in overlap.classes(odd_docs).collect()], key=repr)
