@@ -11,7 +11,7 @@ from siftwork.plans.q_joins import incoming, stored
 from siftwork.plans.q_merge import FEED_SQL, MERGED, _MERGE_SQL, polls
 from siftwork.plans.registry import query
 from siftwork.session import cut_lineage, scratch_dir
-from siftwork.sources.views import postings_sql, raw, view
+from siftwork.sources.views import bind_counts, postings_sql, raw, view
 from siftwork.streaming import jobs
 
 
@@ -81,7 +81,7 @@ def st5(spark, d):
     """Stateless scoring of landed documents with stream-static joins to the supplier and company tables."""
     docs = raw(spark, d, "documents")
     stream = jobs.file_stream(spark, f"{d}/documents.parq*", docs.schema)
-    sql = postings_sql(["company_name", "title", "description_text"]).replace("{documents}", "{docs}").replace("{supplier}", "{sup}")
+    sql = bind_counts(spark, postings_sql(["company_name", "title", "description_text"]), d).replace("{documents}", "{docs}").replace("{supplier}", "{sup}")
     p = spark.sql(sql, docs=stream, sup=raw(spark, d, "supplier"))
     scored = scores.scored_postings(S, p, view(spark, d, "company_dim")).select("job_id", "role", "score", "band")
     return jobs.run_to_files(scored)
