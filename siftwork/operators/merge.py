@@ -194,6 +194,17 @@ def upsert_companies(stored: DataFrame, proposed: DataFrame) -> DataFrame:
         status.alias("status"), *[F.coalesce(f"b.{c}", f"a.{c}").alias(c) for c in ("tier", "reputation", "ats_type", "ats_token")])
 
 
+def health_columns() -> list[Column]:
+    """status, last_rows and last_checked of a feed, aggregated from its polls."""
+    when = F.struct("at", "seq")
+    good = (F.col("outcome") == "ok") & (F.col("rows") >= fv.FEED_MIN_ROWS)
+    gone = ((F.col("outcome") == "http") & F.col("code").isin(fv.FEED_GONE_STATUS)) | (F.col("outcome") == "unparsable")
+    verdict = F.when(good, F.lit("active")).when(gone, F.lit("broken"))
+    status = F.when(F.bool_or(F.col("outcome") == "disabled"), F.lit("disabled")).otherwise(
+        F.coalesce(F.max_by(verdict, F.when(verdict.isNotNull(), when)), F.lit("active")))
+    return [status.alias("status"), F.max_by("rows", F.when(F.col("outcome") == "ok", when)).alias("last_rows"), F.max("at").alias("last_checked")]
+
+
 def feed_health(polls: DataFrame) -> DataFrame:
     """Feed state after an ordered log of polls (feed, at, seq, outcome, rows, code).
 
@@ -201,14 +212,7 @@ def feed_health(polls: DataFrame) -> DataFrame:
     network error nor a thin success changes anything. So the final state is that of the last deciding event: a plain
     aggregate instead of a fold over a feed's whole history.
     """
-    when = F.struct("at", "seq")
-    good = (F.col("outcome") == "ok") & (F.col("rows") >= fv.FEED_MIN_ROWS)
-    gone = ((F.col("outcome") == "http") & F.col("code").isin(fv.FEED_GONE_STATUS)) | (F.col("outcome") == "unparsable")
-    verdict = F.when(good, F.lit("active")).when(gone, F.lit("broken"))
-    return polls.groupBy("feed").agg(
-        F.when(F.bool_or(F.col("outcome") == "disabled"), F.lit("disabled")).otherwise(
-            F.coalesce(F.max_by(verdict, F.when(verdict.isNotNull(), when)), F.lit("active"))).alias("status"),
-        F.max_by("rows", F.when(F.col("outcome") == "ok", when)).alias("last_rows"), F.max("at").alias("last_checked"))
+    return polls.groupBy("feed").agg(*health_columns())
 
 
 def probe_feeds(candidates: DataFrame, known: DataFrame, days_since_search: int | None) -> DataFrame:

@@ -66,12 +66,12 @@ def st4(spark, d):
 
 
 def _in_two_calls(spark, d, job):
-    """Events landed as two files, the second after a first call of the job has ended: ``job(stream, root)`` resumes."""
+    """Events landed in two halves, the second after a first call of the job has ended: ``job(stream, root)`` resumes."""
     e = spark.read.parquet(f"{d}/events.parquet")
     landed, root = scratch_dir(spark, "landed"), scratch_dir(spark, "resumed")
     half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
     for part in (F.col("event_id") <= half, F.col("event_id") > half):
-        e.where(part).coalesce(1).write.mode("append").parquet(landed)
+        e.where(part).write.mode("append").parquet(landed)
         out = job(jobs.file_stream(spark, landed, e.schema), root)
     return out
 
