@@ -25,15 +25,23 @@ def _timed(spark, d):
     return _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _in_calls(spark, rows, parts, job):
+    """Land one part of the rows after the other, each written by all tasks, and let ``job(stream)`` take up what has landed: a
+    call's new files are one micro-batch, so parts keep their order however many files they have."""
+    landed = scratch_dir(spark, "landed")
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(landed)
+        out = job(jobs.file_stream(spark, landed, rows.schema))
+    return out
+
+
 @query("st1_stream_upsert", f"WITH {_MERGE_SQL} SELECT * EXCLUDE (is_new) FROM merged")
 def st1(spark, d):
-    """Postings landed as three files, in order, and merged in three micro-batches into a bucketed table (equal to the batch merge)."""
-    inc = cut_lineage(incoming(spark, d))
+    """Postings landed in three parts, in order, and merged in three micro-batches into a bucketed table (equal to the batch merge)."""
+    inc, before, root = cut_lineage(incoming(spark, d)), stored(spark, d), scratch_dir(spark, "postings")
     low, high = inc.agg(F.expr("percentile_approx(job_id, array(0.33, 0.66))")).first()[0]
-    landed = scratch_dir(spark, "landed")
-    for part in ("job_id <= {0}", "job_id > {0} AND job_id <= {1}", "job_id > {1}"):
-        inc.where(part.format(low, high)).coalesce(1).write.mode("append").parquet(landed)
-    out = jobs.upsert_stream(jobs.file_stream(spark, landed, inc.schema, maxFilesPerTrigger=1), stored(spark, d), dates.at(S.as_of), buckets=16)
+    k = F.col("job_id")
+    out = _in_calls(spark, inc, [k <= low, (k > low) & (k <= high), k > high], lambda stream: jobs.upsert_stream(stream, before, dates.at(S.as_of), root, buckets=16))
     return out.select(*[c for c in MERGED if c != "is_new"])
 
 
@@ -67,13 +75,9 @@ def st4(spark, d):
 
 def _in_two_calls(spark, d, job):
     """Events landed in two halves, the second after a first call of the job has ended: ``job(stream, root)`` resumes."""
-    e = spark.read.parquet(f"{d}/events.parquet")
-    landed, root = scratch_dir(spark, "landed"), scratch_dir(spark, "resumed")
+    e, root = spark.read.parquet(f"{d}/events.parquet"), scratch_dir(spark, "resumed")
     half = e.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
-    for part in (F.col("event_id") <= half, F.col("event_id") > half):
-        e.where(part).write.mode("append").parquet(landed)
-        out = job(jobs.file_stream(spark, landed, e.schema), root)
-    return out
+    return _in_calls(spark, e, [F.col("event_id") <= half, F.col("event_id") > half], lambda stream: job(stream, root))
 
 
 @query("st5_stream_score", f"WITH {o.score_cte('postings')} SELECT job_id, role, score, band FROM scored")
