@@ -14,7 +14,8 @@ hash buckets, the hashing form of TF-IDF: exact counts per shingle would move ev
    of all rows costs a few comparisons a member. Last, members of different classes that the filters still admit are compared.
    Pairs already in one class are never compared, and no link between classes is missed.
 
-Class ids are the smallest doc_id of the class. Nothing is capped. Broadcast: the bucket weights, ``2**BUCKETS`` floats.
+Class ids are the smallest doc_id of the class. Nothing is capped. Broadcast: the bucket weights, ``2**BUCKETS`` floats, and bitmaps of
+``2**BITS`` bits (16 MB) of the candidates' texts and of the vectors that a comparison needs, so that others are not shuffled.
 
 Nulls and edges: null texts and texts without words are their own class each and never linked; a null doc_id takes part, and a class
 of only such rows has a null id; repeated rows are one class; ties in the choice of pivots go to the smaller node number; empty tables
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.llm.tables import arrow_map, kept, signed
+from siftwork.llm.tables import arrow_map, kept, picked, signed
 from siftwork.llm.words import Words, byte_classes, column_bytes, hash_words, mix
 from siftwork.operators.components import components
 
@@ -142,16 +143,27 @@ def signatures(docs: DataFrame, idf, size: int, bands: int, rows: int) -> DataFr
 
 
 def vectors(docs: DataFrame, idf, size: int) -> DataFrame:
-    """(node, total, shingles, weights): the sparse vector of each text with words; ``docs`` (node, text) names them by number."""
+    """(did, tk, total, shingles, weights): the sparse vector of each text with words of ``docs`` (did, tk, text)."""
     def step(batch) -> dict:
-        out: dict[str, list] = {k: [] for k in ("node", "total", "shingles", "weights")}
-        number = batch.column(0).to_pylist()
+        out: dict[str, list] = {k: [] for k in ("did", "tk", "total", "shingles", "weights")}
+        did, tk = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for i, _, x, weight in _weighted(batch, idf.value, size):
             small = weight.astype(np.float32)
-            for k, v in zip(out, (number[i], small.sum(dtype=float), signed(x), small)):
+            for k, v in zip(out, (did[i], tk[i], small.sum(dtype=float), signed(x), small)):
                 out[k].append(v)
         return out
-    return arrow_map(docs.select("node", "text"), step, "node bigint, total double, shingles array<bigint>, weights array<float>")
+    return arrow_map(docs.select("did", "tk", "text"), step, "did string, tk bigint, total double, shingles array<bigint>, weights array<float>")
+
+
+def candidate_nodes(signed_docs: DataFrame) -> DataFrame:
+    """(content, did, tk, node): of the nodes that share a band key with another, one document each and a number. Only 8-byte hashes of nodes
+    go along with the keys; two nodes of one hash would at most make a candidate more."""
+    own = signed_docs.where(F.col("node").isNotNull())
+    keyed = own.groupBy("node").agg(F.first("bands").alias("bands")).select(F.xxhash64("node").alias("h"), F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    hits = keyed.join(shared, "key").select("h").distinct()
+    one = own.groupBy("node").agg(F.min(F.struct("did", "tk")).alias("one")).withColumn("h", F.xxhash64("node"))
+    return one.join(hits, "h", "left_semi").select(F.col("node").alias("content"), "one.*", F.monotonically_increasing_id().alias("node"))
 
 
 def prefix_groups(vecs: DataFrame, threshold: float) -> DataFrame:
@@ -178,8 +190,7 @@ def _similar(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.Da
 def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataFrame:
     """(node, label) of the nodes that similarity links, from groups ``members`` (k, node, total, before, degree)."""
     members = kept(members, "near-members")
-    vec = vecs.select("node", "shingles", "weights")
-    labels = links = None
+    labels = None
     for pivots in (1, PIVOTS, None):
         now = members.withColumn("label", F.col("node"))  # all labels differ at first
         if labels is not None:
@@ -195,11 +206,18 @@ def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataF
         apart = F.col("p.label") != F.col("x.label") if pivots is not None else F.col("p.label") < F.col("x.label")
         pairs = (p.join(x, "k").where(apart & (most * (1 + 1e-6) >= threshold * (F.col("p.total") + F.col("x.total") - most)))
                  .select(F.least("p.node", "x.node").alias("u"), F.greatest("p.node", "x.node").alias("v")).distinct())
+        pairs = kept(pairs, "near-pairs")
+        if labels is not None and pairs.isEmpty():
+            continue
+        # only vectors of these pairs are moved
+        vec = picked(vecs.select("node", "shingles", "weights"), pairs.select(F.explode(F.array("u", "v")).alias("node")), "node")
         with_u = pairs.join(vec.select(F.col("node").alias("u"), F.col("shingles").alias("xs"), F.col("weights").alias("xw")), "u")
         with_both = with_u.join(vec.select(F.col("node").alias("v"), F.col("shingles").alias("ys"), F.col("weights").alias("yw")), "v")
         found = kept(with_both.mapInPandas(lambda fs: _similar(fs, threshold), "u bigint, v bigint"), "near-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if labels is None:
+            labels = components(found)
+        elif not found.isEmpty():
+            labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     return labels
 
 
@@ -209,14 +227,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     idf = spark.sparkContext.broadcast(bucket_weights(docs, size))
     signed_docs = kept(signatures(docs, idf, size, bands, rows), "near-signatures")
     did = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did")
-    nodes = signed_docs.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct(did, "tk")).alias("one"))
-    keyed = nodes.select("node", "one", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     # from here on a candidate goes by a number, a third of its key's size in every row of the groups
-    candidates = kept(keyed.join(shared, "key").groupBy("node").agg(F.first("one").alias("one"))
-                      .select(F.col("node").alias("content"), "one.*", F.monotonically_increasing_id().alias("node")), "near-candidates")
-    texts = docs.select(did, F.xxhash64("text").alias("tk"), "text").join(candidates.select("did", "tk", "node"), ["did", "tk"])
-    vecs = kept(vectors(texts, idf, size).dropDuplicates(["node"]), "near-vectors")
+    candidates = kept(candidate_nodes(signed_docs.withColumn("did", did)), "near-candidates")
+    # no text is moved: vectors are made where the texts are read, and a text's copies under one id are one before the join
+    texts = picked(docs.select(did, F.xxhash64("text").alias("tk"), "text"), candidates, "did", "tk")
+    once = vectors(texts, idf, size).dropDuplicates(["did", "tk"])
+    vecs = kept(once.join(candidates.select("did", "tk", "node"), ["did", "tk"]).drop("did", "tk"), "near-vectors")
     labels = linked_nodes(prefix_groups(vecs, threshold), vecs, threshold)
     # tables on both sides, so that Spark can split a class or a text of a third of all rows
     linked = kept(labels.join(candidates.select("node", "content"), "node").select(F.col("content").alias("node"), "label"), "near-linked")

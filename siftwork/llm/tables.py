@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from siftwork.session import scratch_dir
 
 
 ROWS = 512
+BITS = 27  # of the bitmap of wanted keys
 
 
 def fold_of(doc_id: str, n: int) -> Column:
@@ -30,6 +32,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def picked(df: DataFrame, wanted: DataFrame, *keys: str, bits: int = BITS) -> DataFrame:
+    """All rows of ``df`` whose keys are among those of ``wanted``, and few others, as a broadcast bitmap of ``2**bits`` bits of the keys'
+    hashes tells: a join after it moves what it needs, whatever the size of ``df``."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    rows = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    whole = np.zeros(((1 << bits) // (8 << 12) + 2, 1 << 12), np.uint8)  # the function's bitmaps have 4,096 bytes each
+    for r in rows.collect():  # 2**bits bits in all; one job, where an iterator would run one for each partition
+        whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def maybe(number: pd.Series, place: pd.Series) -> pd.Series:
+        at = place.to_numpy()
+        return pd.Series((shared.value[number.to_numpy(), at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+    return df.where(maybe(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict] | dict | None], schema: str, finish: Callable[[], dict | None] | None = None) -> DataFrame:
     """mapInArrow with columns given as a dictionary of arrays; ``finish`` may add rows at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
