@@ -35,13 +35,12 @@ from itertools import groupby
 from math import log2
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.neardup import shingles
-from siftwork.llm.tables import arrow_map, kept, signed
+from siftwork.llm.tables import BITS, arrow_map, kept, picked, signed
 from siftwork.llm.words import byte_classes, column_bytes, hash_words, in_sorted
 from siftwork.operators.components import components
 
@@ -50,7 +49,6 @@ SHINGLE, PERCENT = 5, 80
 BUCKETS = 22
 SLICE = 14
 PIVOTS = 16
-BITS = 27                 # of the bitmap of needed texts
 FEW = 8                   # nodes of a list whose pairs are counted at once
 QUERIES, NODES = 32, 256  # of a cell, about
 SKIP = 0.0085             # of DivideSkip's rule for the number of long lists
@@ -101,7 +99,7 @@ def bucket_counts(docs: DataFrame, size: int = SHINGLE, bits: int = BUCKETS) ->
 
     parts = arrow_map(docs.select("text"), step, "slice int, data binary", finish).repartition("slice").sortWithinPartitions("slice")
     out = np.zeros(1 << bits, np.uint32)
-    for row in arrow_map(parts, add, "slice int, data binary", last).toLocalIterator():  # 2**bits numbers in all
+    for row in arrow_map(parts, add, "slice int, data binary", last).collect():  # 2**bits numbers in all, in one job
         out[row.slice << SLICE:row.slice + 1 << SLICE] = np.frombuffer(zlib.decompress(row.data), np.uint32)
     return out
 
@@ -247,24 +245,13 @@ def _search_cells(rows: DataFrame, size: int, percent: int) -> DataFrame:
 def needed_texts(docs: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
     """(did, tk, text) of ``docs`` (did, tk, text): all rows with a key (did, tk) of ``wanted``, and few others, as a bitmap of the keys' hashes
     tells before any text is moved."""
-    bit = F.pmod(F.xxhash64("did", "tk"), F.lit(1 << bits))
-    rows = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    whole = np.zeros(((1 << bits) // (8 << 12) + 2, 1 << 12), np.uint8)  # the function's bitmaps have 4,096 bytes each
-    for r in rows.toLocalIterator():
-        whole[r["at"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(whole)
-
-    @F.pandas_udf("boolean")
-    def maybe(number: pd.Series, place: pd.Series) -> pd.Series:
-        at = place.to_numpy()
-        return pd.Series((shared.value[number.to_numpy(), at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-    return docs.where(maybe(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
+    return picked(docs, wanted, "did", "tk", bits=bits)
 
 
 def linked(lists: DataFrame, keys: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, label) of all nodes that links connect; ``keys`` (node, did, tk) has the nodes of the lists, ``docs`` (did, tk, text) their texts."""
     labels = lists.select("node", F.col("node").alias("label")).limit(0)
-    links, own = None, kept(held_lists(lists), "overlap-held")
+    own = kept(held_lists(lists), "overlap-held")
     block = lambda c, n, most: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / most)).cast("int")
     for pivots in (1, PIVOTS, None):
         now = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -279,14 +266,16 @@ def linked(lists: DataFrame, keys: DataFrame, docs: DataFrame, size: int, percen
         apart = F.col("p.label") != F.col("x.label") if pivots is not None else F.col("p.label") < F.col("x.label")
         pairs = p.join(x, "g").where(apart & (most * (100 + percent) >= percent * (F.col("p.n") + F.col("x.n")))).groupBy(F.col("p.node").alias("q"), F.col("x.node").alias("node")).agg(F.min("g").alias("g"))
         pairs = kept(occurring(pairs, own, percent), "overlap-pairs")
+        if pairs.isEmpty():
+            continue
         sizes = pairs.groupBy("g").agg(F.countDistinct("q").alias("qs"), F.countDistinct("node").alias("ns"))
         cells = pairs.join(sizes, "g").select("g", block("q", "qs", QUERIES).alias("qb"), block("node", "ns", NODES).alias("nb"), F.explode(F.array(
             F.struct(F.lit(0).alias("role"), F.col("q").alias("node")), F.struct(F.lit(1).alias("role"), F.col("node").alias("node")))).alias("r")).select("g", "qb", "nb", "r.*").distinct()
         cells = kept(cells.join(keys, "node"), "overlap-cells")
         texts = needed_texts(docs, cells).groupBy("did", "tk").agg(F.first("text").alias("text"))
         found = kept(_search_cells(cells.join(texts, ["did", "tk"]).drop("did", "tk"), size, percent).distinct(), "overlap-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if not found.isEmpty():
+            labels = components(found.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     return labels
 
 

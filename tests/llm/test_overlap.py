@@ -91,6 +91,24 @@ def test_needed_texts_hold_every_key(spark):
     assert overlap.needed_texts(docs, wanted.limit(0)).count() == 0
 
 
+def test_fixed_size_tables_take_a_few_jobs(spark):
+    """Bitmaps and bucket counts come in one job (and those of adaptive stages), not in one for each shuffle partition."""
+    docs = spark.range(300).selectExpr("cast(id as string) as did", "id as tk", "concat('a b c d e f ', id) as text")
+    changed = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("fixed-size", "tables of fixed size")
+        assert overlap.needed_texts(docs, docs.select("did", "tk").limit(40)).count() >= 40
+        assert overlap.bucket_counts(docs, 5, 16).sum() == 300 * 3
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("fixed-size")) < 20
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     got = sorted([(r.doc_id, r.n_shingles, r.component_id) for r in overlap.classes(odd_docs).collect()], key=repr)

@@ -202,3 +202,16 @@ def test_phrases_as_an_alternation_finds_them(values):
     counts = [{i: len(set(rx.findall(t.lower()))) for i, rx in enumerate(longest) if rx.search(t.lower())} for t in texts]
     got = values([(t,) for t in texts], "t string", lambda df: phrases.group_counts(F.lower(df.t), groups))
     assert [{h.g: h.hits for h in v} for v in got] == counts
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars around their smallest node are the answer already; others take rounds until they are."""
+    from siftwork.operators import components as module
+    stored, paths = module._stored, []
+    monkeypatch.setattr(module, "_stored", lambda df, path: paths.append(path) or stored(df, path))
+    star = spark.createDataFrame([(1, 2), (3, 1), (1, 4), (4, 1), (7, 8), (9, 9)], "u long, v long")
+    assert sorted(map(tuple, module.components(star).collect())) == [(1, 1), (2, 1), (3, 1), (4, 1), (7, 7), (8, 7)]
+    assert len(paths) == 1
+    chain = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 32), (31, 32)], "u long, v long")
+    assert sorted(map(tuple, module.components(chain).collect())) == [(i, 0) for i in range(21)] + [(30, 30), (31, 30), (32, 30)]
+    assert module.components(star.limit(0)).count() == 0
