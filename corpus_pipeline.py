@@ -13,11 +13,11 @@ so ``ORACLE_SQL`` is None and the stages are tested against brute force.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm import decontam, neardup, pieces, queries, secrets
-from siftwork.llm.tables import kept, read
+from siftwork.llm.tables import kept, parted, read
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
@@ -27,31 +27,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.quality_scores(docs.select(*COLUMNS), spark, sf_dir).where(F.col("score") >= 0.3).select(*COLUMNS)
 
 
+def _did() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, _did(), F.xxhash64("text").alias("tk"))
+
+
 def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text hash) is not among ``marked`` (did, tk)."""
-    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), F.xxhash64("text").alias("tk"))
-    return keyed.join(marked, ["did", "tk"], "left_anti").select(*COLUMNS)
+    """Rows of ``docs`` whose (doc_id, text hash) is not among ``marked`` (did, tk). Only rows that a bitmap of these may hold are moved."""
+    marked = kept(marked, "pipeline-marked")
+    met, rest = parted(_keyed(docs), marked, "did", "tk")
+    return rest.unionByName(met.join(marked, ["did", "tk"], "left_anti")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = neardup.classes(docs).where((F.col("class_size") > 1))
-    did = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk"))
-    stays = found.groupBy("label").agg(first.alias("one")).select("label", "one.doc_id", "one.tk")
-    gone = found.alias("f").join(stays.alias("s"), "label").where(~(F.col("f.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("f.tk") == F.col("s.tk"))))
-    left = _without(docs, gone.select(F.coalesce(F.col("f.doc_id").cast("string"), F.lit("")).alias("did"), F.col("f.tk").alias("tk")).distinct())
-    # repeated rows of the one that stays are equal in (doc_id, text) as well
-    again = found.groupBy(did.alias("did"), "tk").agg(F.count("*").alias("n")).where("n > 1").select("did", "tk")
-    keyed = left.select("*", did.alias("did"), F.xxhash64("text").alias("tk"))
+    found = kept(neardup.classes(docs).where(F.col("class_size") > 1).select("label", "doc_id", "tk"), "pipeline-classes")
+    own = found.groupBy("label", _did(), "tk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    stays = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tk")).alias("one"))
+    stay = F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("tk") == F.col("one.tk"))
+    # rows that go, and rows that stay once of several that are equal in (doc_id, text)
+    marked = kept(own.join(stays, "label").select("did", "tk", stay.alias("stay"), "n").where("not stay or n > 1").drop("n"), "pipeline-marked")
+    met, rest = parted(_keyed(docs), marked, "did", "tk")
+    single = met.join(marked.select("did", "tk"), ["did", "tk"], "left_anti")
     place = F.row_number().over(Window.partitionBy("did", "tk").orderBy("lang", "source", "n_chars"))
-    repeated = keyed.join(again, ["did", "tk"], "left_semi").select("*", place.alias("place")).where("place = 1")
-    single = keyed.join(again, ["did", "tk"], "left_anti")
-    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    again = met.join(marked.where("stay").select("did", "tk"), ["did", "tk"], "left_semi").select("*", place.alias("place")).where("place = 1")
+    return rest.select(*COLUMNS).unionByName(single.select(*COLUMNS)).unionByName(again.select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontam.contamination(docs, read(spark, sf_dir, "benchmark")).where(F.col("n_hit") > 0)
-    return _without(docs, found.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), F.col("copy").alias("tk")).distinct())
+    return _without(docs, found.select(_did(), F.col("copy").alias("tk")).distinct())
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_column(docs.select(*COLUMNS)).withColumn("n_ids", F.size("ids").cast("long"))
+    return pieces.encode_column(docs.select(*COLUMNS), block_chars=1 << 20).withColumn("n_ids", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("pieces", encoding)]

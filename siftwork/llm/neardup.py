@@ -209,8 +209,8 @@ def linked_nodes(members: DataFrame, vecs: DataFrame, threshold: float) -> DataF
         pairs = kept(pairs, "near-pairs")
         if labels is not None and pairs.isEmpty():
             continue
-        # only vectors of these pairs are moved
-        vec = picked(vecs.select("node", "shingles", "weights"), pairs.select(F.explode(F.array("u", "v")).alias("node")), "node")
+        # only vectors of these pairs are moved; written, so that no stage of small joins chains three Python workers a task
+        vec = kept(picked(vecs.select("node", "shingles", "weights"), pairs.select(F.explode(F.array("u", "v")).alias("node")), "node"), "near-compared")
         with_u = pairs.join(vec.select(F.col("node").alias("u"), F.col("shingles").alias("xs"), F.col("weights").alias("xw")), "u")
         with_both = with_u.join(vec.select(F.col("node").alias("v"), F.col("shingles").alias("ys"), F.col("weights").alias("yw")), "v")
         found = kept(with_both.mapInPandas(lambda fs: _similar(fs, threshold), "u bigint, v bigint"), "near-links")
@@ -230,7 +230,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE,
     # from here on a candidate goes by a number, a third of its key's size in every row of the groups
     candidates = kept(candidate_nodes(signed_docs.withColumn("did", did)), "near-candidates")
     # no text is moved: vectors are made where the texts are read, and a text's copies under one id are one before the join
-    texts = picked(docs.select(did, F.xxhash64("text").alias("tk"), "text"), candidates, "did", "tk")
+    # written: in one stage with the vectors, each task would hold two Python workers
+    texts = kept(picked(docs.select(did, F.xxhash64("text").alias("tk"), "text"), candidates, "did", "tk"), "near-texts")
     once = vectors(texts, idf, size).dropDuplicates(["did", "tk"])
     vecs = kept(once.join(candidates.select("did", "tk", "node"), ["did", "tk"]).drop("did", "tk"), "near-vectors")
     labels = linked_nodes(prefix_groups(vecs, threshold), vecs, threshold)

@@ -22,9 +22,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from siftwork.llm.tables import given_back
 from siftwork.llm.words import in_sorted, mix
 
 SPACE, LITERAL = "▁", "\ud800"  # a lone surrogate stands for a literal U+2581 inside units: no Spark string holds one
@@ -179,14 +181,15 @@ def decode(ids: np.ndarray | None, v: Vocabulary, names: np.ndarray, byte_of: di
     return b"".join(out)[1:].decode("utf-8", "replace")
 
 
-def _blocks(texts: list, size=lambda t: len(t or "")) -> Iterator[slice]:
+def _blocks(sizes: list[int | None], most: int = BLOCK_CHARS) -> Iterator[slice]:
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        held += size(t)
-        if held >= BLOCK_CHARS:
+    for i, n in enumerate(sizes):
+        held += n or 0
+        if held >= most:
             yield slice(start, i + 1)
             start, held = i + 1, 0
-    yield slice(start, len(texts))
+    if start < len(sizes):
+        yield slice(start, len(sizes))
 
 
 def _columns(df: DataFrame, spark: SparkSession, new: dict[str, T.DataType], path: str, log_rank: bool, value) -> DataFrame:
@@ -204,17 +207,18 @@ def _columns(df: DataFrame, spark: SparkSession, new: dict[str, T.DataType], pat
             for part in value(b, v, names, byte_of):
                 rows, columns = part
                 yield pa.RecordBatch.from_arrays([*b.slice(rows.start, rows.stop - rows.start).columns, *[c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]], names=[f.name for f in target.fields])
-    return plain.mapInArrow(run, target)
+    return plain.mapInArrow(given_back(run), target)
 
 
-def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, log_rank: bool = True, check: str | None = None) -> DataFrame:
-    """``df`` with ``out``, the ids of ``text``; ``check`` names a further column: whether decoding gives the text back."""
+def encode_column(df: DataFrame, text: str = "text", out: str = "ids", path: str = VOCABULARY, log_rank: bool = True, check: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``df`` with ``out``, the ids of ``text``; ``check`` names a further column: whether decoding gives the text back. Smaller blocks take
+    less memory and more time, and give the same ids."""
     new: dict[str, T.DataType] = {out: T.ArrayType(T.IntegerType())} | ({check: T.BooleanType()} if check else {})
 
     def value(b, v, names, byte_of):
-        texts = b.column(b.schema.get_field_index(text)).to_pylist()
-        for rows in _blocks(texts):
-            part = texts[rows]
+        texts = b.column(b.schema.get_field_index(text))
+        for rows in _blocks(pc.utf8_length(texts).to_pylist(), block_chars):
+            part = texts.slice(rows.start, rows.stop - rows.start).to_pylist()  # a block's texts at a time
             ids = encode(part, v)
             flat = np.concatenate([np.empty(0, np.int32), *[x for x in ids if x is not None]])
             ends = np.cumsum([0, *[0 if x is None else len(x) for x in ids]])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.tables import arrow_map
+from siftwork.llm.tables import arrow_map, given_back, sliced
 from siftwork.llm.words import byte_classes, column_bytes, hash_words, mix
 
 TOKENS = byte_classes(c0=[*range(33), 127], c2=[x for x in range(33, 127) if not chr(x).isalnum()])
@@ -114,6 +114,6 @@ def score(docs: DataFrame, weights: np.ndarray, out: str = "score") -> DataFrame
 
     def run(batches):
         w = model.value
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores(column_bytes(b, "text"), w[:-1], w[-1]), pa.float64())], names=[*b.schema.names, out])
-    return plain.mapInArrow(run, target)
+    return plain.mapInArrow(given_back(run), target)

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwork.llm.tables import given_back
+
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 MOST_STRINGS = 64
 BLOCK = 512
@@ -199,7 +201,7 @@ def _map(docs: DataFrame, name: str, kind: T.DataType, rules: tuple[Rule, ...],
             new = pa.array(value(texts, scanner.scan(texts)), arrow_kind)
             columns = [new if n == name else c for n, c in zip(b.schema.names, b.columns)]
             yield pa.RecordBatch.from_arrays(columns if name == "text" else [*columns, new], names=[f.name for f in target.fields])
-    return plain.mapInArrow(run, target)
+    return plain.mapInArrow(given_back(run), target)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -1,6 +1,7 @@
 """Shared steps of the operators of this package: fold columns, shared-folder tables, batch sizes."""
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,6 +50,37 @@ def picked(df: DataFrame, wanted: DataFrame, *keys: str, bits: int = BITS) -> Da
     return df.where(maybe(F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)))
 
 
+def parted(df: DataFrame, marked: DataFrame, *keys: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """``df`` in two: the rows whose keys are among those of ``marked``, with few others, and the rest. As ``picked``, without Python: the
+    bitmap is a broadcast table of ``2**bits`` bits at most, so the rest never has to be shuffled to be told apart."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
+    rows = marked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_at")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    place = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(place, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    told = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))  # no bitmap where no key is
+    both = df.join(F.broadcast(rows), F.bitmap_bucket_number(bit) == F.col("_at"), "left")
+    return both.where(told).select(*df.columns), both.where(~told).select(*df.columns)
+
+
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows: a step's arrays are many times its texts."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS):
+            yield whole.slice(at, ROWS)
+
+
+def given_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, which gives freed memory back to the system at a task's end: Python workers stay for the next stage, idle or not,
+    and count against their executor for what they once held."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+    return whole
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict] | dict | None], schema: str, finish: Callable[[], dict | None] | None = None) -> DataFrame:
     """mapInArrow with columns given as a dictionary of arrays; ``finish`` may add rows at a task's end."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,14 +90,13 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterable[dict] | d
         def out(columns: dict | None) -> Iterator[pa.RecordBatch]:
             if columns is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type, from_pandas=False) if not isinstance(columns[f.name], pa.Array) else columns[f.name].cast(f.type) for f in kinds], schema=kinds)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):  # a step's arrays are many times its texts
-                got = step(whole.slice(at, ROWS))
-                for part in ([got] if got is None or isinstance(got, dict) else got):
-                    yield from out(part)
+        for few in sliced(batches):
+            got = step(few)
+            for part in ([got] if got is None or isinstance(got, dict) else got):
+                yield from out(part)
         if finish is not None:
             yield from out(finish())
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(given_back(run), schema)
 
 
 def signed(h: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftwork.llm import ann, chat, mainblocks
+from siftwork.llm import ann, chat, mainblocks, neardup, pieces, tables
 from siftwork.llm.queries import QUERIES
 
 
@@ -107,3 +107,54 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
 def test_every_contract_query_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES} == set(range(1, 14))
+
+
+def test_rest_of_a_parted_table_is_not_shuffled(spark):
+    docs = spark.range(4000).selectExpr("cast(id as string) as did", "id * 7 as tk", "concat('t', id) as text")
+    marked = docs.where("tk % 5 = 0").select("did", "tk")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (24, 9):
+            met, rest = tables.parted(docs, marked, "did", "tk", bits=bits)
+            got, others = sorted(map(tuple, met.collect())), sorted(map(tuple, rest.collect()))
+            assert sorted(got + others) == sorted(map(tuple, docs.collect())) and {(r.did, r.tk) for r in marked.collect()} <= {x[:2] for x in got}
+            assert bits == 9 or len(got) <= 803
+            assert "SortMergeJoin" not in (plan := rest._jdf.queryExecution().executedPlan().toString()) and "Python" not in plan
+        met, rest = tables.parted(docs, marked.limit(0), "did", "tk")
+        assert met.count() == 0 and rest.count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_class(spark):
+    """Nulls, repeated rows of the one that stays and of one that goes, and as many rows alone; whatever the bitmap lets through."""
+    text = lambda i: " ".join(f"word{(i * 7919 + j * j * 31 + j * i) % 997}" for j in range(60))
+    rows = [(i, text(i), "en", "s", i) for i in range(20)]
+    rows += [(30, text(3), "en", "s", 1), (30, text(3), "en", "s", 2), (3, text(3), "de", "s", 3), (3, text(3), "en", "a", 3)]
+    rows += [(None, text(4), "en", "s", 4), (None, text(50), "en", "s", 50), (None, text(50), "en", "s", 51), (None, None, None, None, None), (None, None, None, None, None), (60, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=repr)
+    want = [r for r in rows[:20] if r[0] != 3] + [(3, text(3), "de", "s", 3), rows[25], *rows[27:]]
+    assert got == sorted(want, key=repr)
+
+
+def test_vectors_take_one_python_worker_a_task(spark, monkeypatch):
+    """The choice of texts and the vectors run in stages of their own: together each task held two Python workers, on top of the JVM."""
+    whole, plans = neardup.vectors, []
+
+    def seen(docs, *rest):
+        out = whole(docs, *rest)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(neardup, "vectors", seen)
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, words), (2, words + " more"), (3, "other")], "doc_id long, text string")
+    assert neardup.classes(docs).count() == 3
+    assert plans and all(p.count("MapInArrow") == 1 and "EvalPython" not in p for p in plans)
+
+
+def test_blocks_of_any_size_give_the_same_ids(spark):
+    rows = [(0, None), (1, ""), (2, "one two  three \u2581 é"), (3, "日本 \U0001F600 " * 50), (4, "x" * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    few, many = ([tuple(r) for r in pieces.encode_column(docs, check="back", block_chars=n).orderBy("doc_id").collect()] for n in (1, 1 << 22))
+    assert few == many and [r[-1] for r in few] == [None, *[True] * 4]
